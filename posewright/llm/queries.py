@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from posewright.llm.bpe import op2_bpe
 from posewright.llm.licenses import op9_licenses
+from posewright.llm.quality_classifier import op4_quality_classifier
 from posewright.llm.quality_rules import op6_quality_rules
 from posewright.llm.secrets import op7_secrets
 from posewright.llm.sharding import op5_sharding
+from posewright.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
     "op7_secrets": op7_secrets,
     "op9_licenses": op9_licenses,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}
