@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from posewright.llm.bpe import op2_bpe
+from posewright.llm.decontaminate import op1_decontaminate
 from posewright.llm.licenses import op9_licenses
 from posewright.llm.quality_classifier import op4_quality_classifier
 from posewright.llm.quality_rules import op6_quality_rules
@@ -11,6 +12,7 @@ from posewright.llm.sharding import op5_sharding
 from posewright.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_sharding": op5_sharding,
