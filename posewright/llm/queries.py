@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from posewright.llm.bpe import op2_bpe
 from posewright.llm.decontaminate import op1_decontaminate
+from posewright.llm.jaccard_join import op3_jaccard_join
 from posewright.llm.licenses import op9_licenses
 from posewright.llm.quality_classifier import op4_quality_classifier
 from posewright.llm.quality_rules import op6_quality_rules
@@ -14,6 +15,7 @@ from posewright.llm.token_counts import op10_token_counts
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
