@@ -17,6 +17,7 @@ import mmap
 import re
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -29,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posewright.llm.common import ensure_checkpoint_dir, read
+from posewright.llm.hashing import groups
 
-LEXICON_WORDS = 60_000
-MEMO_CHUNKS = 150_000
+LEXICON_WORDS = 150_000
+MEMO_CHUNKS = 300_000
+SLICE = 1_000_000
 #: White space as the tokenizer's \s has it, and its pattern of words.
 GAP = re.compile("[\t-\r \x85\xa0  -     　]+")
 PYTHON_ONLY_GAP = re.compile("[\x1c-\x1f]")
@@ -95,7 +98,16 @@ def chunks_of(text: str) -> list[str]:
 
 def words_of_chunk(chunk: str) -> list[str]:
     low = chunk.lower() if "Σ" not in chunk else "".join(c.lower() for c in chunk)  # no final sigma by context
-    return WORDS.findall(low)
+    return [low] if low.isalpha() else WORDS.findall(low)
+
+
+def slices_of(text: str) -> Iterator[str]:
+    """A text of more than SLICE characters in pieces that end before a space: no chunk crosses one."""
+    at = 0
+    while len(text) - at > SLICE and (cut := text.find(" ", at + SLICE)) >= 0:
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
 class Transducer:
@@ -170,8 +182,8 @@ class Transducer:
         keys, starts, ids, targets, skips, final = arrays
         return cls(keys, targets, skips, final, root, starts, ids)
 
-    def look_up(self, words: list[bytes]) -> list[np.ndarray | None]:
-        """Ids of each word; None where the lexicon lacks it."""
+    def look_up(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids of each word as little-endian unsigned 32-bit integers; None where the lexicon lacks it."""
         if not len(self.keys) or not words:
             return [None] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -187,7 +199,9 @@ class Transducer:
             state[live] = self.targets[arc]
             ordinal[live] += self.skips[arc]
         good = (state >= 0) & (self.final[np.maximum(state, 0)] == 1) & (lengths > 0)
-        return [self.ids[self.starts[o] : self.starts[o + 1]] if g else None for o, g in zip(ordinal.tolist(), good.tolist())]
+        ordinal[~good] = 0
+        low, high, ids = (4 * self.starts[ordinal]).tolist(), (4 * self.starts[ordinal + 1]).tolist(), self.ids.astype("<u4").tobytes()
+        return [ids[a:z] if g else None for g, a, z in zip(good.tolist(), low, high)]
 
 
 @lru_cache(1)
@@ -221,7 +235,8 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(chunks_of(text.as_py() or ""))
+                for piece in slices_of(text.as_py() or ""):
+                    seen.update(chunks_of(piece))
                 if len(seen) > 300_000:
                     yield flush()
         yield flush()
@@ -257,32 +272,42 @@ class Encoder:
         self.merges, self.transducer, self.memo = merges, transducer, {}
 
     def learn(self, chunks: set[str]) -> None:
+        """Puts chunks into the memo: words from the transducer, the others merged."""
         if len(self.memo) + len(chunks) > MEMO_CHUNKS:
             self.memo.clear()
         new = [c for c in chunks if c not in self.memo]
         split = [words_of_chunk(c) for c in new]
         words = list({w for ws in split for w in ws})
-        found: dict[str, np.ndarray | list[int]] = {}
-        for w, ids in zip(words, self.transducer.look_up([w.encode() for w in words])):
-            found[w] = self.merges.merge(w) if ids is None else ids.tolist()
+        found = {w: array("I", self.merges.merge(w)).tobytes() if ids is None else ids for w, ids in zip(words, self.transducer.look_up([w.encode("utf-8", "replace") for w in words]))}
         for c, ws in zip(new, split):
-            self.memo[c] = np.array([i for w in ws for i in found[w]], "<u4").tobytes()
+            self.memo[c] = found[ws[0]] if len(ws) == 1 else b"".join([found[w] for w in ws])
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def parts(self, text: str) -> Iterator[list[str] | int]:
+        """Chunks of a text, and the ids of special tokens between them."""
         pattern = self.merges.special_pattern
-        parts = pattern.split(text) if pattern and "<" in text else [text]
-        out = []
-        for k, part in enumerate(parts):
+        for k, part in enumerate(pattern.split(text) if pattern and "<" in text else [text]):
             if k % 2:
-                out.append(np.array([self.merges.special[part]], "<u4").tobytes())
-                continue
-            chunks = chunks_of(part)
-            distinct = set(chunks)
-            if distinct - self.memo.keys():
-                self.learn(distinct)
-            out += [self.memo[c] for c in chunks]
-        return b"".join(out)
+                yield self.merges.special[part]
+            else:
+                yield from map(chunks_of, slices_of(part))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out = []
+        for begin, end in groups(texts):
+            distinct: set[str] = set()
+            for text in texts[begin:end]:
+                for part in self.parts(text):
+                    if not isinstance(part, int):
+                        distinct.update(part)
+            self.learn(distinct)
+            memo = self.memo
+            for text in texts[begin:end]:
+                out.append(b"".join([array("I", [part]).tobytes() if isinstance(part, int) else b"".join([memo[c] for c in part]) for part in self.parts(text)]))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The tokens' own strings, joined by a space, as a tokenizer without a decoder does."""
@@ -297,9 +322,9 @@ def encode(docs: DataFrame, path: str, lexicon: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(merges_from(source.value), transducer_at(SparkFiles.get(lexicon)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # small pieces: decoded text is large
-                part = batch.slice(at, 256)
-                ids = [encoder.encode(t.as_py() or "") for t in part.column(1)]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for begin, end in groups(texts):  # small pieces: decoded text is large
+                part, ids = batch.slice(begin, end - begin), encoder.encode_all(texts[begin:end])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([encoder.decode(i) for i in ids], pa.string())], names=[id_col, "ids", "decoded"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +40,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+
+
+FILTER_BITS = 26
+
+
+def bit_table(keys: DataFrame, column: str) -> np.ndarray:
+    """A table of 2**FILTER_BITS bits (8 MB, whatever the input) with the slot of every key set: a filter without misses."""
+    slot = F.pmod(column, F.lit(1 << FILTER_BITS))
+    words = keys.select(slot.alias("s")).distinct().groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits"))
+    rows = words.toPandas()
+    table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    table[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
+    return table
+
+
+def in_bit_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys.astype(np.int64) & np.int64((1 << FILTER_BITS) - 1)
+    return (table[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) == 1

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from posewright.llm.common import cut_lineage, read
+from posewright.llm.common import bit_table, cut_lineage, in_bit_table, read
 from posewright.llm.components import components
 from posewright.llm.hashing import groups, mixed, word_hashes
 
@@ -40,7 +40,6 @@ N = 5
 HOT_IN_BATCH = 8
 HOT_SHINGLES = 100_000
 REGION_BLOCK = 512
-FILTER_BITS = 26
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, *range(9, 14)]] = False
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -135,12 +134,7 @@ def prefixes(docs: DataFrame, text_col: str, hot: np.ndarray, n: int) -> DataFra
 
 def members_with_sets(docs: DataFrame, text_col: str, wanted: DataFrame, n: int) -> DataFrame:
     """(k, shingles) of the wanted sets. A bit table of fixed size lets the tasks drop nearly all other texts early."""
-    slot = F.pmod("k", F.lit(1 << FILTER_BITS))
-    words = wanted.select(slot.alias("s")).distinct().groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits"))
-    rows = words.toPandas()  # 2**FILTER_BITS / 32 rows at most, whatever the input
-    table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    table[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -148,12 +142,9 @@ def members_with_sets(docs: DataFrame, text_col: str, wanted: DataFrame, n: int)
             texts, out = batch.column(0).to_pylist(), {}
             for begin, end in groups(texts):
                 grams, bounds = shingle_sets(texts[begin:end], n)
-                for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    if z > a:
-                        key = set_key(grams[a:z])
-                        s = key % (1 << FILTER_BITS)
-                        if bits[s >> 5] >> np.uint32(s & 31) & np.uint32(1):
-                            out[key] = grams[a:z].tobytes()
+                keys = [set_key(grams[a:z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                for k in np.flatnonzero(in_bit_table(bits, np.array(keys, np.int64)) & (np.diff(bounds) > 0)).tolist():
+                    out[keys[k]] = grams[bounds[k] : bounds[k + 1]].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["k", "shingles"])
 
     found = docs.select(text_col).mapInArrow(run, "k long, shingles binary")

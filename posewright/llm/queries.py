@@ -10,6 +10,7 @@ from posewright.llm.quality_classifier import op4_quality_classifier
 from posewright.llm.quality_rules import op6_quality_rules
 from posewright.llm.secrets import op7_secrets
 from posewright.llm.sharding import op5_sharding
+from posewright.llm.suffix_dedup import op8_suffix_dedup
 from posewright.llm.token_counts import op10_token_counts
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
     "op7_secrets": op7_secrets,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_licenses": op9_licenses,
     "op10_token_counts": op10_token_counts,
 }
