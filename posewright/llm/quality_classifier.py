@@ -103,13 +103,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(good, bad, *logistic(x, y))
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """`docs` with score double, a column of that name replaced."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """`docs` with a score double, a column of that name replaced."""
+    docs = docs.drop(name)
     if model is None:
-        return docs.withColumn("score", F.lit(0.5))
+        return docs.withColumn(name, F.lit(0.5))
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # two dictionaries of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
         for batch in batches:
             z = [slope * difference(t.as_py(), good, bad) + shift for t in batch.column(at)]
             values = [1 / (1 + math.exp(-max(-700.0, min(700.0, v)))) for v in z]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
