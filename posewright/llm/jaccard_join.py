@@ -3,8 +3,8 @@
 The Jaccard distance d is a metric, and two texts link when d <= 1/4. Equal sets are one member with many texts.
 
 1. Regions. Most distances are exactly 1, so pivots are sought among members that share a shingle which both need
-   for a link: a member's first n - ceil(3n/4) + 1 shingles in a global order (frequent shingles last, else by
-   hash). Linked members share such a shingle. Every such shingle's least member is a pivot, and each member joins
+   for a link: a member's first n - ceil(3n/4) + 1 shingles in a global order (rare shingles first, by counts of
+   all sets in a table of fixed size, then by hash). Linked members share such a shingle, whatever the order is. Every such shingle's least member is a pivot, and each member joins
    the region of every pivot that it meets so, which replicates the members at the boundaries of regions.
 2. Balls. The exact distance of every member to its pivots is found; members within 1/4 link to the pivot.
 3. Recursion. Members of a region in one component need no further look. In the others, a member outside the
@@ -37,9 +37,9 @@ from posewright.llm.components import components
 from posewright.llm.hashing import groups, mixed, word_hashes
 
 N = 5
-HOT_IN_BATCH = 8
-HOT_SHINGLES = 100_000
+LEVEL_BITS = 25
 REGION_BLOCK = 512
+PART_BYTES = 4_000_000
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, *range(9, 14)]] = False
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -77,59 +77,86 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, k, n_shingles, hot, hot_counts): set key and size of each text; a batch's frequent shingles in its first row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def packed(values: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, in as few bytes each as the largest needs."""
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    steps = np.zeros((len(raw), 8), np.uint8)
+    steps[:, : data[0]] = raw
+    return np.cumsum(steps.view("<i8").ravel())
+
+
+def frequency_levels(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
+    """For each of 2**LEVEL_BITS slots of shingle hashes the greatest level of a shingle in it: 0 where only one set
+    has it, else 1 and more by the logarithm of the number of sets. All sets are counted; the table has a fixed size.
+
+    Tasks send the first 32 bits of their hashes, sorted and packed, to the part that counts their range.
+    """
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    part_bits = min(20, max(4, (size // PART_BYTES).bit_length()))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            keys, sizes, seen, shingles = [], [], set(), []
+            texts, seen, found = batch.column(0).to_pylist(), set(), []
             for begin, end in groups(texts):
                 grams, bounds = shingle_sets(texts[begin:end], n)
                 for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    keys.append(key := set_key(grams[a:z]))
-                    sizes.append(z - a)
-                    if key not in seen:
+                    if z > a and (key := set_key(grams[a:z])) not in seen:
                         seen.add(key)
-                        shingles.append(grams[a:z])
-            hot, count = np.unique(np.concatenate(shingles), return_counts=True) if shingles else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            hot, count = hot[count >= HOT_IN_BATCH], count[count >= HOT_IN_BATCH]
-            rest = [None] * (len(keys) - 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array([hot.astype(np.int64).tolist(), *rest][: len(keys)], pa.list_(pa.int64())), pa.array([count.tolist(), *rest][: len(keys)], pa.list_(pa.int64()))],
-                names=[id_col, "k", "n_shingles", "hot", "hot_counts"],
-            )
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, k long, n_shingles long, hot array<long>, hot_counts array<long>")
-
-
-def prefixes(docs: DataFrame, text_col: str, hot: np.ndarray, n: int) -> DataFrame:
-    """(k, prefix): the shingles by which a set can meet others, once for each set of a batch."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_SHINGLES numbers at most, most frequent last
+                        found.append((grams[a:z] >> np.uint64(32)).astype(np.uint32))
+            if found:
+                values = np.sort(np.concatenate(found))
+                cuts = np.searchsorted(values, np.arange(1 << part_bits) << (32 - part_bits))
+                bounds = np.append(cuts, len(values))
+                parts = np.flatnonzero(np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([packed(values[bounds[p] : bounds[p + 1]]) for p in parts], pa.binary())], names=["part", "hashes"])
+
+    def count(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        values, counts = np.unique(np.concatenate([unpacked(h.as_py()) for h in table["hashes"]]), return_counts=True)
+        levels = np.zeros(1 << (LEVEL_BITS - part_bits), np.uint8)
+        many = counts > 1
+        np.maximum.at(levels, (values[many] >> (32 - LEVEL_BITS)) - (part << (LEVEL_BITS - part_bits)), np.log2(counts[many]).astype(np.uint8))
+        return pa.table({"part": pa.array([part], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+    counted = docs.select(text_col).mapInArrow(send, "part int, hashes binary").groupBy("part").applyInArrow(count, "part int, levels binary")
+    out = np.zeros((1 << part_bits, 1 << (LEVEL_BITS - part_bits)), np.uint8)
+    for row in counted.toLocalIterator():
+        out[row["part"]] = np.frombuffer(row["levels"], np.uint8)
+    return out.ravel()
+
+
+def sketch(docs: DataFrame, id_col: str, text_col: str, levels: np.ndarray, n: int) -> DataFrame:
+    """(id, k, n_shingles, prefix): set key and size of each text, and the shingles by which its set can meet others:
+    of its first in the order of level and hash those that more than one set has; equal sets of a batch once."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 2**LEVEL_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_hash = np.argsort(shared.value)
-        table = shared.value[by_hash]
         for batch in batches:
-            texts, keys, out = batch.column(0).to_pylist(), {}, []
+            texts, keys, sizes, seen, out = batch.column(1).to_pylist(), [], [], set(), []
             for begin, end in groups(texts):
                 grams, bounds = shingle_sets(texts[begin:end], n)
-                if len(table):
-                    at = np.minimum(np.searchsorted(table, grams), len(table) - 1)
-                    rank = np.where(table[at] == grams, by_hash[at] + 1, 0)
-                else:
-                    rank = np.zeros(len(grams), np.int64)
+                level = shared.value[(grams >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
                 for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    if z > a and (key := set_key(grams[a:z])) not in keys:
-                        keys[key] = None
-                        order = np.argsort(rank[a:z], kind="stable") if rank[a:z].any() else slice(None)
-                        out.append(grams[a:z][order][: prefix_length(z - a)].astype(np.int64))
-            sizes = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), flat)], names=["k", "prefix"])
+                    keys.append(key := set_key(grams[a:z]))
+                    sizes.append(z - a)
+                    # single shingles come first; of the others as many as then still belong to the prefix
+                    left = prefix_length(z - a) - int((level[a:z] == 0).sum())
+                    if z == a or left <= 0 or key in seen:
+                        out.append(None)
+                        continue
+                    seen.add(key)
+                    own, rank = grams[a:z][level[a:z] > 0], level[a:z][level[a:z] > 0]
+                    out.append(own[np.argsort(rank, kind="stable")][:left].astype(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=[id_col, "k", "n_shingles", "prefix"])
 
-    return docs.select(text_col).mapInArrow(run, "k long, prefix array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, k long, n_shingles long, prefix array<long>")
 
 
 def members_with_sets(docs: DataFrame, text_col: str, wanted: DataFrame, n: int) -> DataFrame:
@@ -206,13 +233,9 @@ def recurse(rows: DataFrame) -> DataFrame:
     return dealt.drop("_other", "_blocks").groupBy("pivot", "_low", "_high").applyInArrow(run, "a long, b long")
 
 
-def near_links(docs: DataFrame, text_col: str, sketched: DataFrame, n: int = N) -> DataFrame | None:
+def near_links(docs: DataFrame, text_col: str, sketched: DataFrame, n: int = N) -> DataFrame:
     """(a, b): links between set keys whose components are those of all links."""
-    hot = (
-        sketched.where("hot is not null").select(F.explode(F.arrays_zip("hot", "hot_counts")).alias("h")).groupBy(F.col("h.hot").alias("hot")).agg(F.sum("h.hot_counts").alias("c"))
-        .orderBy(F.desc("c"), "hot").limit(HOT_SHINGLES).select("hot").toPandas()["hot"].to_numpy(np.int64)[::-1].astype(np.uint64)
-    )
-    rows = prefixes(docs, text_col, hot, n).select("k", F.explode("prefix").alias("shingle"))
+    rows = sketched.select("k", F.explode("prefix").alias("shingle"))
     by_shingle = Window.partitionBy("shingle")
     met = rows.withColumn("pivot", F.min("k").over(by_shingle)).where("k <> pivot").groupBy("k", "pivot").agg(F.count(F.lit(1)).alias("_n")).select("k", "pivot")
     met = cut_lineage(met)
@@ -236,9 +259,9 @@ def near_links(docs: DataFrame, text_col: str, sketched: DataFrame, n: int = N)
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """One row per row of docs: id, n_shingles long, component_id (smallest id reachable by links)."""
     docs = docs.select(id_col, text_col)
-    sketched = cut_lineage(sketch(docs, id_col, text_col, n))
+    sketched = cut_lineage(sketch(docs, id_col, text_col, frequency_levels(docs, text_col, n), n))
     labels = components(near_links(docs, text_col, sketched, n)).select(F.col("node").alias("k"), "component")
-    placed = sketched.drop("hot", "hot_counts").join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    placed = sketched.drop("prefix").join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
     placed = cut_lineage(placed)
     least = placed.where("n_shingles > 0").groupBy("component").agg(F.min(id_col).alias("component_id"))
     joined = placed.join(least, "component", "left")
