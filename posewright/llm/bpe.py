@@ -33,7 +33,7 @@ from posewright.llm.common import ensure_checkpoint_dir, read
 from posewright.llm.hashing import groups
 
 LEXICON_WORDS = 150_000
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 600_000
 SLICE = 1_000_000
 #: White space as the tokenizer's \s has it, and its pattern of words.
 GAP = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -90,15 +90,19 @@ class Merges:
 
 
 def chunks_of(text: str) -> list[str]:
-    """What stands between white space, in the tokenizer's normal form but for case."""
+    """What stands between white space, in the tokenizer's normal form."""
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
+    text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # no final sigma by context
     return [c for c in GAP.split(text) if c] if PYTHON_ONLY_GAP.search(text) else text.split()
 
 
 def words_of_chunk(chunk: str) -> list[str]:
-    low = chunk.lower() if "Σ" not in chunk else "".join(c.lower() for c in chunk)  # no final sigma by context
-    return [low] if low.isalpha() else WORDS.findall(low)
+    if chunk.isalpha():
+        return [chunk]
+    if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return WORDS.findall(chunk)
 
 
 def slices_of(text: str) -> Iterator[str]:
@@ -237,7 +241,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for text in batch.column(0):
                 for piece in slices_of(text.as_py() or ""):
                     seen.update(chunks_of(piece))
-                if len(seen) > 300_000:
+                if len(seen) > 600_000:
                     yield flush()
         yield flush()
 
@@ -303,7 +307,7 @@ class Encoder:
             self.learn(distinct)
             memo = self.memo
             for text in texts[begin:end]:
-                out.append(b"".join([array("I", [part]).tobytes() if isinstance(part, int) else b"".join([memo[c] for c in part]) for part in self.parts(text)]))
+                out.append(b"".join([array("I", [part]).tobytes() if isinstance(part, int) else b"".join(map(memo.__getitem__, part)) for part in self.parts(text)]))
         return out
 
     def encode(self, text: str) -> bytes:
