@@ -10,7 +10,8 @@ Every byte is removed that a string of LENGTH bytes covers which also starts any
 3. Suffix arrays. A shard's pieces are sorted by induced sorting; where the permuted common prefix of a suffix with
    either neighbour has LENGTH bytes, its window repeats.
 4. Anchor strings with more than HOT occurrences would fill one shard. Their windows are grouped by hash over all
-   tasks instead, which is exact too and combines before the exchange.
+   tasks instead, which is exact too and combines before the exchange. The repeated hashes are broadcast while they
+   are HOT_WINDOWS at most, else joined.
 5. The repeated windows are joined back to their texts, merged and cut out.
 
 Texts and windows of hot anchors are compared by 64-bit hashes. Texts that occur twice or more as a whole are
@@ -38,8 +39,9 @@ LENGTH = 400
 GRAM = 32
 STEP = 50
 HOT = 1500
+HOT_WINDOWS = 2_000_000
 SHARD_BYTES = 1_000_000
-SLICE = 4_000_000
+SLICE = 1_500_000
 PIECE_SCHEMA = "fp long, tk long, begin long, rel int, data binary"
 SPAN_SCHEMA = "tk long, begin long, end long"
 
@@ -55,7 +57,7 @@ def gram_hashes(data: bytes, n: int) -> np.ndarray:
 def prefix_sums(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Sums by which (sums[z] - sums[a]) * down[a] is a hash of data[a:z]."""
     size = len(data) + 1
-    up, down = powers(4_000_000 if size <= 4_000_000 else 1 << size.bit_length())
+    up, down = powers(2_000_000 if size <= 2_000_000 else 1 << size.bit_length())
     sums = np.zeros(size, np.uint64)
     np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     return sums, down
@@ -215,27 +217,48 @@ def repeated_in_shard(fp: np.ndarray, tk: np.ndarray, begin: np.ndarray, rel: np
     return spans
 
 
+def windows_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, tk, start) of every window of the pieces, some pieces at a time, in order."""
+    tk, begin = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+    for low in range(0, batch.num_rows, 2000):
+        data = batch.column(4).slice(low, 2000).to_pylist()
+        sizes = np.array([len(d) for d in data])
+        begins = np.cumsum(sizes) - sizes
+        windows = sizes - length + 1
+        hashes = gram_hashes(b"".join(data), length)
+        within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        k = np.repeat(np.arange(len(data)), windows)
+        yield hashes[begins[k] + within].astype(np.int64), tk[low + k], begin[low + k] + within
+
+
 def hot_spans(found: DataFrame, length: int) -> DataFrame:
     """Spans of the windows of hot anchor strings that occur at two places or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, tk, begin = (batch.column(k).to_numpy() for k in range(3))
-            for low in range(0, batch.num_rows, 2000):
-                data = batch.column(4).slice(low, 2000).to_pylist()
-                sizes = np.array([len(d) for d in data])
-                ends = np.cumsum(sizes)
-                begins = ends - sizes
-                windows = sizes - length + 1
-                hashes = gram_hashes(b"".join(data), length)
-                within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-                k = np.repeat(np.arange(len(data)), windows)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[begins[k] + within].astype(np.int64)), pa.array(tk[low + k]), pa.array(begin[low + k] + within)], names=["w", "tk", "at"])
+            for w, tk, at in windows_of(batch, length):
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(tk), pa.array(at)], names=["w", "tk", "at"])
 
     windows = found.mapInArrow(run, "w long, tk long, at long")
     place = F.struct("tk", "at")
-    repeated = windows.groupBy("w").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("w")
-    return windows.join(repeated, "w", "left_semi").select("tk", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
+    repeated = cut_lineage(windows.groupBy("w").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("w"))
+    if repeated.count() > HOT_WINDOWS:
+        return windows.join(repeated, "w", "left_semi").select("tk", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
+    shared = found.sparkSession.sparkContext.broadcast(np.sort(repeated.toPandas()["w"].to_numpy(np.int64)))  # HOT_WINDOWS numbers at most
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for w, tk, at in windows_of(batch, length):
+                hit = known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w if len(known) else np.zeros(len(w), bool)
+                tk, at = tk[hit], at[hit]
+                if len(at):
+                    new = np.append(True, (tk[1:] != tk[:-1]) | (at[1:] != at[:-1] + 1))
+                    first = np.flatnonzero(new)
+                    last = np.append(first[1:], len(at)) - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(tk[first]), pa.array(at[first]), pa.array(at[last] + length)], names=["tk", "begin", "end"])
+
+    return found.mapInArrow(cut, SPAN_SCHEMA)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
