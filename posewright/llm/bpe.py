@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posewright.llm.common import ensure_checkpoint_dir, read
+from posewright.llm.common import cut_lineage, ensure_checkpoint_dir, read
 from posewright.llm.hashing import groups
 
 LEXICON_WORDS = 150_000
@@ -260,11 +260,23 @@ def share_file(spark: SparkSession, data: bytes, kind: str) -> str:
     return name
 
 
+def frequent_words(counts: DataFrame, most: int) -> list[str]:
+    """The most frequent words, at most `most`: all down to the eighth of a power of two of n that still fits. Only a
+    histogram and those words come to the driver."""
+    counts = cut_lineage(counts.where("n > 1").withColumn("level", F.floor(8 * F.log2("n"))))
+    room, cut = most, None
+    for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        room -= row["count"]
+        if room < 0:
+            break
+        cut = row["level"]
+    return [] if cut is None else [r[0] for r in counts.where(F.col("level") >= cut).select("word").collect()]
+
+
 def build_lexicon(docs: DataFrame, path: str, n_words: int = LEXICON_WORDS, text_col: str = "text") -> str:
-    """Compiles the n_words most frequent words; the name of the automaton's file for SparkFiles. The bound is on
-    the driver's work alone: the counts are of the whole corpus, and rarer words are merged."""
-    top = count_words(docs, text_col).where("n > 1").orderBy(F.desc("n"), "word").limit(n_words).select("word")
-    words = sorted(r[0].encode() for r in top.collect())
+    """Compiles the most frequent words, n_words at most; the name of the automaton's file for SparkFiles. The bound
+    is on the driver's work alone: the counts are of the whole corpus, and rarer words are merged."""
+    words = sorted(w.encode() for w in frequent_words(count_words(docs, text_col), n_words))
     merges = merges_from(source_of(path))
     return share_file(docs.sparkSession, Transducer.compile((w, merges.merge(w.decode())) for w in words).dump(), "lexicon")
 

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from posewright.llm.common import bit_table, cut_lineage, in_bit_table, read
 from posewright.llm.components import components
-from posewright.llm.hashing import groups, mixed, word_hashes
+from posewright.llm.hashing import groups, mixed, packed, unpacked, word_hashes
 
 N = 5
 LEVEL_BITS = 25
@@ -77,20 +77,6 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Sorted numbers as their differences, in as few bytes each as the largest needs."""
-    steps = np.diff(values.astype(np.int64), prepend=0)
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + steps.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
-    steps = np.zeros((len(raw), 8), np.uint8)
-    steps[:, : data[0]] = raw
-    return np.cumsum(steps.view("<i8").ravel())
-
-
 def frequency_levels(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     """For each of 2**LEVEL_BITS slots of shingle hashes the greatest level of a shingle in it: 0 where only one set
     has it, else 1 and more by the logarithm of the number of sets. All sets are counted; the table has a fixed size.

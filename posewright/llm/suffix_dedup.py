@@ -10,8 +10,8 @@ Every byte is removed that a string of LENGTH bytes covers which also starts any
 3. Suffix arrays. A shard's pieces are sorted by induced sorting; where the permuted common prefix of a suffix with
    either neighbour has LENGTH bytes, its window repeats.
 4. Anchor strings with more than HOT occurrences would fill one shard. Their windows are grouped by hash over all
-   tasks instead, which is exact too and combines before the exchange. The repeated hashes are broadcast while they
-   are HOT_WINDOWS at most, else joined.
+   tasks instead, which is exact too: each range of hashes is counted on its own, and the repeated ones are looked
+   up again in blocks of HOT_WINDOWS at most.
 5. The repeated windows are joined back to their texts, merged and cut out.
 
 Texts and windows of hot anchors are compared by 64-bit hashes. Texts that occur twice or more as a whole are
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from posewright.llm.common import bit_table, cut_lineage, in_bit_table, read
-from posewright.llm.hashing import mixed, powers
+from posewright.llm.hashing import mixed, packed, powers, unpacked
 from posewright.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 400
@@ -40,6 +40,7 @@ GRAM = 32
 STEP = 50
 HOT = 1500
 HOT_WINDOWS = 2_000_000
+PART_BYTES = 4_000_000
 SHARD_BYTES = 1_000_000
 SLICE = 1_500_000
 PIECE_SCHEMA = "fp long, tk long, begin long, rel int, data binary"
@@ -231,26 +232,53 @@ def windows_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray,
         yield hashes[begins[k] + within].astype(np.int64), tk[low + k], begin[low + k] + within
 
 
-def hot_spans(found: DataFrame, length: int) -> DataFrame:
-    """Spans of the windows of hot anchor strings that occur at two places or more."""
+def hot_spans(found: DataFrame, n_pieces: int, length: int) -> DataFrame:
+    """Spans of the windows of hot anchor strings that occur at two places or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w, tk, at in windows_of(batch, length):
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(tk), pa.array(at)], names=["w", "tk", "at"])
+    Tasks send the hashes of their windows sorted and packed to the part that counts their range, never as rows. The
+    repeated ones come back in blocks of HOT_WINDOWS at most, each broadcast for one pass over the hot pieces.
+    """
+    bits = min(20, max(4, (n_pieces * 1500 // PART_BYTES).bit_length()))
+    rest = np.uint64(64 - bits)
 
-    windows = found.mapInArrow(run, "w long, tk long, at long")
-    place = F.struct("tk", "at")
-    repeated = cut_lineage(windows.groupBy("w").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("w"))
-    if repeated.count() > HOT_WINDOWS:
-        return windows.join(repeated, "w", "left_semi").select("tk", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
-    shared = found.sparkSession.sparkContext.broadcast(np.sort(repeated.toPandas()["w"].to_numpy(np.int64)))  # HOT_WINDOWS numbers at most
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.sort(np.concatenate([w.view(np.uint64) for w, _, _ in windows_of(batch, length)] or [np.zeros(0, np.uint64)]))
+            twice = np.append(hashes[1:] == hashes[:-1], False)
+            more = np.append(False, twice[:-1]) & twice
+            hashes = hashes[~more]  # two of a kind tell as much as more
+            bounds = np.append(np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << rest), len(hashes))
+            parts = np.flatnonzero(np.diff(bounds))
+            low = (hashes & ((np.uint64(1) << rest) - np.uint64(1))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([packed(low[bounds[p] : bounds[p + 1]]) for p in parts], pa.binary())], names=["part", "hashes"])
+
+    def count(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        values, counts = np.unique(np.concatenate([unpacked(h.as_py()) for h in table["hashes"]]), return_counts=True)
+        twice = (values[counts > 1].astype(np.uint64) | (np.uint64(part) << rest)).astype(np.int64)
+        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(twice)], pa.int64()), "windows": pa.array([twice.tobytes()], pa.binary())})
+
+    repeated = cut_lineage(found.mapInArrow(send, "part int, hashes binary").groupBy("part").applyInArrow(count, "part int, n long, windows binary").where("n > 0"))
+    out, block, size = None, [], 0
+    for row in [*repeated.orderBy("part").toLocalIterator(), None]:
+        if row is None or size + row["n"] > HOT_WINDOWS and block:
+            spans = cut_windows(found, np.sort(np.concatenate(block)) if block else np.zeros(0, np.int64), length)
+            out, block, size = spans if out is None else out.unionByName(spans), [], 0
+        if row is not None:
+            block.append(np.frombuffer(row["windows"], np.int64))
+            size += row["n"]
+    return out
+
+
+def cut_windows(found: DataFrame, known: np.ndarray, length: int) -> DataFrame:
+    """Spans of the windows whose hash is known, runs of neighbours in one."""
+    shared = found.sparkSession.sparkContext.broadcast(known)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in batches if len(known) else ():
             for w, tk, at in windows_of(batch, length):
-                hit = known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w if len(known) else np.zeros(len(w), bool)
+                hit = known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w
                 tk, at = tk[hit], at[hit]
                 if len(at):
                     new = np.append(True, (tk[1:] != tk[:-1]) | (at[1:] != at[:-1] + 1))
@@ -258,7 +286,7 @@ def hot_spans(found: DataFrame, length: int) -> DataFrame:
                     last = np.append(first[1:], len(at)) - 1
                     yield pa.RecordBatch.from_arrays([pa.array(tk[first]), pa.array(at[first]), pa.array(at[last] + length)], names=["tk", "begin", "end"])
 
-    return found.mapInArrow(cut, SPAN_SCHEMA)
+    return found.mapInArrow(run, SPAN_SCHEMA)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -269,8 +297,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     place = F.struct("tk", "pos")
     counted = occurrences(long, length).groupBy("fp").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n"))
     strings = cut_lineage(counted.where("low <> high").select("fp", "n"))
-    total = strings.agg(F.sum(F.least("n", F.lit(HOT)))).first()[0] or 0
-    n_shards = max(1, int(total) * 600 // SHARD_BYTES)
+    sizes = strings.agg(F.sum(F.when(F.col("n") <= HOT, F.col("n"))).alias("cold"), F.sum(F.when(F.col("n") > HOT, F.col("n"))).alias("hot")).first()
+    n_shards = max(1, (sizes["cold"] or 0) * 600 // SHARD_BYTES)
     found = pieces(long, bit_table(strings, "fp"), length).join(strings, "fp")
     found = cut_lineage(found)
 
@@ -280,7 +308,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.table({n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(("tk", "begin", "end"))})
 
     cold = found.where(F.col("n") <= HOT).withColumn("_shard", F.pmod(F.xxhash64("fp"), F.lit(n_shards))).groupBy("_shard").applyInArrow(run, SPAN_SCHEMA)
-    return copies.unionByName(cold).unionByName(hot_spans(found.where(F.col("n") > HOT).drop("n"), length))
+    spans = copies.unionByName(cold)
+    return spans.unionByName(hot_spans(found.where(F.col("n") > HOT).drop("n"), sizes["hot"], length)) if sizes["hot"] else spans
 
 
 def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:

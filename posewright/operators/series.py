@@ -58,6 +58,29 @@ def local_peaks(df: DataFrame, keys: list[str], score: str, least: float, half:
     return found.join(kept, [*keys, order], "left_semi")
 
 
+def with_peaks(df: DataFrame, keys: list[str], score: str, least: float, half: int, name: str, order: str = "fi") -> DataFrame:
+    """Adds a flag for what local_peaks keeps, with windows alone: rows keep their partitioning by key."""
+    w = ordered(keys, order)
+    top = (F.col(score) >= least) & (F.col(score) == F.max(score).over(w.rowsBetween(-half, half)))
+    df = df.withColumn("_top", F.when(top, F.col(order)))
+    before = F.last("_top", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_run", F.sum(F.when(F.col("_top").isNotNull() & (before.isNull() | (F.col("_top") - before > half)), 1).otherwise(0)).over(w))
+    near = F.array_sort(F.collect_list("_top").over(Window.partitionBy(*keys, "_run")))  # equal maxima close to each other
+    kept = F.aggregate(near, F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) > half), F.concat(acc, F.array(x))).otherwise(acc))
+    return df.withColumn(name, F.col("_top").isNotNull() & F.array_contains(kept, F.col(order))).drop("_top", "_run")
+
+
+def fill_gaps(df: DataFrame, key: str, bucket: str, end: Column, defaults: dict[str, object]) -> DataFrame:
+    """Rows for every bucket from 0 to `end`, the missing ones with default values; without a join."""
+    w = ordered([key], bucket)
+    first = F.row_number().over(w) == 1
+    df = df.withColumn("_from", F.when(first, F.lit(0).cast("long")).otherwise(F.col(bucket).cast("long"))).withColumn("_to", F.coalesce(F.lead(bucket).over(w).cast("long") - 1, F.greatest(end.cast("long"), F.col(bucket).cast("long"))))
+    rows = df.withColumn("_at", F.explode(F.sequence("_from", "_to")))
+    own = F.col("_at") == F.col(bucket)
+    filled = rows.withColumns({n: F.when(own, F.coalesce(F.col(n), F.lit(v))).otherwise(F.lit(v)) for n, v in defaults.items()})
+    return filled.withColumn(bucket, F.col("_at")).drop("_from", "_to", "_at")
+
+
 def gap_events(df: DataFrame, keys: list[str], flag: Column, gap: int, order: str = "fi") -> DataFrame:
     """Number of runs of flagged rows that are more than `gap` apart; 0 where none is flagged."""
     marked = df.withColumn("_flag", flag)

@@ -69,6 +69,14 @@ def test_transducer(tmp_path):
     assert bpe.Transducer.compile([]).look_up([b"a"]) == [None]
 
 
+def test_frequent_words(spark):
+    counts = spark.createDataFrame([(f"w{k}", n) for k, n in enumerate([1, 1, 2, 2, 2, 9, 50, 50, 4000])], "word string, n long")
+    assert sorted(bpe.frequent_words(counts, 4)) == ["w5", "w6", "w7", "w8"]
+    assert sorted(bpe.frequent_words(counts, 6)) == ["w5", "w6", "w7", "w8"]
+    assert sorted(bpe.frequent_words(counts, 2)) == ["w8"] and bpe.frequent_words(counts, 0) == []
+    assert len(bpe.frequent_words(counts, 100)) == 7
+
+
 def test_bpe_odd_rows(odd, empty):
     rows = bpe.encode(odd, PATH, bpe.build_lexicon(odd, PATH)).collect()
     assert len(rows) == odd.count() and sum(len(r["ids"]) == 0 for r in rows) == 4
