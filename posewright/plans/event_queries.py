@@ -14,7 +14,10 @@ from posewright.operators.relations import snapshot_diff, splice, zone_highlight
 from posewright.sources.stages import EDGES, closure
 
 KEY = ["session"]
-W = Window.partitionBy("session").orderBy("fi")
+
+
+def by_frame():
+    return Window.partitionBy("session").orderBy("fi")
 
 
 def sides():
@@ -33,7 +36,7 @@ def dense_spine_default(spark, d) -> DataFrame:
 
 
 def closer_side_share(spark, d) -> DataFrame:
-    near = signals(spark, d).withColumn("_my", F.abs(F.col("v") - 50)).withColumn("_op", F.abs(F.lag("v").over(W) - 50)).where("_op is not null")
+    near = signals(spark, d).withColumn("_my", F.abs(F.col("v") - 50)).withColumn("_op", F.abs(F.lag("v").over(by_frame()) - 50)).where("_op is not null")
     counts = near.groupBy("session", "bucket").agg(F.count_if(F.col("_my") < F.col("_op")).alias("my_closer"), F.count_if(F.col("_my") >= F.col("_op")).alias("op_closer"))
     return counts.withColumn("my_ring", share(F.col("my_closer"), F.col("op_closer"), 0))
 
@@ -109,12 +112,12 @@ def any_flag_buckets(spark, d) -> DataFrame:
 
 
 def lag_displacement(spark, d) -> DataFrame:
-    step = F.abs(F.col("v") - F.lag("v").over(W))
+    step = F.abs(F.col("v") - F.lag("v").over(by_frame()))
     return signals(spark, d).select("session", "fi", F.round(F.coalesce(step, F.lit(0.0)), 6).alias("step"))
 
 
 def path_length(spark, d) -> DataFrame:
-    step = F.coalesce(F.abs(F.col("v") - F.lag("v").over(W)), F.lit(0.0))
+    step = F.coalesce(F.abs(F.col("v") - F.lag("v").over(by_frame())), F.lit(0.0))
     return signals(spark, d).withColumn("_s", step).groupBy("session", "bucket").agg(F.round(F.sum("_s"), 6).alias("path"))
 
 
@@ -145,7 +148,7 @@ def direction_weighted_pace(spark, d) -> DataFrame:
 
 def best_burst(spark, d) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("session"))
-    sums = signals(spark, d).withColumn("_n", n).withColumn("_s", F.round(F.sum("v").over(W.rowsBetween(0, 4)), 6)).where(F.col("fi") <= F.greatest(F.lit(0), F.col("_n") - 5))
+    sums = signals(spark, d).withColumn("_n", n).withColumn("_s", F.round(F.sum("v").over(by_frame().rowsBetween(0, 4)), 6)).where(F.col("fi") <= F.greatest(F.lit(0), F.col("_n") - 5))
     return sums.groupBy("session").agg(F.max("_s").alias("best_burst"))
 
 
@@ -277,7 +280,7 @@ def one_euro_smooth(spark, d) -> DataFrame:
 
 
 def cooldown_counters(spark, d) -> DataFrame:
-    w = W.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_frame().rowsBetween(Window.unboundedPreceding, 0)
     since = F.col("fi") - F.last(F.when(F.col("v") > 40, F.col("fi")), ignorenulls=True).over(w)
     return signals(spark, d).select("session", "fi", F.greatest(F.lit(0), 15 - F.coalesce(since, F.lit(15))).cast("int").alias("cooldown"))
 
