@@ -82,11 +82,13 @@ def ransac_rigid(rows: pd.DataFrame, iterations: int = 200, threshold: float = 3
     return pd.DataFrame({"session": [rows["session"].iloc[0]], "inliers": [int(best.sum())], "theta": [theta], "tx": [shift[0]], "ty": [shift[1]]})
 
 
-def principal_axis(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Centroid, larger and smaller standard deviation along the principal axes, and the larger one's angle."""
-    moments = df.groupBy(*keys).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.var_samp(x).alias("_xx"), F.var_samp(y).alias("_yy"), F.covar_samp(x, y).alias("_xy"))
+def principal_axis(df: DataFrame, keys: list[str], x: str, y: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """Centroid, larger and smaller standard deviation along the principal axes, and the larger one's angle. more:
+    further aggregates of the same groups by name."""
+    more = more or {}
+    moments = df.groupBy(*keys).agg(*(v.alias(k) for k, v in more.items()), F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.var_samp(x).alias("_xx"), F.var_samp(y).alias("_yy"), F.covar_samp(x, y).alias("_xy"))
     mid, half = (F.col("_xx") + F.col("_yy")) / 2, F.sqrt(((F.col("_xx") - F.col("_yy")) / 2) ** 2 + F.col("_xy") ** 2)
-    return moments.select(*keys, "cx", "cy", F.sqrt(mid + half).alias("axis_len"), F.sqrt(F.greatest(mid - half, F.lit(0.0))).alias("minor_len"), (F.atan2(2 * F.col("_xy"), F.col("_xx") - F.col("_yy")) / 2).alias("angle"))
+    return moments.select(*keys, "cx", "cy", F.sqrt(mid + half).alias("axis_len"), F.sqrt(F.greatest(mid - half, F.lit(0.0))).alias("minor_len"), (F.atan2(2 * F.col("_xy"), F.col("_xx") - F.col("_yy")) / 2).alias("angle"), *more)
 
 
 def density_grid(df: DataFrame, keys: list[str], gx: Column, gy: Column, kernel: list[float]) -> DataFrame:

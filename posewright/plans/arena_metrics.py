@@ -22,11 +22,15 @@ STATES = ("open", "close", "clinch", "occlusion")
 def arena_of(frames: DataFrame) -> DataFrame:
     """(session, centre_x, centre_y, scale, my_seen, op_seen, tier) from the frames' foot points and box heights: the
     arena where no stabilised one is given."""
-    feet = frames.select("session", *(F.when(F.col(f"{p}_bbox").isNotNull(), F.struct(c.box_centre(F.col(f"{p}_bbox"), 0).alias("x"), F.get(f"{p}_bbox", 3).alias("y"))).alias(f"{p}_foot") for p in ("my", "op")), *(F.expr(f"get({p}_bbox, 3) - get({p}_bbox, 1)").alias(f"{p}_h") for p in ("my", "op")))
-    points = feet.select("session", F.explode(F.filter(F.array("my_foot", "op_foot"), lambda p: p.isNotNull())).alias("p")).select("session", "p.x", "p.y")
-    axis = geometry.principal_axis(points, ["session"], "x", "y").select("session", F.col("cx").alias("centre_x"), F.col("cy").alias("centre_y"), "axis_len")
-    seen = feet.groupBy("session").agg(F.avg((F.coalesce("my_h", F.lit(0.0)) + F.coalesce("op_h", F.lit(0.0))) / F.greatest(F.lit(1), F.col("my_h").isNotNull().cast("int") + F.col("op_h").isNotNull().cast("int"))).alias("scale"), *((F.count(f"{p}_foot") / F.count(F.lit(1))).alias(f"{p}_seen") for p in ("my", "op")))
-    return axis.join(seen, "session").withColumn("tier", c.tier(F.least("my_seen", "op_seen")))
+    height = lambda p: F.get(f"{p}_bbox", 3) - F.get(f"{p}_bbox", 1)
+    known = F.greatest(F.lit(1), F.col("my_bbox").isNotNull().cast("int") + F.col("op_bbox").isNotNull().cast("int"))
+    # both sides as rows, so that one aggregation has the moments of all points and each side's counts
+    sides = F.array(*(F.struct(F.lit(p).alias("side"), c.box_centre(F.col(f"{p}_bbox"), 0).alias("x"), F.get(f"{p}_bbox", 3).alias("y"), (height(p) / known).alias("h")) for p in ("my", "op")))
+    rows = frames.select("session", F.inline(sides))
+    n = F.count(F.lit(1)) / 2
+    more = {"scale": F.coalesce(F.sum("h"), F.lit(0.0)) / n} | {f"{p}_seen": F.count(F.when(F.col("side") == p, F.col("x"))) / n for p in ("my", "op")}
+    axis = geometry.principal_axis(rows, ["session"], "x", "y", more).withColumnsRenamed({"cx": "centre_x", "cy": "centre_y"})
+    return axis.select("session", "centre_x", "centre_y", "axis_len", *more).withColumn("tier", c.tier(F.least("my_seen", "op_seen")))
 
 
 def tracks_of(frames: DataFrame) -> DataFrame:
@@ -85,10 +89,10 @@ def seconds_seen(f: DataFrame, aspect: float = 1.0, config: Config = DEFAULT) ->
     sums = {"_n": F.count(F.lit(1)), "_last": F.max("time_s"), "_hidden": F.count_if(F.col("state") == "occlusion"), "_my_near": F.count_if(known & (F.col("my_to_centre") < F.col("op_to_centre"))), "_op_near": F.count_if(known & (F.col("my_to_centre") >= F.col("op_to_centre")))}
     sums |= {"tier": F.first("tier"), "my_seen": F.first("my_seen"), "op_seen": F.first("op_seen")}
     sums |= {f"_{s}_n": F.count_if(F.col("state") == s) for s in STATES} | {f"_{s}_first": F.min(F.when(F.col("state") == s, F.col("fi"))) for s in STATES}
-    for p, q in pf.PAIRS:
-        f = f.withColumn(f"_{p}_verdict", F.when(F.col(f"{p}_peak"), pf.verdict(p, q, aspect, config)[0]))
+    f = pf.with_verdicts(f, aspect, config)
+    for p in ("my", "op"):
         sums |= {f"_{p}_agg": F.coalesce(total(f"{p}_aggression"), F.lit(0.0)), f"_{p}_path": total(F.col(f"{p}_path") * weights), f"_{p}_vol": F.count_if(f"{p}_punching"), f"_{p}_head": total(f"{p}_head_move"), f"_{p}_guard": F.avg(f"{p}_guard"), f"_{p}_def": F.coalesce(F.round(F.avg(F.when(F.col(f"{p}_attacked"), F.col(f"{p}_defence"))), 9), F.lit(0.5))}
-        sums |= {f"{p}_{k}_pct": percent(100 * F.avg(F.when(F.col(f"{p}_attacked"), F.col(f"{p}_{k}")))) for k in PILLARS} | {f"{p}_{v}": F.count_if(F.col(f"_{p}_verdict") == v) for v in VERDICTS}
+        sums |= {f"{p}_{k}_pct": percent(100 * F.avg(F.when(F.col(f"{p}_attacked"), F.col(f"{p}_{k}")))) for k in PILLARS} | {f"{p}_{v}": F.count_if(F.col(f"{p}_peak") & (F.col(f"{p}_verdict") == v)) for v in VERDICTS}
     by_sec = f.groupBy("session", F.floor("time_s").alias("sec")).agg(*(v.alias(k) for k, v in sums.items()))
     held = F.col("_hidden") / F.col("_n") >= 0.5
     share = lambda n, floor=1e-6: c.share(F.col(f"_my_{n}"), F.col(f"_op_{n}"), floor)
@@ -116,11 +120,9 @@ def per_second(f: DataFrame, aspect: float = 1.0, config: Config = DEFAULT) -> D
 
 def landed(f: DataFrame, aspect: float = 1.0, config: Config = DEFAULT) -> DataFrame:
     """(session, side, fi, time_s, verdict, glove_x, glove_y) of every punch, both sides in one pass."""
-    rows = []
-    for p, q in pf.PAIRS:
-        what, x, y = pf.verdict(p, q, aspect, config)
-        rows.append(F.when(F.col(f"{p}_peak"), F.struct(F.lit(p).alias("side"), what.alias("verdict"), x.alias("glove_x"), y.alias("glove_y"))))
-    return f.where("my_peak or op_peak").select("session", "fi", "time_s", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("session", "r.side", "fi", "time_s", "r.verdict", "r.glove_x", "r.glove_y")
+    peaks = pf.with_verdicts(f.where("my_peak or op_peak"), aspect, config)
+    rows = [F.when(F.col(f"{p}_peak"), F.struct(F.lit(p).alias("side"), F.col(f"{p}_verdict").alias("verdict"), F.col(f"{p}_glove_x").alias("glove_x"), F.col(f"{p}_glove_y").alias("glove_y"))) for p in ("my", "op")]
+    return peaks.select("session", "fi", "time_s", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("session", "r.side", "fi", "time_s", "r.verdict", "r.glove_x", "r.glove_y")
 
 
 def tally(events: DataFrame) -> DataFrame:

@@ -78,17 +78,29 @@ def states(frames: DataFrame, apart: Column, config: Config = DEFAULT) -> DataFr
     )
 
 
-def verdict(p: str, q: str, aspect: float, config: Config = DEFAULT) -> tuple[Column, Column, Column]:
-    """(verdict, glove x, glove y) of p's punch at q: by the more extended wrist alone, the left one of equal ones."""
-    kps, other, box = F.col(f"{p}_kps"), F.col(f"{q}_kps"), F.col(f"{q}_bbox")
-    head, body = c.head_zone(other, box, aspect), c.stomach_zone(other, aspect, config)
-    left, right = F.coalesce(F.col(f"{p}_lext"), F.lit(-1.0)), F.coalesce(F.col(f"{p}_rext"), F.lit(-1.0))
-    is_left, most = left >= right, F.greatest(left, right)
-    tip = lambda axis: F.when(is_left, c.glove_tip(c.keypoint(kps, WRIST_L, axis), c.keypoint(kps, ELBOW_L, axis), config.glove_extension)).otherwise(c.glove_tip(c.keypoint(kps, WRIST_R, axis), c.keypoint(kps, ELBOW_R, axis), config.glove_extension))
-    x, y = tip(0), tip(1)
-    unknown = (c.iou(F.col(f"{p}_bbox"), box) >= config.landed_clinch_iou) | (head.isNull() & body.isNull()) | (most < config.landed_extension)
-    found = F.when(unknown, "unknown").when(c.in_box(x, y, head, config.wrist_pad), "landed_head").when(c.in_box(x, y, body, config.wrist_pad), "landed_body").otherwise("missed")
-    return found, F.when(~unknown, x), F.when(~unknown, y)
+def with_verdicts(frames: DataFrame, aspect: float = 1.0, config: Config = DEFAULT) -> DataFrame:
+    """Adds for each side p: p_verdict, p_glove_x and p_glove_y of its punch at the other, by the more extended wrist
+    alone, the left one of equal ones. Zones and wrists become columns first, so no formula holds another's copy."""
+    first = {"_overlap": c.iou(F.col("my_bbox"), F.col("op_bbox"))}
+    for p in ("my", "op"):
+        kps, box = F.col(f"{p}_kps"), F.col(f"{p}_bbox")
+        first |= {f"_{p}_headzone": c.head_zone(kps, box, aspect), f"_{p}_bodyzone": c.stomach_zone(kps, aspect, config)}
+        first |= {f"_{p}_{h}most": F.coalesce(F.col(f"{p}_{h}ext"), F.lit(-1.0)) for h in "lr"}
+    frames = frames.withColumns(first)
+    tips = {}
+    for p in ("my", "op"):
+        kps = F.col(f"{p}_kps")
+        for axis, n in ((0, "x"), (1, "y")):
+            left, right = (c.glove_tip(c.keypoint(kps, w, axis), c.keypoint(kps, e, axis), config.glove_extension) for w, e in ((WRIST_L, ELBOW_L), (WRIST_R, ELBOW_R)))
+            tips[f"_{p}_tip_{n}"] = F.when(F.col(f"_{p}_lmost") >= F.col(f"_{p}_rmost"), left).otherwise(right)
+    frames = frames.withColumns(tips)
+    found = {}
+    for p, q in PAIRS:
+        head, body, x, y = F.col(f"_{q}_headzone"), F.col(f"_{q}_bodyzone"), F.col(f"_{p}_tip_x"), F.col(f"_{p}_tip_y")
+        unknown = (F.col("_overlap") >= config.landed_clinch_iou) | (head.isNull() & body.isNull()) | (F.greatest(f"_{p}_lmost", f"_{p}_rmost") < config.landed_extension)
+        found[f"{p}_verdict"] = F.when(unknown, "unknown").when(c.in_box(x, y, head, config.wrist_pad), "landed_head").when(c.in_box(x, y, body, config.wrist_pad), "landed_body").otherwise("missed")
+        found |= {f"{p}_glove_x": F.when(~unknown, x), f"{p}_glove_y": F.when(~unknown, y)}
+    return frames.withColumns(found).drop(*first, *tips)
 
 
 def with_peaks(frames: DataFrame, p: str, fps: float = 15.0, config: Config = DEFAULT) -> DataFrame:

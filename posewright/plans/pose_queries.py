@@ -103,8 +103,8 @@ def foot_points(spark, d) -> DataFrame:
 
 def verdict_tally(spark, d) -> DataFrame:
     """Every frame of both sides judged as if it were a punch."""
-    f = moving(spark, d)
-    judged = present(long(f, verdict=lambda p: pose_frames.verdict(p, "op" if p == "my" else "my", 1.0)[0], present=lambda p: F.col("my_kps").isNotNull() & F.col("op_kps").isNotNull()))
+    f = pose_frames.with_verdicts(moving(spark, d))
+    judged = present(long(f, verdict=lambda p: F.col(f"{p}_verdict"), present=lambda p: F.col("my_kps").isNotNull() & F.col("op_kps").isNotNull()))
     return arena_metrics.tally(judged)
 
 
