@@ -270,7 +270,7 @@ def frequent_words(counts: DataFrame, most: int) -> list[str]:
         if room < 0:
             break
         cut = row["level"]
-    return [] if cut is None else [r[0] for r in counts.where(F.col("level") >= cut).select("word").collect()]
+    return [] if cut is None else counts.where(F.col("level") >= cut).select("word").toArrow()["word"].to_pylist()
 
 
 def build_lexicon(docs: DataFrame, path: str, n_words: int = LEXICON_WORDS, text_col: str = "text") -> str:

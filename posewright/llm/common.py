@@ -49,9 +49,9 @@ def bit_table(keys: DataFrame, column: str) -> np.ndarray:
     """A table of 2**FILTER_BITS bits (8 MB, whatever the input) with the slot of every key set: a filter without misses."""
     slot = F.pmod(column, F.lit(1 << FILTER_BITS))
     words = keys.select(slot.alias("s")).distinct().groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits"))
-    rows = words.toPandas()
+    rows = words.toArrow()  # as columns: 2**21 rows of Python objects would fill a driver
     table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    table[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
+    table[rows["w"].to_numpy().astype(np.int64)] = rows["bits"].to_numpy().astype(np.uint32)
     return table
 
 
