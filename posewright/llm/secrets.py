@@ -2,7 +2,8 @@
 
 Base patterns find assignments, access keys and long hex runs. Beyond them, candidates that only look random are
 decoded (base64, base64url, hex) and reported only if their structure holds: DER sequences whose nested lengths
-add up, PEM and OpenSSH private keys, signed tokens whose header names an algorithm.
+add up, PEM and OpenSSH private keys, signed tokens whose header names an algorithm. Base64 may be broken by white
+space and by literal \\n, \\r and \\t escapes, as in JSON and .env files; a key ends where its own lengths say.
 
 Edge cases: null and empty texts have no spans; texts of any length are scanned whole; spans count code points,
 end exclusive; repeated rows give equal results.
@@ -27,17 +28,22 @@ KINDS = ("assign", "access", "hex", "pem", "ssh", "der", "token")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s+([A-Za-z0-9+/=\s]+?)\s*-----END \1-----")
+PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+# a DER sequence or the OpenSSH magic in base64, at the start of a run or behind a sign that may join it to a name
+KEY_START = re.compile(r"M(?:(?<![A-Za-z0-9]M)|(?<=\\[nrt]M))[A-P]|b(?:(?<![A-Za-z0-9]b)|(?<=\\[nrt]b))3BlbnNzaC1rZXktdjE")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+BREAK = re.compile(r"(?:\s|\\+[nrt])+")
+PADDING = re.compile(r"={0,2}")
+LEAST_CHARS = 40
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{32,}")
 OPENSSH = b"openssh-key-v1\0"
 
 
 def decoded(text: str) -> bytes:
-    """Bytes of base64 text without white space; empty if it is none."""
-    text = "".join(text.split()).rstrip("=")
+    """Bytes of base64 or base64url text, its breaks and escapes left out; empty if it is none."""
+    text = BREAK.sub("", text).replace("\\u003d", "=").replace("\\/", "/").rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -90,6 +96,82 @@ def is_openssh(data: bytes) -> bool:
     return 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
 
 
+def key_bytes(head: bytes) -> int:
+    """Length that a DER sequence which may be a private key gives itself; 0 if its first bytes are none."""
+    if len(head) < 9 or head[0] != 0x30:
+        return 0
+    n = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if n > 4 or head[1] == 0x80:
+        return 0
+    inner = head[2 + n : 5 + n]
+    if inner[0] != 0x30 and not (inner[:2] == b"\x02\x01" and inner[2] <= 3):
+        return 0
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def openssh_bytes(data: bytes) -> int:
+    """Length of an OpenSSH key by its own lengths; 0 if the data ends before it or is none."""
+    if not is_openssh(data):
+        return 0
+    at, strings = len(OPENSSH), 3
+    while strings:
+        at, strings = at + 4 + int.from_bytes(data[at : at + 4], "big"), strings - 1
+    strings = int.from_bytes(data[at : at + 4], "big") + 1
+    at += 4
+    for _ in range(strings):
+        if at + 4 > len(data):
+            return 0
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) else 0
+
+
+def taken(text: str, at: int, n: int | None) -> tuple[str, int]:
+    """The next n base64 characters from `at` over breaks (all that follow if n is None) and where they end."""
+    parts, have, end = [], 0, at
+    while n is None or have < n:
+        run = RUN.match(text, at)
+        if run is None:
+            break
+        end = run.end() if n is None else min(run.end(), at + n - have)
+        parts.append(text[at:end])
+        have += end - at
+        gap = BREAK.match(text, end)
+        if gap is None:
+            break
+        at = gap.end()
+    return "".join(parts), end
+
+
+def key_at(text: str, at: int) -> tuple[int, int] | None:
+    """(kind number, end) of the private key in base64 that begins there."""
+    if text[at] == "b":
+        whole, own = decoded(taken(text, at, None)[0].rstrip("-_")), RUN.match(text, at)
+        n = openssh_bytes(whole)
+        if n:
+            end = taken(text, at, -(-8 * n // 6))[1]
+        elif is_openssh(decoded(own[0])):
+            end = own.end()
+        else:
+            return None
+        return 4, PADDING.match(text, end).end()
+    n = key_bytes(decoded(taken(text, at, 12)[0]))
+    chars = -(-8 * n // 6)
+    if chars < LEAST_CHARS or chars > len(text) - at:
+        return None
+    found, end = taken(text, at, chars)
+    if len(found) < chars or not is_private_der(decoded(found)):
+        return None
+    return 5, PADDING.match(text, end).end()
+
+
+def pem_blocks(text: str) -> Iterator[tuple[int, str, int]]:
+    """(start, body, end) of the armoured private keys."""
+    for m in PEM_BEGIN.finditer(text):
+        stop, tail = text.find("-----", m.end()), f"-----END {m[1]}-----"
+        if stop >= 0 and text.startswith(tail, stop):
+            yield m.start(), text[m.end() : stop], stop + len(tail)
+
+
 def is_token_header(text: str) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
@@ -113,25 +195,28 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of candidates whose decoded structure holds."""
     out = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            data = decoded(m[2])
+        for start, body, end in pem_blocks(text):
+            data = decoded(body)
             if is_openssh(data):
-                out.append((m.start(), 4, m.end()))
+                out.append((start, 4, end))
             elif is_private_der(data):
-                out.append((m.start(), 3, m.end()))
+                out.append((start, 3, end))
     inside = [(a, z) for a, _, z in out]
+    past = 0
+    for m in KEY_START.finditer(text):
+        start = m.start()
+        if start < past or any(a <= start < z for a, z in inside):
+            continue
+        found = key_at(text, start)
+        if found:
+            kind, past = found
+            out.append((start, kind, past))
     for run in LONG_RUN.finditer(text):
         if any(a <= run.start() < z for a, z in inside):
             continue
         part, at = run[0], run.start()
         if part.count(".") >= 2:
             out += [(at + m.start(), 6, at + m.end()) for m in TOKEN.finditer(part) if is_token_header(m[1])]
-        for m in BASE64.finditer(part):
-            data = decoded(m[0])
-            if is_openssh(data):
-                out.append((at + m.start(), 4, at + m.end()))
-            elif is_private_der(data):
-                out.append((at + m.start(), 5, at + m.end()))
         for m in ANY_HEX.finditer(part):
             if is_private_der(bytes.fromhex(m[0])):
                 out.append((at + m.start(), 5, at + m.end()))
