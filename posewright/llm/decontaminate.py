@@ -1,6 +1,7 @@
 """Benchmark decontamination under edit distance.
 
-Texts are lower-cased and cut into words of letters and digits. The CGK embedding walks over a word sequence: at
+Texts are lower-cased and cut into words of letters and digits. Characters of scripts without spaces (Han, kana,
+Thai, Khmer and others) and symbols outside ASCII are words of their own; punctuation of any script separates. The CGK embedding walks over a word sequence: at
 every step it emits the current word and a hash of word and step decides whether to move on, so that a few edits
 change few emitted words: edit distance becomes Hamming distance. Item-sized windows of the documents and all
 windows of the items are embedded by the same REPEATS walks; a key is the emitted words at SAMPLES sampled steps.
@@ -14,12 +15,17 @@ over 95 % of items of 16 words or more are found (tests/llm/test_decontaminate.p
 The benchmark is the stated query set. It is handled in blocks of at most BLOCK_WORDS words, so what is broadcast
 is bounded whatever its size; documents are never shuffled.
 
-Edge cases: null and empty texts and items match nothing; items of fewer than MIN_WORDS words are no evidence and
-are ignored; repeated rows give equal results; documents are scanned whole.
+Items of fewer than MIN_WORDS words match where exactly their words stand in a row in a document, at distance 0:
+the hashes of as many words in a row are looked up and every hit is compared. An item of one common word
+thereby matches every document that holds it.
+
+Edge cases: null and empty texts and items, and items without a word, match nothing; repeated rows give equal
+results; documents are scanned whole.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -45,6 +51,40 @@ IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
+#: First and last characters of the blocks of scripts that are written without spaces between words.
+UNSPACED = ["\u0e00\u0eff", "\u0f00\u0fff", "\u1000\u109f", "\u1780\u17ff", "\u1950\u19ff", "\u1a20\u1aaf", "\u2e80\u2fdf", "\u3005\u3007", "\u3021\u3029", "\u3031\u3035", "\u3038\u303c", "\u3040\u312f", "\u31a0\u31bf", "\u31f0\u31ff", "\u3400\u4dbf", "\u4e00\u9fff", "\ua9e0\ua9ff", "\uaa60\uaadf", "\uf900\ufaff", "\uff66\uff9f", "\U0001b000\U0001b16f", "\U00020000\U0003ffff"]
+SEPARATES, ALONE = 1, 2
+
+
+@lru_cache(1)
+def character_kinds() -> np.ndarray:
+    """SEPARATES for punctuation, spaces and controls outside ASCII, ALONE for symbols and unspaced scripts, else 0."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for first, last in UNSPACED:
+        kinds[ord(first) : ord(last) + 1] = ALONE
+    for c in range(0x80, 0x20000):
+        category = unicodedata.category(chr(c))
+        if category[0] in "PZ" or category == "Cc":
+            kinds[c] = SEPARATES
+        elif category[0] == "S":
+            kinds[c] = ALONE
+    return kinds
+
+
+def spaced(text: str | None) -> str:
+    """The text in lower case, its words apart."""
+    text = (text or "").lower()
+    if text.isascii():
+        return text
+    chars = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    kinds = character_kinds()[chars]
+    if not kinds.any():
+        return text
+    chars = np.where(kinds == SEPARATES, np.uint32(32), chars)
+    alone = np.flatnonzero(kinds == ALONE)
+    return np.insert(chars, np.concatenate([alone, alone + 1]), np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le")
+
+
 class Item(NamedTuple):
     item_id: object
     text: bytes
@@ -54,7 +94,7 @@ class Words:
     """Hashed words of some texts in one sequence; each text is followed by a zero, where walks stay."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        parts = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+        parts = [spaced(t).encode("utf-8", "replace") for t in texts]
         self.data = b"\n".join(parts) + b"\n"
         starts, ends, hashes = word_hashes(self.data, IS_WORD)
         bounds = np.cumsum([len(p) + 1 for p in parts])
@@ -75,6 +115,15 @@ class Words:
         offset = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
         return np.repeat(self.first, per) + offset * stride
 
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of n words in a row of one text and a hash of each such run."""
+        at = np.arange(max(0, len(self.hash) - n + 1))
+        key, whole = np.full(len(at), np.uint64(n)), np.ones(len(at), bool)
+        for j in range(n):
+            part = self.hash[j : j + len(at)]
+            key, whole = mixed(key ^ part), whole & (part != 0)
+        return at[whole], key[whole]
+
     def text_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, positions, "right") - 1
 
@@ -127,9 +176,18 @@ class Index:
         self.lengths = words.counts
         self.table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
         groups: dict[tuple[int, int], list[int]] = {}
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k, n in enumerate(words.counts.tolist()):
             if n >= MIN_WORDS:
                 groups.setdefault((band_of(n), size_of(n)), []).append(k)
+        for n in range(1, MIN_WORDS):
+            members = np.flatnonzero(words.counts == n)
+            if len(members):
+                at, key = words.runs(n)
+                own = np.isin(at, words.first[members])  # the words of such an item are its only run
+                at, key = at[own], key[own]
+                order = np.argsort(key, kind="stable")
+                self.short[n] = key[order], words.text_of(at[order])
         self.sizes = {stride: sorted(size for s, size in groups if s == stride) for stride in {s for s, _ in groups}}
         keys, owners, offsets = [], [], []
         for (stride, size), members in groups.items():
@@ -196,6 +254,20 @@ class Index:
                     found.append(np.column_stack([words.text_of(own_start), self.owner[hit], own_start - self.offset[hit]]))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
+    def short_matches(self, words: Words) -> set[tuple[int, int]]:
+        """(text, item) of the items of fewer than MIN_WORDS words that stand word by word in a text."""
+        found: set[tuple[int, int]] = set()
+        for n, (keys, owner) in self.short.items():
+            at, key = words.runs(n)
+            low = np.searchsorted(keys, key, "left")
+            hit = keys[np.minimum(low, len(keys) - 1)] == key
+            at, low, high = at[hit], low[hit], np.searchsorted(keys, key[hit], "right")
+            for text, begin, a, z in zip(words.text_of(at).tolist(), at.tolist(), low.tolist(), high.tolist()):
+                for item in owner[a:z].tolist():
+                    if (text, item) not in found and words.joined(text, begin, begin + n) == self.items[item].text:
+                        found.add((text, item))
+        return found
+
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
         """(text, item, edit distance) of every verified match, the least distance seen of each pair."""
         words, best = Words(texts), {}
@@ -208,6 +280,7 @@ class Index:
             distance = least_distance(self.items[item].text, words.joined(text, begin - room, begin + n + room), limit)
             if distance is not None:
                 best[text, item] = min(distance, best.get((text, item), distance))
+        best.update(dict.fromkeys(self.short_matches(words), 0))
         return [(t, i, d) for (t, i), d in best.items()]
 
 

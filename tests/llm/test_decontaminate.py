@@ -82,3 +82,39 @@ def test_long_text():
     index = d.Index([d.Item(0, d.normal("one two three four five six seven eight nine ten eleven twelve"))])
     long = "filler words here " * 400_000
     assert index.matches([long, None, long + "One, two; three four five six seven eight nine ten eleven twelve", "", "b"]) == [(2, 0, 0)]
+
+
+UNSPACED = ["日本の首都はどこですか。東京です。", "中国最长的河流是哪一条？长江。", "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"]
+
+
+def test_texts_without_spaces():
+    index = d.Index([d.Item(k, d.normal(t)) for k, t in enumerate(UNSPACED)])
+    for k, t in enumerate(UNSPACED):
+        assert len(d.normal(t).split()) >= d.MIN_WORDS
+        assert index.matches([f"前文です、{t}後文です。", "ไม่มีอะไร", "别的东西，别的东西"]) == [(0, k, 0)]
+        changed = t[:4] + "x" + t[5:]
+        assert any((text, i) == (0, k) and 0 < distance <= 0.2 * len(d.normal(t)) for text, i, distance in index.matches([f"前文です、{changed}後文です。"]))
+    assert d.normal("Well—“quoted” words… 5€ \U0001f600x ありがとう・ござい") == "well quoted words 5 € \U0001f600 x あ り が と う ご ざ い".encode()
+
+
+def test_short_items():
+    items = ["Paris", "too short", "Who wrote Hamlet?", "東京", "a b c d", "too short", "", "?!", "one two three four five six"]
+    index = d.Index([d.Item(k, d.normal(t)) for k, t in enumerate(items)])
+    texts = ["In PARIS, far too... short", "parish, too long short", None, "x who wrote: hamlet", "who wrote", "hamlet?", "今日は東京へ", "京東", "a b c", "d a b c d e", "", "one two three four five six"]
+    found = set(index.matches(texts))
+    assert found == {(0, 0, 0), (0, 1, 0), (0, 5, 0), (3, 2, 0), (6, 3, 0), (9, 4, 0), (11, 8, 0)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=4), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("abc"), max_size=12), max_size=5))
+def test_short_items_brute_force(items, texts):
+    index = d.Index([d.Item(k, " ".join(w).encode()) for k, w in enumerate(items)])
+    brute = {(t, i, 0) for t, x in enumerate(texts) for i, w in enumerate(items) if any(x[a : a + len(w)] == w for a in range(len(x)))}
+    assert set(index.matches([" ".join(x) for x in texts])) == brute
+
+
+def test_short_and_unspaced_items_in_tables(spark):
+    docs = spark.createDataFrame([(1, "It is too short."), (2, f"前文。{UNSPACED[0]}後文。"), (3, "clean"), (4, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, "too short"), (8, UNSPACED[0])], "item_id long, text string")
+    assert {tuple(r)[:3] for r in d.find_leaks(docs, benchmark).collect()} == {(1, 7, 0), (2, 8, 0)}
+    assert sorted(r["doc_id"] for r in d.drop_leaks(docs, benchmark).collect()) == [3, 4]
