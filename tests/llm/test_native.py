@@ -99,3 +99,45 @@ def test_licenses(spark, odd, empty):
     assert got[4]["whole_license"] is None and got[5]["n_license_lines"] == 0
     assert licenses.scan(odd).count() == odd.count()
     assert licenses.scan(empty).count() == 0
+
+
+def rewrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + x for part in re.split(r"\n\s*\n", text) for x in [*textwrap.wrap(" ".join(part.split()), width, break_on_hyphens=False), ""])
+
+
+def test_known_texts_are_found_whole_and_inside(spark):
+    """Each shipped text as a whole, and inside a file between other lines in three layouts."""
+    import json
+
+    known = [json.loads(x) for x in licenses.TEXTS.read_text().splitlines()]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0", "MIT", "ISC"} <= {k["license"] for k in known}
+    rows = []
+    for i, k in enumerate(known):
+        text = k["text"]
+        body = text[text.index(k["body"]) :] if k["body"] else text
+        rows += [(10 * i, text), (10 * i + 1, body), (10 * i + 2, f"/* tool.c\n{body}\n*/\nint main() {{ return 0; }}\n"), (10 * i + 3, "# Readme\n\nSome words. " + " ".join(body.split()) + " And more."), (10 * i + 4, "x = 1\n" + body.rsplit(" ", 2)[0] + "\ny = 2\n")]
+        if len(body) < 2000:
+            rows += [(10 * i + 5, "head\n" + rewrapped(body, 50, " * ") + "code();")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for i, k in enumerate(known):
+        for at in (0, 1):
+            assert got[10 * i + at]["whole_license"] == k["license"], (k["license"], at)
+        for at in (0, 1, 2, 3, 5):
+            if 10 * i + at in got:
+                assert k["license"] in got[10 * i + at]["text_licenses"].split(","), (k["license"], at)
+        for at in (2, 3, 4):
+            assert got[10 * i + at]["whole_license"] is None
+        if not k["end"]:
+            assert k["license"] not in got[10 * i + 4]["text_licenses"].split(","), k["license"]
+
+
+def test_runs_of_any_table(spark):
+    """Without a licence word in a known text, all documents are looked into; runs are found at both ends and overlapping."""
+    known = spark.createDataFrame([("A", "one two three four five\nsix seven"), ("B", "five six seven\none two"), ("C", "short\ntext")], "license string, text string")
+    docs = spark.createDataFrame([(1, "One, two three\nfour five six. Seven one two"), (2, "one two three four five six sevens"), (3, None), (None, "x one two three four five six seven"), (4, "x five six seven one two")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_licenses"] for r in licenses.scan(docs, known).collect()}
+    assert got == {1: "A,B", 2: "", 3: "", None: "A", 4: "B"}
+    assert licenses.scan(docs, known.where("false")).where("text_licenses = ''").count() == 5
