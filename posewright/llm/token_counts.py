@@ -7,6 +7,10 @@ one. A character without a piece of its own scores less than any piece by 10 and
 fallback). A space is written as U+2581, one is put before the text, and no piece has U+2581 behind another
 character, so texts are cut there and equal chunks are searched once. Scores are summed exactly.
 
+No unigram vocabulary is given. The query searches the pieces of piece_bpe_32k.model, a BPE model whose scores are
+merge ranks, as if the ranks were unigram scores: n_tokens is the count of that search, not of the tokenizer whose
+file it is.
+
 Edge cases: null and empty texts have 0 tokens and score 0; texts of any length are counted whole; repeated rows
 give equal results.
 """

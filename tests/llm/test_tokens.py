@@ -148,3 +148,19 @@ def test_counts_query_and_odd_rows(spark, sf, odd, empty):
     rows = token_counts.count_tokens(odd, list(PIECES)).collect()
     assert len(rows) == odd.count() and sum(r["n_tokens"] == 0 for r in rows) == 3
     assert token_counts.count_tokens(empty, list(PIECES)).count() == 0
+
+
+def test_counts_are_not_the_shipped_tokenizers():
+    """The README and the docstring state this; the figures are of the first 400 documents of sf0.01, 700 characters each."""
+    import pathlib
+
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    shipped, own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), token_counts.Counter(PIECES)
+    texts = [t[:700] for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()[:400]]
+    pairs = [(len(shipped.encode(t)), own.count(t)[0]) for t in texts]
+    figures = [f"{n:,}" for n in (*map(sum, zip(*pairs)), sum(a != b for a, b in pairs))]
+    assert figures == ["103,552", "118,992", "400"]
+    readme = (pathlib.Path(__file__).parents[2] / "README.md").read_text()
+    assert all(f in readme for f in figures) and "not of the tokenizer whose" in token_counts.__doc__
