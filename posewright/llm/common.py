@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared spark.checkpoint.dir; only where it is unset (tests) take a local folder."""
+    """Use the cluster's shared spark.checkpoint.dir. Only in local mode, where driver and tasks are one process on
+    one machine, may it be unset; on a cluster that is an error, as no folder of one machine is right there."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="posewright-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="posewright-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
 
 
@@ -42,19 +49,33 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
-FILTER_BITS = 26
+#: Bits of a table for each key, and the least and the most slots of a table (2**20 bits are 128 KB, 2**28 are 32 MB).
+BITS_A_KEY = 16
+LEAST_BITS, MOST_BITS = 20, 28
+TABLE_PARTS = 64
 
 
 def bit_table(keys: DataFrame, column: str) -> np.ndarray:
-    """A table of 2**FILTER_BITS bits (8 MB, whatever the input) with the slot of every key set: a filter without misses."""
-    slot = F.pmod(column, F.lit(1 << FILTER_BITS))
-    words = keys.select(slot.alias("s")).distinct().groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits"))
-    rows = words.toArrow()  # as columns: 2**21 rows of Python objects would fill a driver
-    table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    table[rows["w"].to_numpy().astype(np.int64)] = rows["bits"].to_numpy().astype(np.uint32)
-    return table
+    """A table of bits with the slot of every key set: a filter without misses, of 32 MB at most. Beyond some 10^8 keys
+    it fills up and lets more and more other keys pass, which costs time and changes no result.
+
+    Tasks set the bits of one part of the table each; the driver only puts the parts side by side."""
+    n = keys.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (n * BITS_A_KEY).bit_length()))
+    size = (1 << bits) // TABLE_PARTS
+    slots = keys.select(F.pmod(column, F.lit(1 << bits)).alias("slot")).distinct().select(F.expr(f"cast(slot div {size} as int)").alias("part"), F.expr(f"cast(slot % {size} as int)").alias("at"))
+
+    def fill(table: pa.Table) -> pa.Table:
+        own = np.zeros(size, np.uint8)
+        own[table["at"].to_numpy()] = 1
+        return pa.table({"part": table["part"].slice(0, 1), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((TABLE_PARTS, size // 8), np.uint8)
+    for row in slots.groupBy("part").applyInArrow(fill, "part int, bits binary").toLocalIterator():
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel().view(np.uint32)
 
 
 def in_bit_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys.astype(np.int64) & np.int64((1 << FILTER_BITS) - 1)
+    slot = keys.astype(np.int64) & np.int64(len(table) * 32 - 1)
     return (table[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) == 1

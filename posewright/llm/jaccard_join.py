@@ -1,34 +1,41 @@
 """N-gram Jaccard join in the metric space of shingle sets.
 
-The Jaccard distance d is a metric, and two texts link when d <= 1/4. Equal sets are one member with many texts.
-
-1. Regions. Most distances are exactly 1, so pivots are sought among members that share a shingle which both need
-   for a link: a member's first n - ceil(3n/4) + 1 shingles in a global order (rare shingles first, by counts of
-   all sets in a table of fixed size, then by hash). Linked members share such a shingle, whatever the order is. Every such shingle's least member is a pivot, and each member joins
-   the region of every pivot that it meets so, which replicates the members at the boundaries of regions.
-2. Balls. The exact distance of every member to its pivots is found; members within 1/4 link to the pivot.
-3. Recursion. Members of a region in one component need no further look. In the others, a member outside the
-   largest component becomes the next pivot; by the triangle inequality only members whose distance to the old
-   pivot differs by at most 1/4 can link to it, and only those are compared. This repeats until no two members
-   of different components are left untried, so the result is exact. Large regions are cut into pairs of blocks.
-4. Components of the links by star contractions.
+The Jaccard distance d is a metric, and two texts link when d <= R = 1/4. Equal sets are one member with many texts.
+
+1. The mass at distance 1. Most sets share nothing, and no pivot tells them apart. Linked sets share one of their
+   first n - ceil(3n/4) + 1 shingles in any global order (here rare shingles first, by counts of all sets in a table
+   of fixed size, then by hash), so only the sets that meet under such a shingle are compared: its region. The
+   region's first pivot is its least member; a set is in the region of each pivot that it meets so.
+2. Balls. The exact distance of every member to its first pivots is found; members within R link to the pivot. What
+   these links connect needs no further look: a region of one component is done.
+3. Voronoi regions. In an open region of more than REGION_BLOCK members, PIVOTS further pivots are drawn from its
+   components by hash. Members within R of a pivot link to it. Each member belongs to the Voronoi region of its nearest
+   pivot, at distance h, and is replicated into that of every pivot within h + 2R: by the triangle inequality each
+   link between two members lies in one of these regions whole. They join recursively in the same way.
+4. Leaves. In a region of at most REGION_BLOCK members, those outside the largest component are compared with what
+   the triangle inequality leaves: members whose distance to the region's pivot differs by at most R, and whose size
+   allows a link. A region that pivots don't separate (its windows would hold over GROWTH times its members, or one
+   of them over half) is compared in blocks instead: members outside its largest component with all.
+5. Components of the links.
 
 Exact copies and hot near copies cost rows in proportion to their number: links go to pivots, never to all pairs.
 Shingles and sets are compared by 64-bit hashes.
 
 Edge cases: null and empty texts have an empty set, link with nothing and are their own component; fewer words than
-n make one shingle; repeated rows are members of equal sets; null ids stay null and count as larger than any other.
+n make one shingle; repeated rows are members of equal sets; null ids stay null and count as larger than any other;
+an empty table gives an empty result; only the id and text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +46,10 @@ from posewright.llm.hashing import groups, mixed, packed, unpacked, word_hashes
 N = 5
 LEVEL_BITS = 25
 REGION_BLOCK = 512
+BASE_BLOCK = 4096
+PIVOTS = 8
+GROWTH = 2.0
+R = 0.25
 PART_BYTES = 4_000_000
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, *range(9, 14)]] = False
@@ -175,23 +186,20 @@ def linked(common, size_a, size_b):
     return 100 * common >= 75 * (size_a + size_b - common)
 
 
-def join_region(keys: np.ndarray, sets: list[np.ndarray], component: np.ndarray, far: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
-    """Links that join what is still apart in a region. far: distance to the region's pivot; side: block of each
-    member where only pairs of different blocks are to be tried."""
+def join_region(keys: np.ndarray, sets: list[np.ndarray], component: np.ndarray, far: np.ndarray, probe: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links that join what is still apart in a region. far: distance to the region's pivot. probe: the members to be
+    compared with all others; None for a whole region, where those of the largest component need not be."""
     names, label = np.unique(component, return_inverse=True)
     sizes = np.array([len(s) for s in sets])
     flat, bounds = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    links, untried = [], np.ones(len(keys), bool)
+    links, untried = [], np.ones(len(keys), bool) if probe is None else probe.copy()
     while True:
-        largest = np.bincount(label, minlength=len(names)).argmax()
-        outside = np.flatnonzero(untried & (label != largest))
+        outside = np.flatnonzero(untried & (label != np.bincount(label, minlength=len(names)).argmax()) if probe is None else untried)
         if not len(outside):
             return links
         pivot = outside[0]
         untried[pivot] = False
-        may = (label != label[pivot]) & (np.abs(far - far[pivot]) <= 0.25 + 1e-9) & (4 * np.minimum(sizes, sizes[pivot]) >= 3 * np.maximum(sizes, sizes[pivot]))
-        if side is not None:
-            may &= side != side[pivot]
+        may = (label != label[pivot]) & (np.abs(far - far[pivot]) <= R + 1e-9) & (4 * np.minimum(sizes, sizes[pivot]) >= 3 * np.maximum(sizes, sizes[pivot]))
         if not may.any():
             continue
         at = np.minimum(np.searchsorted(sets[pivot], flat), sizes[pivot] - 1)
@@ -202,29 +210,83 @@ def join_region(keys: np.ndarray, sets: list[np.ndarray], component: np.ndarray,
                 label[label == label[other]] = label[pivot]
 
 
-def recurse(rows: DataFrame) -> DataFrame:
-    """(a, b): further links inside regions. rows: (pivot, k, component, far, shingles), the pivots themselves left out."""
-    size = Window.partitionBy("pivot")
-    cut = rows.withColumn("_blocks", F.ceil(F.count(F.lit(1)).over(size) / REGION_BLOCK).cast("int")).withColumn("_block", F.pmod(F.xxhash64("k"), "_blocks").cast("int"))
-    # a member of a region of many blocks goes to each pair of blocks that holds its own
-    dealt = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")})
+def leaf(table: pa.Table) -> pa.Table:
+    """One group of members; with a column `probe`, those to be compared with the others."""
+    sets = [np.frombuffer(s.as_py(), np.uint64) for s in table["shingles"]]
+    probe = np.array(table["probe"].to_pylist(), bool) if "probe" in table.column_names else None
+    found = join_region(table["k"].to_numpy(), sets, table["component"].to_numpy(), table["far"].to_numpy(), probe)
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """(a, b): links inside regions that pivots don't separate: REGION_BLOCK members outside the largest component
+    against BASE_BLOCK of all members at a time."""
+    sizes = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.sum("n").alias("n"), F.max_by("component", "n").alias("largest"), (F.sum("n") - F.max("n")).alias("n_probes"))
+    at = lambda n, size: F.pmod(F.xxhash64("k", F.lit(size)), F.ceil(F.col(n) / size)).cast("int")
+    spread = lambda n, size: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / size).cast("int") - 1))
+    placed = rows.join(cut_lineage(sizes), "region")
+    base = placed.withColumn("base", at("n", BASE_BLOCK)).withColumn("block", spread("n_probes", REGION_BLOCK)).withColumn("probe", F.lit(False))
+    probes = placed.where("component <> largest").withColumn("block", at("n_probes", REGION_BLOCK)).withColumn("base", spread("n", BASE_BLOCK)).withColumn("probe", F.lit(True))
+    return base.unionByName(probes).select("region", "block", "base", "probe", "k", "component", "far", "shingles").groupBy("region", "block", "base").applyInArrow(leaf, "a long, b long")
+
+
+def voronoi(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links to the pivots, members of the Voronoi regions, members of the regions that pivots don't separate).
+    rows: (region, k, component, far, shingles) of large regions."""
+    drawn = rows.groupBy("region", F.pmod(F.xxhash64("component", "region"), F.lit(PIVOTS)).alias("at")).agg(F.min_by(F.struct("k", "component", "shingles"), F.xxhash64("k", "region")).alias("pivot"))
+    pivots = cut_lineage(drawn.groupBy("region").agg(F.collect_list("pivot").alias("pivots")))  # PIVOTS a region at most
+
+    @F.pandas_udf("array<struct<k: long, component: long, far: double, links: boolean>>")
+    def measured(shingles: pd.Series, pivots: pd.Series) -> pd.Series:
+        out = []
+        for own, others in zip(shingles, pivots):
+            own, row = np.frombuffer(own, np.uint64), []
+            for p in others:
+                other = np.frombuffer(p["shingles"], np.uint64)
+                c = len(np.intersect1d(own, other, assume_unique=True))
+                row.append({"k": p["k"], "component": p["component"], "far": 1 - c / (len(own) + len(other) - c), "links": bool(linked(c, len(own), len(other)))})
+            out.append(row)
+        return pd.Series(out)
+
+    at_all = cut_lineage(rows.join(pivots, "region").withColumn("d", measured("shingles", "pivots")).drop("pivots", "far"))
+    links = at_all.select("k", F.explode(F.filter("d", lambda p: p["links"])).alias("p")).select(F.col("k").alias("a"), F.col("p.k").alias("b")).where("a <> b")
+    home = F.array_min(F.transform("d", lambda p: p["far"]))
+    # a member that links to a pivot is in that pivot's component from here on
+    joined = F.coalesce(F.get(F.filter("d", lambda p: p["links"]), 0)["component"], F.col("component"))
+    moved = at_all.select("region", "k", joined.alias("component"), "shingles", F.explode(F.filter("d", lambda p: p["far"] <= home + 2 * R + 1e-9)).alias("p"))
+    moved = moved.select("region", F.xxhash64("region", "p.k").alias("into"), "k", "component", F.col("p.far").alias("far"), "shingles")
+    own = at_all.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+    parts = moved.groupBy("region", "into").agg(F.count(F.lit(1)).alias("m")).groupBy("region").agg(F.sum("m").alias("m"), F.max("m").alias("most"))
+    grown = cut_lineage(parts.join(own, "region").select("region", ((F.col("m") > GROWTH * F.col("n")) | (2 * F.col("most") > F.col("n"))).alias("whole")))
+    apart = moved.join(grown.where("not whole"), "region", "left_semi").drop("region").withColumnRenamed("into", "region")
+    whole = rows.join(grown.where("whole"), "region", "left_semi")
+    return links, cut_lineage(still_open(apart)), whole
+
+
+def still_open(rows: DataFrame) -> DataFrame:
+    """Without the regions whose members are one component."""
+    done = rows.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low = high")
+    return rows.join(done, "region", "left_anti")
 
-    def run(table: pa.Table) -> pa.Table:
-        low, high = table["_low"][0].as_py(), table["_high"][0].as_py()
-        sets = [np.frombuffer(s.as_py(), np.uint64) for s in table["shingles"]]
-        side = table["_block"].to_numpy() if low != high else None
-        found = join_region(table["k"].to_numpy(), sets, table["component"].to_numpy(), table["far"].to_numpy(), side)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.drop("_other", "_blocks").groupBy("pivot", "_low", "_high").applyInArrow(run, "a long, b long")
+def recurse(rows: DataFrame) -> DataFrame:
+    """(a, b): further links inside open regions. rows: (region, k, component, far, shingles)."""
+    found = []
+    while True:
+        large = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REGION_BLOCK).select("region")
+        found.append(rows.join(large, "region", "left_anti").groupBy("region").applyInArrow(leaf, "a long, b long"))
+        if large.isEmpty():
+            break
+        links, rows, whole = voronoi(cut_lineage(rows.join(large, "region", "left_semi")))
+        found += [links, in_blocks(whole)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_links(docs: DataFrame, text_col: str, sketched: DataFrame, n: int = N) -> DataFrame:
     """(a, b): links between set keys whose components are those of all links."""
     rows = sketched.select("k", F.explode("prefix").alias("shingle"))
-    by_shingle = Window.partitionBy("shingle")
-    met = rows.withColumn("pivot", F.min("k").over(by_shingle)).where("k <> pivot").groupBy("k", "pivot").agg(F.count(F.lit(1)).alias("_n")).select("k", "pivot")
-    met = cut_lineage(met)
+    pivots = rows.groupBy("shingle").agg(F.min("k").alias("pivot"), F.max("k").alias("most")).where("pivot <> most").select("shingle", "pivot")
+    met = cut_lineage(rows.join(pivots, "shingle").where("k <> pivot").select("k", "pivot").distinct())
     wanted = met.select("k").unionByName(met.select(F.col("pivot").alias("k"))).distinct()
     sets = cut_lineage(members_with_sets(docs, text_col, wanted, n))
     pairs = (
@@ -234,11 +296,10 @@ def near_links(docs: DataFrame, text_col: str, sketched: DataFrame, n: int = N)
     )
     pairs = cut_lineage(pairs)
     links = pairs.where("links").select(F.col("k").alias("a"), F.col("pivot").alias("b"))
-    labels = components(links)
-    placed = pairs.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
-    # regions whose members, the pivot apart, are one component are done
-    open_regions = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("pivot")
-    rest = placed.join(open_regions, "pivot", "left_semi").select("pivot", "k", "component", "far").join(sets, "k")
+    labels = components(links).withColumnRenamed("node", "k")
+    placed = pairs.join(labels, "k", "left").select(F.col("pivot").alias("region"), "k", F.coalesce("component", "k").alias("component"), "far")
+    # the pivot itself needs no row: it was compared with every member
+    rest = cut_lineage(still_open(placed).join(sets, "k"))
     return links.unionByName(recurse(rest))
 
 
@@ -249,7 +310,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(near_links(docs, text_col, sketched, n)).select(F.col("node").alias("k"), "component")
     placed = sketched.drop("prefix").join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
     placed = cut_lineage(placed)
-    least = placed.where("n_shingles > 0").groupBy("component").agg(F.min(id_col).alias("component_id"))
+    least = cut_lineage(placed.where("n_shingles > 0").groupBy("component").agg(F.min(id_col).alias("component_id")))
     joined = placed.join(least, "component", "left")
     return joined.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from posewright.llm import jaccard_join as j
@@ -51,6 +52,7 @@ def test_query_brute_force(spark, sf):
 def test_chains_of_near_copies(spark, block, monkeypatch):
     """Copies drift, so that many lie outside their pivot's ball and regions must join recursively, in blocks too."""
     monkeypatch.setattr(j, "REGION_BLOCK", block)
+    monkeypatch.setattr(j, "BASE_BLOCK", 20)
     rng, rows, i = random.Random(1), [], 0
     for size in (40, 60, 120):
         base = [f"w{rng.randrange(3000)}" for _ in range(size)]
@@ -67,6 +69,30 @@ def test_chains_of_near_copies(spark, block, monkeypatch):
     assert run(df) == brute(rows)
 
 
+def test_voronoi_regions(spark, monkeypatch):
+    """Clusters under one common shingle: pivots separate them, windows replicate what lies between, links stay whole."""
+    monkeypatch.setattr(j, "REGION_BLOCK", 6)
+    rng, members = random.Random(3), []
+    for c in range(8):
+        base = {rng.getrandbits(60) for _ in range(40)}
+        for _ in range(12):
+            kept = sorted(base)[: 40 - rng.randrange(16)]
+            members.append(sorted({1, *kept, *(rng.getrandbits(60) for _ in range(rng.randrange(6)))}))
+    rows = [(7, k, k, 0.9, np.array(m, np.uint64).tobytes()) for k, m in enumerate(members)]
+    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in j.recurse(spark.createDataFrame(rows, "region long, k long, component long, far double, shingles binary")).collect()}
+    assert got
+    want = [(a, b) for a in range(len(members)) for b in range(a + 1, len(members)) if j.linked(len(set(members[a]) & set(members[b])), len(members[a]), len(members[b]))]
+
+    def parts(edges):
+        own = list(range(len(members)))
+        for a, b in edges:
+            a, b = own[a], own[b]
+            own = [min(a, b) if x in (a, b) else x for x in own]
+        return own
+
+    assert parts(got) == parts(want) and got <= set(want)
+
+
 def test_odd_rows(odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     want = [(i, n, c if n else i) for (i, n, c) in brute(rows)]
