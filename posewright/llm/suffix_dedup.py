@@ -9,15 +9,15 @@ Every byte is removed that a string of LENGTH bytes covers which also starts any
    are cut off that agree with no other piece even in whole steps of STEP bytes from the anchor.
 3. Suffix arrays. A shard's pieces are sorted by induced sorting; where the permuted common prefix of a suffix with
    either neighbour has LENGTH bytes, its window repeats.
-4. Anchor strings with more than HOT occurrences would fill one shard. Their windows are grouped by hash over all
-   tasks instead, which is exact too: each range of hashes is counted on its own, and the repeated ones are looked
-   up again in blocks of HOT_WINDOWS at most.
+4. Anchor strings with more than HOT occurrences would fill one shard. They get longer anchors, first one around
+   every RUN windows, then whole windows, which Spark counts like any keys: what stands nowhere else is dropped, and
+   what is equal throughout repeats. Such windows reach no suffix array.
 5. The repeated windows are joined back to their texts, merged and cut out.
 
-Texts and windows of hot anchors are compared by 64-bit hashes. Texts that occur twice or more as a whole are
-removed whole if they have LENGTH bytes.
+Texts, and the windows of hot anchors, are told apart by 64-bit hashes. Texts that occur twice or more as a whole are removed whole if
+they have LENGTH bytes.
 
-Edge cases: null and empty texts have no bytes and lose none; texts shorter than LENGTH are kept; repeated rows
+Edge cases: an empty table gives an empty result; only the id and text columns are read, so others may have any name; null and empty texts have no bytes and lose none; texts shorter than LENGTH are kept; repeated rows
 count as occurrences of their own; texts of any length are handled in slices that overlap by a window.
 """
 
@@ -32,15 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from posewright.llm.common import bit_table, cut_lineage, in_bit_table, read
-from posewright.llm.hashing import mixed, packed, powers, unpacked
+from posewright.llm.hashing import mixed, powers
 from posewright.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 400
 GRAM = 32
 STEP = 50
-HOT = 1500
-HOT_WINDOWS = 2_000_000
-PART_BYTES = 4_000_000
+HOT = 600
+RUN = 16
 SHARD_BYTES = 1_000_000
 SLICE = 1_500_000
 PIECE_SCHEMA = "fp long, tk long, begin long, rel int, data binary"
@@ -218,75 +217,64 @@ def repeated_in_shard(fp: np.ndarray, tk: np.ndarray, begin: np.ndarray, rel: np
     return spans
 
 
-def windows_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, tk, start) of every window of the pieces, some pieces at a time, in order."""
-    tk, begin = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-    for low in range(0, batch.num_rows, 2000):
-        data = batch.column(4).slice(low, 2000).to_pylist()
-        sizes = np.array([len(d) for d in data])
-        begins = np.cumsum(sizes) - sizes
-        windows = sizes - length + 1
-        hashes = gram_hashes(b"".join(data), length)
-        within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        k = np.repeat(np.arange(len(data)), windows)
-        yield hashes[begins[k] + within].astype(np.int64), tk[low + k], begin[low + k] + within
-
-
-def hot_spans(found: DataFrame, n_pieces: int, length: int) -> DataFrame:
-    """Spans of the windows of hot anchor strings that occur at two places or more.
-
-    Tasks send the hashes of their windows sorted and packed to the part that counts their range, never as rows. The
-    repeated ones come back in blocks of HOT_WINDOWS at most, each broadcast for one pass over the hot pieces.
-    """
-    bits = min(20, max(4, (n_pieces * 1500 // PART_BYTES).bit_length()))
-    rest = np.uint64(64 - bits)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = np.sort(np.concatenate([w.view(np.uint64) for w, _, _ in windows_of(batch, length)] or [np.zeros(0, np.uint64)]))
-            twice = np.append(hashes[1:] == hashes[:-1], False)
-            more = np.append(False, twice[:-1]) & twice
-            hashes = hashes[~more]  # two of a kind tell as much as more
-            bounds = np.append(np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << rest), len(hashes))
-            parts = np.flatnonzero(np.diff(bounds))
-            low = (hashes & ((np.uint64(1) << rest) - np.uint64(1))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([packed(low[bounds[p] : bounds[p + 1]]) for p in parts], pa.binary())], names=["part", "hashes"])
-
-    def count(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        values, counts = np.unique(np.concatenate([unpacked(h.as_py()) for h in table["hashes"]]), return_counts=True)
-        twice = (values[counts > 1].astype(np.uint64) | (np.uint64(part) << rest)).astype(np.int64)
-        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(twice)], pa.int64()), "windows": pa.array([twice.tobytes()], pa.binary())})
-
-    repeated = cut_lineage(found.mapInArrow(send, "part int, hashes binary").groupBy("part").applyInArrow(count, "part int, n long, windows binary").where("n > 0"))
-    out, block, size = None, [], 0
-    for row in [*repeated.orderBy("part").toLocalIterator(), None]:
-        if row is None or size + row["n"] > HOT_WINDOWS and block:
-            spans = cut_windows(found, np.sort(np.concatenate(block)) if block else np.zeros(0, np.int64), length)
-            out, block, size = spans if out is None else out.unionByName(spans), [], 0
-        if row is not None:
-            block.append(np.frombuffer(row["windows"], np.int64))
-            size += row["n"]
-    return out
-
-
-def cut_windows(found: DataFrame, known: np.ndarray, length: int) -> DataFrame:
-    """Spans of the windows whose hash is known, runs of neighbours in one."""
-    shared = found.sparkSession.sparkContext.broadcast(known)
+def runs_of_windows(pieces: DataFrame, length: int) -> DataFrame:
+    """(key, tk, begin, hashes): the windows of each piece in runs of RUN, by how many bytes they have before the anchor.
+    key: hash of the string around the anchor that all windows of such a run have in common; begin: place of the first;
+    hashes: 8 bytes for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches if len(known) else ():
-            for w, tk, at in windows_of(batch, length):
-                hit = known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w
-                tk, at = tk[hit], at[hit]
-                if len(at):
-                    new = np.append(True, (tk[1:] != tk[:-1]) | (at[1:] != at[:-1] + 1))
-                    first = np.flatnonzero(new)
-                    last = np.append(first[1:], len(at)) - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(tk[first]), pa.array(at[first]), pa.array(at[last] + length)], names=["tk", "begin", "end"])
+        for batch in batches:
+            fp, tk, begin, rel = (batch.column(k).to_numpy() for k in range(4))
+            for low in range(0, batch.num_rows, 2000):
+                data = batch.column(4).slice(low, 2000).to_pylist()
+                sizes = np.array([len(d) for d in data])
+                starts = np.cumsum(sizes) - sizes
+                flat = b"".join(data)
+                sums, down = prefix_sums(flat)
+                hashes = gram_hashes(flat, length)
+                n = sizes - length + 1
+                k = np.repeat(np.arange(len(data)), n)
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                before = rel[low + k] - within
+                first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (before[1:] // RUN != before[:-1] // RUN)))
+                ends = np.append(first[1:], len(k))
+                own, least = k[first], before[first] // RUN * RUN
+                anchor = starts[own] + rel[low + own]
+                # the run's common string; a piece that lacks part of the run still holds all of it
+                x, z = anchor - least, anchor + length - np.minimum(least + RUN - 1, length - GRAM)
+                key = mixed(((sums[z] - sums[x]) * down[x]) ^ mixed(fp[low + own].astype(np.uint64) + least.astype(np.uint64)))
+                every = hashes[starts[k] + within].tobytes()
+                out = [every[8 * a : 8 * b] for a, b in zip(first.tolist(), ends.tolist())]
+                # where a piece begins or ends inside a run, only equal parts of the run count as equal: their place is in the key
+                shift = before[first] - least
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(tk[low + own]), pa.array(begin[low + own] + within[first]), pa.array(shift.astype(np.int32)), pa.array(out, pa.binary())], names=["key", "tk", "begin", "shift", "hashes"])
+
+    return pieces.select("fp", "tk", "begin", "rel", "data").mapInArrow(run, "key long, tk long, begin long, shift int, hashes binary")
+
+
+def hot_spans(hot: DataFrame, length: int) -> DataFrame:
+    """Spans of the windows of hot anchors that stand at two places or more, found by ever longer anchors: runs of
+    windows with a common string that stands nowhere else can't repeat, runs that are all equal do, and the windows of
+    the others are counted each. Hot keys are only counted and joined, so Spark can combine and split their rows."""
+    runs = cut_lineage(runs_of_windows(hot, length))
+    place, content = F.struct("tk", F.col("begin") + F.col("shift")), F.xxhash64("hashes", "shift")
+    keys = runs.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.min(content).alias("low"), F.max(content).alias("high")).where("a <> z")
+    kept = cut_lineage(runs.join(cut_lineage(keys.select("key", (F.col("low") == F.col("high")).alias("equal"))), "key"))
+    equal = kept.where("equal").select("tk", "begin", (F.col("begin") + F.octet_length("hashes") / 8 + (length - 1)).cast("long").alias("end"))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.array([len(h) // 8 for h in batch.column(2).to_pylist()], np.int64)
+            if len(counts):
+                k = np.repeat(np.arange(len(counts)), counts)
+                within = np.arange(len(k)) - np.repeat(np.cumsum(counts) - counts, counts)
+                hashes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(batch.column(0).to_numpy()[k]), pa.array(batch.column(1).to_numpy()[k] + within)], names=["window", "tk", "begin"])
 
-    return found.mapInArrow(run, SPAN_SCHEMA)
+    windows = kept.where("not equal").select("tk", "begin", "hashes").mapInArrow(single, "window long, tk long, begin long")
+    at = F.struct("tk", "begin")
+    twice = cut_lineage(windows.groupBy("window").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a <> z").select("window"))
+    return equal.unionByName(windows.join(twice, "window").select("tk", "begin", (F.col("begin") + length).alias("end")))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -297,10 +285,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     place = F.struct("tk", "pos")
     counted = occurrences(long, length).groupBy("fp").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n"))
     strings = cut_lineage(counted.where("low <> high").select("fp", "n"))
+    found = cut_lineage(pieces(long, bit_table(strings, "fp"), length).join(strings, "fp"))
     sizes = strings.agg(F.sum(F.when(F.col("n") <= HOT, F.col("n"))).alias("cold"), F.sum(F.when(F.col("n") > HOT, F.col("n"))).alias("hot")).first()
     n_shards = max(1, (sizes["cold"] or 0) * 600 // SHARD_BYTES)
-    found = pieces(long, bit_table(strings, "fp"), length).join(strings, "fp")
-    found = cut_lineage(found)
 
     def run(table: pa.Table) -> pa.Table:
         fp, tk, begin, rel = (table[c].to_numpy() for c in ("fp", "tk", "begin", "rel"))
@@ -309,7 +296,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     cold = found.where(F.col("n") <= HOT).withColumn("_shard", F.pmod(F.xxhash64("fp"), F.lit(n_shards))).groupBy("_shard").applyInArrow(run, SPAN_SCHEMA)
     spans = copies.unionByName(cold)
-    return spans.unionByName(hot_spans(found.where(F.col("n") > HOT).drop("n"), sizes["hot"], length)) if sizes["hot"] else spans
+    return spans.unionByName(hot_spans(found.where(F.col("n") > HOT), length)) if sizes["hot"] else spans
 
 
 def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
