@@ -12,6 +12,7 @@ empty lexicon.
 
 from __future__ import annotations
 
+import heapq
 import json
 import mmap
 import re
@@ -37,6 +38,7 @@ MEMO_CHUNKS = 600_000
 SLICE = 1_000_000
 #: White space as the tokenizer's \s has it, and its pattern of words.
 GAP = re.compile("[\t-\r \x85\xa0  -     　]+")
+LONG_WORD = 200
 PYTHON_ONLY_GAP = re.compile("[\x1c-\x1f]")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -74,6 +76,9 @@ class Merges:
         if not parts:
             return []
         parts[-1] += self.suffix
+        if len(parts) > LONG_WORD:
+            parts = self.merge_long(parts)
+            return [self.vocab[p] for p in parts if p in self.vocab]
         ranks = [self.ranks.get(p, 1 << 60) for p in zip(parts, parts[1:])]
         while ranks:
             best = min(ranks)
@@ -89,6 +94,26 @@ class Merges:
         return [self.vocab[p] for p in parts if p in self.vocab]
 
 
+    def merge_long(self, parts: list[str]) -> list[str]:
+        """The same merges over a linked list and a heap: n log n for a word of n bytes."""
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:])) if (r := self.ranks.get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j == len(parts) or self.ranks.get((parts[i], parts[j])) != rank:
+                continue  # one of the two has been merged meanwhile
+            parts[i], parts[j] = parts[i] + parts[j], ""
+            after[i] = k = after[j]
+            if k < len(parts):
+                before[k] = i
+            for x in (before[i], i):
+                if x >= 0 and after[x] < len(parts) and (r := self.ranks.get((parts[x], parts[after[x]]))) is not None:
+                    heapq.heappush(heap, (r, x))
+        return [p for p in parts if p]
+
+
 def chunks_of(text: str) -> list[str]:
     """What stands between white space, in the tokenizer's normal form."""
     if not unicodedata.is_normalized("NFC", text):

@@ -63,6 +63,10 @@ PROSE = r"(?![ \t]+(?:holders?|owners?|notices?|licen[cs]es?|laws?|act|interests
 WORDY = "licen[cs]e|warrant|permission"
 
 
+#: A text stands for itself under two 64-bit hashes, so rows with one id, or with none, keep apart.
+KEYS = ("_text_key", "_text_check")
+
+
 def folded(text: Column) -> Column:
     """Text without copyright lines, case, punctuation and white space; empty for null."""
     out = F.lower(F.coalesce(text, F.lit("")))
@@ -120,8 +124,8 @@ def long_texts(known: DataFrame) -> DataFrame:
     return several.where(F.size(words) >= ANCHOR).select("license", F.sha2(form, 256).alias("digest"), F.size(words).alias("n_words"), run_hash(words, F.lit(1)).alias("anchor"), F.regexp_like(form, F.lit(WORDY)).alias("wordy"))
 
 
-def run_digests(docs: DataFrame, lengths: dict[int, list[int]], wordy: bool, id_col: str) -> DataFrame:
-    """(id, digest) of the runs of words that begin with an anchor, of each length that it may have. A few documents
+def run_digests(docs: DataFrame, lengths: dict[int, list[int]], wordy: bool) -> DataFrame:
+    """(KEYS, digest) of the runs of words that begin with an anchor, of each length that it may have. A few documents
     hold a licence word; if every known text does, no other is cut into words."""
     if wordy:
         docs = docs.where(F.regexp_like(F.lower("_text"), F.lit(WORDY)))
@@ -131,7 +135,7 @@ def run_digests(docs: DataFrame, lengths: dict[int, list[int]], wordy: bool, id_
         starts = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (ANCHOR - 1))), lambda at: F.struct(at.alias("at"), run_hash(words, at).alias("anchor"))), lambda s: s["anchor"].isin(list(lengths)))
         return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(F.element_at(lengths_of, s["anchor"]), lambda n: F.sha2(F.array_join(F.slice(words, s["at"], n), " "), 256)))))
 
-    return docs.select(id_col, F.explode(let(F.split(spelled(folded(F.col("_text"))), " "), runs)).alias("digest"))
+    return docs.select(*KEYS, F.explode(let(F.split(spelled(folded(F.col("_text"))), " "), runs)).alias("digest"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,19 +152,20 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     lengths: dict[int, list[int]] = {}
     for row in forms:
         lengths.setdefault(row["anchor"], []).append(row["n_words"])
-    docs = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    whole = docs.select(id_col, digest(F.col("_text")).alias("digest")).join(digests.withColumnRenamed("license", "whole_license"), "digest", "left")
-    parts = docs.select(id_col, F.explode(F.filter(F.split(F.coalesce("_text", F.lit("")), "\n"), lambda s: F.regexp_like(s, F.lit("\\S")))).alias("_line")).select(id_col, digest(F.col("_line")).alias("digest"), F.lit("line").alias("place"))
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.select(F.col(id_col), body.alias("_text"), F.xxhash64(body).alias(KEYS[0]), F.xxhash64(F.lit(9), body).alias(KEYS[1]))
+    whole = docs.select(id_col, *KEYS, digest(F.col("_text")).alias("digest")).join(digests.withColumnRenamed("license", "whole_license"), "digest", "left")
+    lines = F.posexplode(F.filter(F.split("_text", "\n"), lambda s: F.regexp_like(s, F.lit("\\S"))))
+    parts = docs.select(*KEYS, lines.alias("_at", "_line")).select(*KEYS, "_at", digest(F.col("_line")).alias("digest"), F.lit("line").alias("place"))
     if lengths:
-        parts = parts.unionByName(run_digests(docs, lengths, all(row["wordy"] for row in forms), id_col).withColumn("place", F.lit("run")))
+        parts = parts.unionByName(run_digests(docs, lengths, all(row["wordy"] for row in forms)).withColumns({"_at": F.lit(0), "place": F.lit("run")}))
     is_line = F.col("place") == "line"
     matched = (
         parts.join(found, ["digest", "place"])
-        .groupBy(id_col)
-        .agg(F.array_sort(F.collect_set(F.when(is_line, F.col("license")))).alias("line_licenses"), F.count_if(is_line).alias("n_license_lines"), F.array_sort(F.collect_set(F.when(~is_line, F.col("license")))).alias("text_licenses"))
-        .withColumnRenamed(id_col, "_id")
+        .groupBy(*KEYS)  # equal texts are one, so a line counts once by its place
+        .agg(F.array_sort(F.collect_set(F.when(is_line, F.col("license")))).alias("line_licenses"), F.size(F.collect_set(F.when(is_line, F.col("_at")))).alias("n_license_lines"), F.array_sort(F.collect_set(F.when(~is_line, F.col("license")))).alias("text_licenses"))
     )
-    joined = whole.join(matched, whole[id_col].eqNullSafe(matched["_id"]), "left").drop("_id")
+    joined = whole.join(matched, list(KEYS), "left")
     names = [F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("line_licenses", "text_licenses")]
     return joined.select(id_col, F.col("digest").alias("canonical_sha256"), "whole_license", names[0], F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"), names[1])
 

@@ -6,7 +6,9 @@ add up, PEM and OpenSSH private keys, signed tokens whose header names an algori
 space and by literal \\n, \\r and \\t escapes, as in JSON and .env files; a key ends where its own lengths say.
 
 Edge cases: null and empty texts have no spans; texts of any length are scanned whole; spans count code points,
-end exclusive; repeated rows give equal results.
+end exclusive; repeated rows give equal results; an empty table gives an empty result. A scan reads the id and text
+columns alone and redaction changes the text column alone, so other columns may have any name.
+Not decoded: base64 of fewer than LEAST_CHARS characters and hex of fewer than 64, as no private key is that short.
 """
 
 from __future__ import annotations
@@ -175,7 +177,7 @@ def pem_blocks(text: str) -> Iterator[tuple[int, str, int]]:
 def is_token_header(text: str) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
-    except (binascii.Error, ValueError):
+    except (binascii.Error, ValueError, RecursionError):  # a header of thousands of open brackets is none
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 

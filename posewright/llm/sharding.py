@@ -5,9 +5,12 @@ shard is drawn exactly (a multivariate hypergeometric draw row by row of the mat
 partition sizes and column sums the shard capacities). Each partition is permuted, cut at the drawn counts,
 exchanged, and every shard is permuted again: a uniform shuffle with shard sizes at most one row apart.
 
-Edge cases: null keys hash like any value; repeated rows are ranked arbitrarily among themselves, which no
-result can show; an empty table gives an empty result; columns of the input that are called like an output
-column are replaced.
+Law `rows`: counts at most one apart. Rows of equal texts may go to different shards.
+
+Edge cases: null keys hash like any value; rows of one key are told apart by their other columns, and rows equal in all
+are ranked arbitrarily among themselves, which no result can show (copies of one row in all columns are one partition's
+work); an empty table gives an empty result; columns of the input that are called shard or slot are replaced, others
+may have any name.
 """
 
 from __future__ import annotations
@@ -15,44 +18,29 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from posewright.llm.common import read
+from posewright.llm.common import cut_lineage, read
 
 N_PARTS = 4096
 N_SUBS = 512
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """Exact draw by inversion, walking outwards from the mode: O(standard deviation) steps, any size."""
+    """Draw by inversion from the weights around the mode, each from the next by their exact ratio, so no large
+    logarithms cancel; what lies beyond 40 standard deviations is below any double."""
     total, low, high = good + bad, max(0, draws - bad), min(good, draws)
     if low == high:
         return low
     mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
-    comb = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    p_mode = math.exp(comb(good, mode) + comb(bad, draws - mode) - comb(total, draws))
-    left = rng.random()
-    left -= p_mode
-    if left <= 0:
-        return mode
-    up, down, p_up, p_down = mode, mode, p_mode, p_mode
-    while up < high or down > low:
-        if up < high:
-            p_up *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
-            up += 1
-            left -= p_up
-            if left <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
-            down -= 1
-            left -= p_down
-            if left <= 0:
-                return down
-        if p_up < 1e-300 and p_down < 1e-300:
-            break
-    return mode
+    wide = 50 + int(40 * math.sqrt(draws * (good / total) * (bad / total)))
+    k = np.arange(max(low, mode - wide), min(high, mode + wide) + 1, dtype=np.float64)
+    steps = np.log(good - k[:-1]) + np.log(draws - k[:-1]) - np.log(k[1:]) - np.log(bad - draws + k[1:])
+    logs = np.concatenate(([0.0], np.cumsum(steps)))
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[0]) + int(np.searchsorted(sums, rng.random() * sums[-1], "right").clip(0, len(k) - 1))
 
 
 def communication_matrix(sizes: list[int], n_shards: int, seed: int) -> list[list[int]]:
@@ -76,42 +64,42 @@ def shuffle_into_shards(df: DataFrame, keys: list[str], n_shards: int = 8, seed:
     """All columns of `df` plus shard int (0 to n_shards - 1) and slot long (gapless from 0 in each shard).
 
     Only N_PARTS counts come to the driver, and only N_PARTS and n_shards * N_SUBS rows are broadcast,
-    whatever the input's size.
+    whatever the input's size. The rows are dealt once and written to the checkpoint folder, so that slots stay gapless
+    whatever is computed again.
     """
     spark = df.sparkSession
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    df = df.drop("shard", "slot")
-    rest = [c for c in df.columns if c not in keys and dict(df.dtypes)[c] in ("bigint", "int", "string", "double")]
-    part = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(N_PARTS)).cast("int")
+    # the rows travel as one struct, so that no helper column can clash with theirs
+    rows = df.drop("shard", "slot")
+    kept = rows.columns
+    values = [rows[f"`{c}`"] for c in kept]
+    plain = [v if kind.typeName() != "map" else F.map_entries(v) for v, kind in zip(values, (f.dataType for f in rows.schema.fields))]
+    # hot keys are told apart by the rest of their rows
+    rows = rows.select(F.struct(*values).alias("row"), F.xxhash64(F.lit(seed), *(rows[f"`{k}`"] for k in keys), *plain).alias("h"))
+    rows = rows.withColumn("part", F.pmod("h", F.lit(N_PARTS)).cast("int"))
     sizes = [0] * N_PARTS
-    for row in df.groupBy(part.alias("p")).count().collect():
-        sizes[row["p"]] = row["count"]
+    for row in rows.groupBy("part").count().collect():
+        sizes[row["part"]] = row["count"]
     cuts = []
     for i, row in enumerate(communication_matrix(sizes, n_shards, seed)):
         ends = [sum(row[: j + 1]) for j in range(n_shards)]
         cuts.append((i, ends))
-    matrix = F.broadcast(spark.createDataFrame(cuts, "_part int, _ends array<bigint>"))
+    matrix = F.broadcast(spark.createDataFrame(cuts, "part int, ends array<bigint>"))
 
-    local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 1), *keys), *keys, *rest)
+    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 1), "h"), "h")
     dealt = (
-        df.withColumn("_part", part)
-        .withColumn("_rank", F.row_number().over(local))
-        .join(matrix, "_part")
-        .withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank"))))
-        .withColumn("_key", F.xxhash64(F.lit(seed + 2), *keys))
-        .withColumn("_sub", F.shiftrightunsigned("_key", 64 - N_SUBS.bit_length() + 1).cast("int"))
-        .drop("_part", "_rank", "_ends")
-    )
-    ahead = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("shard", "_sub").count().select("shard", "_sub", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_sub").orderBy("_key", *keys, *rest)
-    return (
-        dealt.withColumn("_rank", F.row_number().over(inside))
-        .join(F.broadcast(starts), ["shard", "_sub"])
-        .withColumn("slot", (F.col("_start") + F.col("_rank") - 1).cast("long"))
-        .drop("_sub", "_key", "_rank", "_start")
+        rows.withColumn("rank", F.row_number().over(local))
+        .join(matrix, "part")
+        .select("row", F.size(F.filter("ends", lambda e: e < F.col("rank"))).alias("shard"), F.xxhash64(F.lit(seed + 2), "h").alias("key"))
+        .withColumn("sub", F.shiftrightunsigned("key", 64 - N_SUBS.bit_length() + 1).cast("int"))
     )
+    dealt = cut_lineage(dealt)
+    ahead = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("shard", "sub").count().select("shard", "sub", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("shard", "sub").orderBy("key")
+    placed = dealt.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(starts), ["shard", "sub"])
+    return placed.select(*(F.col("row")[c].alias(c) for c in kept), "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

@@ -141,3 +141,21 @@ def test_runs_of_any_table(spark):
     got = {r["doc_id"]: r["text_licenses"] for r in licenses.scan(docs, known).collect()}
     assert got == {1: "A,B", 2: "", 3: "", None: "A", 4: "B"}
     assert licenses.scan(docs, known.where("false")).where("text_licenses = ''").count() == 5
+
+
+def test_sharding_helper_names_and_ties(spark):
+    """Columns with any name, hot and null keys, rows equal in all columns: gapless slots, sizes one apart."""
+    rows = [(k % 3 if k % 5 else None, k // 4, 1.0, "x") for k in range(200)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, _part long, _rank double, `a.b` string").repartition(5)
+    got = sharding.shuffle_into_shards(df, ["doc_id"], 7).collect()
+    assert len(got) == 400 and {"_part", "_rank", "a.b", "doc_id", "shard", "slot"} == set(got[0].asDict())
+    sizes = collections.Counter(r["shard"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in sorted(sizes) for k in range(sizes[s])]
+
+
+def test_license_lines_of_repeated_rows(spark):
+    line = licenses.KNOWN_LICENSES[0][1]
+    rows = [(1, f"code\n{line}"), (1, f"code\n{line}"), (None, f"{line}\n{line}"), (None, "no licence here")]
+    got = sorted((str(r["doc_id"]), r["n_license_lines"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("1", 1), ("1", 1), ("None", 0), ("None", 2)]

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 from posewright.llm import secrets
 from posewright.llm.queries import QUERIES
@@ -117,3 +118,12 @@ def test_redact_key_forms(spark):
     wrapped = "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))
     rows = [(1, "a " + base64.urlsafe_b64encode(LONG_KEY).decode()), (2, "a " + wrapped), (3, "a -----BEGIN PRIVATE KEY-----\\n" + wrapped.replace("\n", "\\n") + "\\n-----END PRIVATE KEY-----")]
     assert [r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == ["a [secret]"] * 3
+
+
+def test_hostile_texts_end_soon():
+    """A header of open brackets, a million spaces behind an armour's first line, a long run of one letter."""
+    header = base64.urlsafe_b64encode(b"[" * 200_000).decode().rstrip("=")
+    began = time.perf_counter()
+    for text in (f"{header}.eyJh.abc", "-----BEGIN PRIVATE KEY-----" + " " * 1_000_000, "M" * 1_000_000, "A" * 1_000_000):
+        assert all(k <= 2 for _, k, _ in secrets.confirmed_spans(text))
+    assert time.perf_counter() - began < 30

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -164,3 +165,22 @@ def test_counts_are_not_the_shipped_tokenizers():
     assert figures == ["103,552", "118,992", "400"]
     readme = (pathlib.Path(__file__).parents[2] / "README.md").read_text()
     assert all(f in readme for f in figures) and "not of the tokenizer whose" in token_counts.__doc__
+
+
+def test_long_words_merge_alike_and_fast(library):
+    merges = bpe.Merges(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
+    rng = random.Random(5)
+    for n in (201, 400, 900):
+        for letters in ("ab", "etaoin", "xyzé'"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            parts = [merges.bytes[b] for b in word.encode()]
+            parts[-1] += merges.suffix
+            long, merges_at = merges.merge(word), bpe.LONG_WORD
+            bpe.LONG_WORD = 10**9
+            try:
+                assert merges.merge(word) == long
+            finally:
+                bpe.LONG_WORD = merges_at
+    began = time.perf_counter()
+    assert merges.merge("".join(rng.choice("etaoinshr") for _ in range(1_000_000)))
+    assert time.perf_counter() - began < 60
