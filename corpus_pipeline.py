@@ -20,9 +20,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_classifier.fit(docs, labels)
     if model is None:
         return docs
-    # the score goes under a name of its own, as documents may have a column of any name
-    scored = quality_classifier.score(docs, model, name="_quality")
-    return scored.where(F.col("_quality") >= quality_classifier.THRESHOLD).drop("_quality")
+    # the score goes under a name that the documents don't have
+    name = "quality" + "_" * (1 + max(map(len, docs.columns)))
+    scored = quality_classifier.score(docs, model, name=name)
+    return scored.where(F.col(name) >= quality_classifier.THRESHOLD).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
