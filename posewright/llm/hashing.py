@@ -9,7 +9,7 @@ import numpy as np
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x100000001B3
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 500_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -44,7 +44,7 @@ from posewright.llm.components import components
 from posewright.llm.hashing import groups, mixed, packed, unpacked, word_hashes
 
 N = 5
-LEVEL_BITS = 25
+LEVEL_BITS = 24
 REGION_BLOCK = 512
 BASE_BLOCK = 4096
 PIVOTS = 8
