@@ -6,6 +6,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x100000001B3
@@ -53,6 +55,19 @@ def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def text_groups(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of a column of texts, some GROUP_BYTES at a time; only these become Python strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    begin, size = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > begin and size + n > GROUP_BYTES:
+            yield begin, column.slice(begin, k - begin).to_pylist()
+            begin, size = k, 0
+        size += n
+    if len(sizes):
+        yield begin, column.slice(begin).to_pylist()
+
+
 def packed(values: np.ndarray) -> bytes:
     """Sorted numbers as their differences, in as few bytes each as the largest needs."""
     steps = np.diff(values.astype(np.int64), prepend=0)

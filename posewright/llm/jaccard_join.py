@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from posewright.llm.common import bit_table, cut_lineage, in_bit_table, read
 from posewright.llm.components import components
-from posewright.llm.hashing import groups, mixed, packed, unpacked, word_hashes
+from posewright.llm.hashing import mixed, packed, text_groups, unpacked, word_hashes
 
 N = 5
 LEVEL_BITS = 24
@@ -99,9 +99,9 @@ def frequency_levels(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, seen, found = batch.column(0).to_pylist(), set(), []
-            for begin, end in groups(texts):
-                grams, bounds = shingle_sets(texts[begin:end], n)
+            seen, found = set(), []
+            for _, texts in text_groups(batch.column(0)):
+                grams, bounds = shingle_sets(texts, n)
                 for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     if z > a and (key := set_key(grams[a:z])) not in seen:
                         seen.add(key)
@@ -136,9 +136,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, levels: np.ndarray, n: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys, sizes, seen, out = batch.column(1).to_pylist(), [], [], set(), []
-            for begin, end in groups(texts):
-                grams, bounds = shingle_sets(texts[begin:end], n)
+            seen = set()
+            for begin, texts in text_groups(batch.column(1)):
+                grams, bounds = shingle_sets(texts, n)
+                keys, sizes, out = [], [], []
                 level = shared.value[(grams >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
                 for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     keys.append(key := set_key(grams[a:z]))
@@ -151,7 +152,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, levels: np.ndarray, n: i
                     seen.add(key)
                     own, rank = grams[a:z][level[a:z] > 0], level[a:z][level[a:z] > 0]
                     out.append(own[np.argsort(rank, kind="stable")][:left].astype(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=[id_col, "k", "n_shingles", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=[id_col, "k", "n_shingles", "prefix"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, k long, n_shingles long, prefix array<long>")
 
@@ -163,13 +164,13 @@ def members_with_sets(docs: DataFrame, text_col: str, wanted: DataFrame, n: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            texts, out = batch.column(0).to_pylist(), {}
-            for begin, end in groups(texts):
-                grams, bounds = shingle_sets(texts[begin:end], n)
+            for _, texts in text_groups(batch.column(0)):
+                grams, bounds = shingle_sets(texts, n)
+                out = {}
                 keys = [set_key(grams[a:z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 for k in np.flatnonzero(in_bit_table(bits, np.array(keys, np.int64)) & (np.diff(bounds) > 0)).tolist():
                     out[keys[k]] = grams[bounds[k] : bounds[k + 1]].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["k", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["k", "shingles"])
 
     found = docs.select(text_col).mapInArrow(run, "k long, shingles binary")
     return found.join(wanted, "k", "left_semi").groupBy("k").agg(F.first("shingles").alias("shingles"))
