@@ -301,7 +301,7 @@ def near_links(docs: DataFrame, text_col: str, sketched: DataFrame, n: int = N)
     placed = pairs.join(labels, "k", "left").select(F.col("pivot").alias("region"), "k", F.coalesce("component", "k").alias("component"), "far")
     # the pivot itself needs no row: it was compared with every member
     rest = cut_lineage(still_open(placed).join(sets, "k"))
-    return links.unionByName(recurse(rest))
+    return cut_lineage(links.unionByName(recurse(rest)))  # so that no task runs two Python steps at once
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
