@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,7 @@ from posewright.llm.suffix_array import permuted_common_prefixes, suffix_array
 LENGTH = 400
 GRAM = 32
 STEP = 50
-HOT = 600
+HOT = 1000
 RUN = 16
 SHARD_BYTES = 1_000_000
 SLICE = 1_500_000
@@ -264,17 +265,27 @@ def hot_spans(hot: DataFrame, length: int) -> DataFrame:
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.array([len(h) // 8 for h in batch.column(2).to_pylist()], np.int64)
+            parts = batch.column(2).to_pylist()
+            counts = np.array([len(h) // 8 for h in parts], np.int64)
             if len(counts):
                 k = np.repeat(np.arange(len(counts)), counts)
                 within = np.arange(len(k)) - np.repeat(np.cumsum(counts) - counts, counts)
-                hashes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(batch.column(0).to_numpy()[k]), pa.array(batch.column(1).to_numpy()[k] + within)], names=["window", "tk", "begin"])
+                columns = (np.frombuffer(b"".join(parts), np.int64), batch.column(0).to_numpy()[k], batch.column(1).to_numpy()[k], within.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["window", "tk", "begin", "at"])
 
-    windows = kept.where("not equal").select("tk", "begin", "hashes").mapInArrow(single, "window long, tk long, begin long")
-    at = F.struct("tk", "begin")
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tk, begin, mask = (batch.column(k).to_numpy() for k in range(3))
+            edges = np.diff((mask[:, None] >> np.arange(RUN)) & 1, prepend=0, append=0)
+            row, first = np.nonzero(edges == 1)
+            last = np.nonzero(edges == -1)[1] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(tk[row]), pa.array(begin[row] + first), pa.array(begin[row] + last + length)], names=["tk", "begin", "end"])
+
+    windows = kept.where("not equal").select("tk", "begin", "hashes").mapInArrow(single, "window long, tk long, begin long, at int")
+    at = F.struct("tk", F.col("begin") + F.col("at"))
     twice = cut_lineage(windows.groupBy("window").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a <> z").select("window"))
-    return equal.unionByName(windows.join(twice, "window").select("tk", "begin", (F.col("begin") + length).alias("end")))
+    marked = windows.join(twice, "window").groupBy("tk", "begin").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    return equal.unionByName(marked.mapInArrow(spans, SPAN_SCHEMA))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -323,8 +334,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            for text, cuts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                runs = merged([(c["begin"], c["end"]) for c in cuts or []], len(text))
+            texts, spans = batch.column(1).cast(pa.binary()), batch.column(2)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+            begin, end = (spans.flatten().field(k).to_numpy() for k in (0, 1))
+            for k, (low, high) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                text = texts[k].as_py()
+                runs = merged(list(zip(begin[low:high].tolist(), end[low:high].tolist())), len(text))
                 kept, at = [], 0
                 for a, z in runs:
                     kept.append(text[at:a])
