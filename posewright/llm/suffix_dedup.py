@@ -40,7 +40,7 @@ LENGTH = 400
 GRAM = 32
 STEP = 50
 HOT = 1000
-RUN = 16
+RUN = 48
 SHARD_BYTES = 1_000_000
 SLICE = 1_500_000
 PIECE_SCHEMA = "fp long, tk long, begin long, rel int, data binary"
