@@ -3,10 +3,10 @@
 import pytest
 from oracle import expected, found
 
-from posewright.plans import event_queries, pose_queries
+from posewright.plans import event_queries, perception_queries, pose_queries
 
-QUERIES = event_queries.QUERIES | pose_queries.QUERIES
-ORACLES = event_queries.ORACLES | pose_queries.ORACLES
+QUERIES = event_queries.QUERIES | pose_queries.QUERIES | perception_queries.QUERIES
+ORACLES = event_queries.ORACLES | pose_queries.ORACLES | perception_queries.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
