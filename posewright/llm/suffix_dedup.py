@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,7 @@ GRAM = 32
 STEP = 50
 HOT = 1000
 RUN = 48
+SALTS = 64
 SHARD_BYTES = 1_000_000
 SLICE = 1_500_000
 PIECE_SCHEMA = "fp long, tk long, begin long, rel int, data binary"
@@ -282,9 +283,15 @@ def hot_spans(hot: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tk[row]), pa.array(begin[row] + first), pa.array(begin[row] + last + length)], names=["tk", "begin", "end"])
 
     windows = kept.where("not equal").select("tk", "begin", "hashes").mapInArrow(single, "window long, tk long, begin long, at int")
-    at = F.struct("tk", F.col("begin") + F.col("at"))
-    twice = cut_lineage(windows.groupBy("window").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a <> z").select("window"))
-    marked = windows.join(twice, "window").groupBy("tk", "begin").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    # rows of one window are dealt to SALTS groups; those of a group with two places repeat, and of each group one row
+    # more is held against the other groups' rows, SALTS of a window at most
+    here = F.struct("tk", F.col("begin") + F.col("at"))
+    group = Window.partitionBy("window", "salt")
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("tk", "begin"), F.lit(SALTS))).withColumns({"low": F.min(here).over(group), "high": F.max(here).over(group), "i": F.row_number().over(group.orderBy("tk", "begin", "at"))})
+    whole = Window.partitionBy("window")
+    firsts = dealt.where("i = 1").withColumns({"low": F.min("low").over(whole), "high": F.max("high").over(whole)})
+    repeated = dealt.where("i > 1").unionByName(firsts).where("low <> high")
+    marked = repeated.groupBy("tk", "begin").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     return equal.unionByName(marked.mapInArrow(spans, SPAN_SCHEMA))
 
 
