@@ -258,7 +258,8 @@ def hot_spans(hot: DataFrame, length: int) -> DataFrame:
     """Spans of the windows of hot anchors that stand at two places or more, found by ever longer anchors: runs of
     windows with a common string that stands nowhere else can't repeat, runs that are all equal do, and the windows of
     the others are counted each. Hot keys are only counted and joined, so Spark can combine and split their rows."""
-    runs = cut_lineage(runs_of_windows(hot, length))
+    once = hot.dropDuplicates(["fp", "tk", "begin"])  # each task with a copy of a text has sent its pieces
+    runs = cut_lineage(runs_of_windows(once, length))
     place, content = F.struct("tk", F.col("begin") + F.col("shift")), F.xxhash64("hashes", "shift")
     keys = runs.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.min(content).alias("low"), F.max(content).alias("high")).where("a <> z")
     kept = cut_lineage(runs.join(cut_lineage(keys.select("key", (F.col("low") == F.col("high")).alias("equal"))), "key"))
