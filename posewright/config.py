@@ -13,6 +13,10 @@ class Config:
     wrist_pad: float = 0.015
     glove_extension: float = 0.35
     stomach_top: float = 0.25
+    # fixed values: feet and scale
+    upright: float = 0.7
+    scale_torso: float = 2.2
+    scale_shoulders: float = 2.6
     # fixed values: smoothing
     euro_min_cutoff: float = 1.0
     euro_beta: float = 0.40

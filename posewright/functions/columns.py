@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from posewright.config import DEFAULT, EAR_L, EAR_R, EYE_L, EYE_R, HIP_L, HIP_R, NOSE, SHOULDER_L, SHOULDER_R, Config
+from posewright.config import ANKLE_L, ANKLE_R, DEFAULT, EAR_L, EAR_R, EYE_L, EYE_R, HIP_L, HIP_R, NOSE, SHOULDER_L, SHOULDER_R, Config
 
 
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -53,6 +53,32 @@ def box_centre(box: Column, axis: int) -> Column:
     return (F.get(box, axis) + F.get(box, axis + 2)) * 0.5
 
 
+def upright(box: Column, config: Config = DEFAULT) -> Column:
+    """Whether a box is tall enough for its lower edge and height to tell of feet and body."""
+    return (F.get(box, 3) - F.get(box, 1)) / (F.get(box, 2) - F.get(box, 0)) >= config.upright
+
+
+def foot_points(kps: Column, box: Column, edge: float | None = None, config: Config = DEFAULT) -> Column:
+    """Array of (x, y): the confident ankles and the middle of an upright box's lower edge. edge: from this y on a box
+    counts as cut off by the frame's border and gives no point; None where boxes may leave the frame."""
+    ankle = lambda i: F.when(F.get(F.get(kps, i), 2) > config.ankle_conf, F.struct(F.get(F.get(kps, i), 0).alias("x"), F.get(F.get(kps, i), 1).alias("y")))
+    stands = upright(box, config) if edge is None else upright(box, config) & (F.get(box, 3) < edge)
+    points = F.array(ankle(ANKLE_L), ankle(ANKLE_R), F.when(stands, F.struct(box_centre(box, 0).alias("x"), F.get(box, 3).alias("y"))))
+    return F.filter(points, lambda q: q.isNotNull())
+
+
+def frame_scale(kps: Column, box: Column, config: Config = DEFAULT) -> Column:
+    """Largest of 2.2 torsos, 2.6 shoulder widths (without hips only) and an upright box's height; 0 without any."""
+    width = distance(*(keypoint(kps, i, a) for i in (SHOULDER_L, SHOULDER_R) for a in (0, 1)))
+    torso, height = config.scale_torso * torso_height(kps), F.get(box, 3) - F.get(box, 1)
+    return F.coalesce(F.greatest(torso, F.when(middle(kps, HIP_L, HIP_R, 0).isNull(), config.scale_shoulders * width), F.when(upright(box, config), height)), F.lit(0.0))
+
+
+def mean_of(points: Column, axis: str) -> Column:
+    """Mean coordinate of an array of points, null without any."""
+    return F.try_divide(F.aggregate(points, F.lit(0.0), lambda s, q: s + q[axis]), F.size(points))
+
+
 def iou(a: Column, b: Column, floor: float = 0.0) -> Column:
     """Intersection over union of [x1, y1, x2, y2]; 0 for a missing box. floor: least area that counts for a box."""
     side = lambda k: F.greatest(F.least(F.get(a, k + 2), F.get(b, k + 2)) - F.greatest(F.get(a, k), F.get(b, k)), F.lit(0.0))

@@ -19,23 +19,35 @@ from posewright.plans import pose_frames as pf
 STATES = ("open", "close", "clinch", "occlusion")
 
 
-def arena_of(frames: DataFrame) -> DataFrame:
-    """(session, centre_x, centre_y, scale, my_seen, op_seen, tier) from the frames' foot points and box heights: the
-    arena where no stabilised one is given."""
-    height = lambda p: F.get(f"{p}_bbox", 3) - F.get(f"{p}_bbox", 1)
-    known = F.greatest(F.lit(1), F.col("my_bbox").isNotNull().cast("int") + F.col("op_bbox").isNotNull().cast("int"))
-    # both sides as rows, so that one aggregation has the moments of all points and each side's counts
-    sides = F.array(*(F.struct(F.lit(p).alias("side"), c.box_centre(F.col(f"{p}_bbox"), 0).alias("x"), F.get(f"{p}_bbox", 3).alias("y"), (height(p) / known).alias("h")) for p in ("my", "op")))
-    rows = frames.select("session", F.inline(sides))
-    n = F.count(F.lit(1)) / 2
-    more = {"scale": F.coalesce(F.sum("h"), F.lit(0.0)) / n} | {f"{p}_seen": F.count(F.when(F.col("side") == p, F.col("x"))) / n for p in ("my", "op")}
-    axis = geometry.principal_axis(rows, ["session"], "x", "y", more).withColumnsRenamed({"cx": "centre_x", "cy": "centre_y"})
-    return axis.select("session", "centre_x", "centre_y", "axis_len", *more).withColumn("tier", c.tier(F.least("my_seen", "op_seen")))
-
-
-def tracks_of(frames: DataFrame) -> DataFrame:
-    """Adds each side's place on the floor: the middle of the box's lower edge."""
-    return frames.withColumns({f"{p}_{a}": e for p in ("my", "op") for a, e in (("x", c.box_centre(F.col(f"{p}_bbox"), 0)), ("y", F.get(f"{p}_bbox", 3)))})
+def with_feet(frames: DataFrame, edge: float | None = None, config: Config = DEFAULT) -> DataFrame:
+    """Adds each side's foot points as p_feet."""
+    return frames.withColumns({f"{p}_feet": c.foot_points(F.col(f"{p}_kps"), F.col(f"{p}_bbox"), edge, config) for p in ("my", "op")})
+
+
+def arena_of(frames: DataFrame, edge: float | None = None, config: Config = DEFAULT) -> DataFrame:
+    """(session, centre_x, centre_y, axis_len, scale, my_seen, op_seen, tier): the arena where no stabilised one is given.
+
+    Centre and axis are those of all foot points, null and 0 below three of them. The scale is the median of both sides'
+    frame scales that are not 0, else 0. A side is seen in the frames in which it has a foot point; the tier goes by the
+    frames in which either has one.
+    """
+    f, none = with_feet(frames, edge, config), F.lit(None).cast("double")
+    seen = lambda p: (F.size(f"{p}_feet") > 0).cast("double")
+    row = lambda x, y, size, my, op: F.struct(x.alias("x"), y.alias("y"), size.alias("size"), my.alias("my"), op.alias("op"))
+    sizes = [F.nullif(c.frame_scale(F.col(f"{p}_kps"), F.col(f"{p}_bbox"), config), F.lit(0.0)) for p in ("my", "op")]
+    # points, sizes and what is seen as rows of one relation, so that one aggregation has moments, median and shares
+    rows = F.concat(F.transform(F.concat("my_feet", "op_feet"), lambda q: row(q["x"], q["y"], none, none, none)), F.array(row(none, none, sizes[0], seen("my"), seen("op")), row(none, none, sizes[1], none, none)))
+    either = F.avg(F.greatest("my", "op"))
+    more = {"n_points": F.count("x"), "scale": F.coalesce(F.median("size"), F.lit(0.0)), "my_seen": F.avg("my"), "op_seen": F.avg("op"), "feet_seen": either}
+    axis = geometry.principal_axis(f.select("session", F.inline(rows)), ["session"], "x", "y", more)
+    known = lambda n, default: F.when(F.col("n_points") >= 3, F.col(n)).otherwise(default)
+    return axis.select("session", known("cx", None).alias("centre_x"), known("cy", None).alias("centre_y"), known("axis_len", 0.0).alias("axis_len"), "scale", "my_seen", "op_seen", c.tier(F.col("feet_seen")).alias("tier"))
+
+
+def tracks_of(frames: DataFrame, edge: float | None = None, config: Config = DEFAULT) -> DataFrame:
+    """Adds each side's place on the floor: the mean of its foot points, null without any."""
+    f = with_feet(frames, edge, config)
+    return f.withColumns({f"{p}_{a}": c.mean_of(F.col(f"{p}_feet"), a) for p in ("my", "op") for a in ("x", "y")}).drop("my_feet", "op_feet")
 
 
 def signals(frames: DataFrame, arena: DataFrame, fps: float = 15.0, config: Config = DEFAULT) -> DataFrame:

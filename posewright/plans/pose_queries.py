@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from posewright.config import ANKLE_L, ANKLE_R, HIP_L, HIP_R, SHOULDER_L, SHOULDER_R
 from posewright.fixtures import POSES_SQL, poses, read
 from posewright.functions import columns as c
 from posewright.operators import geometry
@@ -75,30 +74,13 @@ def stomach_zone(spark, d) -> DataFrame:
 
 
 def frame_scale(spark, d) -> DataFrame:
-    """Largest of 2.2 torsos, 2.6 shoulder widths (without hips only) and an upright box's height; 0 without any."""
-
-    def scale(p):
-        kps, box = F.col(f"{p}_kps"), F.col(f"{p}_bbox")
-        width = c.distance(*(c.keypoint(kps, i, a) for i in (SHOULDER_L, SHOULDER_R) for a in (0, 1)))
-        hips = c.middle(kps, HIP_L, HIP_R, 0)
-        h, w = F.get(box, 3) - F.get(box, 1), F.get(box, 2) - F.get(box, 0)
-        return F.round(F.coalesce(F.greatest(2.2 * c.torso_height(kps), F.when(hips.isNull(), 2.6 * width), F.when(h / w >= 0.7, h)), F.lit(0.0)), 6)
-
-    return present(long(poses(spark, d), scale=scale, present=has))
+    return present(long(poses(spark, d), scale=lambda p: F.round(c.frame_scale(F.col(f"{p}_kps"), F.col(f"{p}_bbox")), 6), present=has))
 
 
 def foot_points(spark, d) -> DataFrame:
-    """Confident ankles and the middle of an upright box's lower edge; their number and mean."""
-
-    def feet(p):
-        kps, box = F.col(f"{p}_kps"), F.col(f"{p}_bbox")
-        ankle = lambda i: F.when(F.get(F.get(kps, i), 2) > 0.3, F.struct(F.get(F.get(kps, i), 0).alias("x"), F.get(F.get(kps, i), 1).alias("y")))
-        upright = (F.get(box, 3) - F.get(box, 1)) / (F.get(box, 2) - F.get(box, 0)) >= 0.7
-        return F.filter(F.array(ankle(ANKLE_L), ankle(ANKLE_R), F.when(upright, F.struct(c.box_centre(box, 0).alias("x"), F.get(box, 3).alias("y")))), lambda q: q.isNotNull())
-
-    points = present(long(poses(spark, d), q=feet, present=has))
-    total = lambda a: F.aggregate("q", F.lit(0.0), lambda s, q: s + q[a])
-    return points.select("session", "fi", "side", F.size("q").cast("long").alias("n"), r6(F.try_divide(total("x"), F.size("q")), "mx"), r6(F.try_divide(total("y"), F.size("q")), "my"))
+    """Number and mean of each side's foot points."""
+    points = present(long(poses(spark, d), q=lambda p: c.foot_points(F.col(f"{p}_kps"), F.col(f"{p}_bbox")), present=has))
+    return points.select("session", "fi", "side", F.size("q").cast("long").alias("n"), r6(c.mean_of(F.col("q"), "x"), "mx"), r6(c.mean_of(F.col("q"), "y"), "my"))
 
 
 def verdict_tally(spark, d) -> DataFrame:
@@ -212,9 +194,14 @@ def _q(body: str, *parts: str) -> str:
     return "WITH " + ", ".join([POSES_SQL, *parts]) + " " + body
 
 
+_FEET = """ft AS (SELECT p.session, p.fi, p.side, x1, x2, y2, count(k.x) AS n, coalesce(sum(k.x), 0) AS sx, coalesce(sum(k.y), 0) AS sy, CASE WHEN (y2 - y1) / (x2 - x1) >= 0.7::DOUBLE THEN 1 ELSE 0 END AS up
+    FROM pose p LEFT JOIN ok k ON k.session = p.session AND k.fi = p.fi AND k.side = p.side AND k.i IN (15, 16) AND k.c > 0.3 GROUP BY ALL),
+  foot AS (SELECT session, fi, side, n + up AS n, (sx + up * (x1 + x2) * 0.5::DOUBLE) / nullif(n + up, 0) AS fx, (sy + up * y2) / nullif(n + up, 0) AS fy FROM ft)"""
+_SCALE = "coalesce(greatest(2.2::DOUBLE * th, CASE WHEN hcx IS NULL THEN 2.6::DOUBLE * sqrt((kx5 - kx6) ** 2 + (ky5 - ky6) ** 2) END, CASE WHEN (y2 - y1) / (x2 - x1) >= 0.7::DOUBLE THEN y2 - y1 END), 0)"
 _IOU = "CASE WHEN iw > 0 AND ih > 0 AND aa + ab - iw * ih > 1e-9 THEN iw * ih / (aa + ab - iw * ih) ELSE 0 END"
-_PAIR = """pair AS (SELECT m.session, m.fi, m.vis AS mvis, o.vis AS ovis, greatest(least(m.x2, o.x2) - greatest(m.x1, o.x1), 0) AS iw, greatest(least(m.y2, o.y2) - greatest(m.y1, o.y1), 0) AS ih,
-    (m.x2 - m.x1) * (m.y2 - m.y1) AS aa, (o.x2 - o.x1) * (o.y2 - o.y1) AS ab, sqrt((m.cx - o.cx) ** 2 + (m.y2 - o.y2) ** 2) AS apart, o.session AS os FROM torso m LEFT JOIN torso o ON o.session = m.session AND o.fi = m.fi AND o.side = 'op' WHERE m.side = 'my')"""
+_PAIR = _FEET + """, pair AS (SELECT m.session, m.fi, m.vis AS mvis, o.vis AS ovis, greatest(least(m.x2, o.x2) - greatest(m.x1, o.x1), 0) AS iw, greatest(least(m.y2, o.y2) - greatest(m.y1, o.y1), 0) AS ih,
+    (m.x2 - m.x1) * (m.y2 - m.y1) AS aa, (o.x2 - o.x1) * (o.y2 - o.y1) AS ab, sqrt((mf.fx - og.fx) ** 2 + (mf.fy - og.fy) ** 2) AS apart, o.session AS os FROM torso m LEFT JOIN torso o ON o.session = m.session AND o.fi = m.fi AND o.side = 'op'
+    LEFT JOIN foot mf ON mf.session = m.session AND mf.fi = m.fi AND mf.side = 'my' LEFT JOIN foot og ON og.session = m.session AND og.fi = m.fi AND og.side = 'op' WHERE m.side = 'my')"""
 _MOVE = """rel AS (SELECT *, kx9 - scx AS lx, ky9 - scy AS ly, kx10 - scx AS rx, ky10 - scy AS ry, hx - scx AS qx, hy - scy AS qy FROM torso),
   mv AS (SELECT *, sqrt((lx - lag(lx) OVER w) ** 2 + (ly - lag(ly) OVER w) ** 2) AS lv, sqrt((rx - lag(rx) OVER w) ** 2 + (ry - lag(ry) OVER w) ** 2) AS rv, lx - lag(lx) OVER w AS lvx, ly - lag(ly) OVER w AS lvy, rx - lag(rx) OVER w AS rvx, ry - lag(ry) OVER w AS rvy,
     sqrt((qx - lag(qx) OVER w) ** 2 + (qy - lag(qy) OVER w) ** 2) AS hm, sqrt((cx - lag(cx) OVER w) ** 2 + (cy - lag(cy) OVER w) ** 2) AS bp,
@@ -245,9 +232,8 @@ ORACLES = {
     "guard_frame": _q("SELECT session, fi, side, round((coalesce(a, 0) + coalesce(b, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT, 0), 6) AS guard FROM (SELECT session, fi, side, CASE WHEN th > 0 AND ly IS NOT NULL THEN least(greatest(1.0 - (ly / th + 0.1), 0), 1) END AS a, CASE WHEN th > 0 AND ry IS NOT NULL THEN least(greatest(1.0 - (ry / th + 0.1), 0), 1) END AS b FROM rel)", _MOVE),
     "head_zone": _q("SELECT session, fi, side, round(zx1, 6) AS zx1, round(top, 6) AS zy1, round(zx2, 6) AS zx2, round(bot, 6) AS zy2 FROM pose LEFT JOIN hb USING (session, fi, side)", _HEADZ.replace("{aspect}", "(16.0::DOUBLE / 9)")),
     "stomach_zone": _q("SELECT session, fi, side, round(zx1, 6) AS zx1, round(top, 6) AS zy1, round(zx2, 6) AS zx2, round(bot, 6) AS zy2 FROM pose LEFT JOIN sz USING (session, fi, side)", _STOMZ.replace("{aspect}", "(16.0::DOUBLE / 9)")),
-    "frame_scale": _q("SELECT session, fi, side, round(coalesce(greatest(2.2::DOUBLE * th, CASE WHEN hcx IS NULL THEN 2.6::DOUBLE * sqrt((kx5 - kx6) ** 2 + (ky5 - ky6) ** 2) END, CASE WHEN (y2 - y1) / (x2 - x1) >= 0.7::DOUBLE THEN y2 - y1 END), 0), 6) AS scale FROM torso"),
-    "foot_points": _q("""SELECT session, fi, side, n + up AS n, round((sx + up * bx) / nullif(n + up, 0), 6) AS mx, round((sy + up * y2) / nullif(n + up, 0), 6) AS my FROM (SELECT p.session, p.fi, p.side, count(k.x) AS n, coalesce(sum(k.x), 0) AS sx, coalesce(sum(k.y), 0) AS sy, (x1 + x2) * 0.5::DOUBLE AS bx, y2, CASE WHEN (y2 - y1) / (x2 - x1) >= 0.7::DOUBLE THEN 1 ELSE 0 END AS up
-      FROM pose p LEFT JOIN ok k ON k.session = p.session AND k.fi = p.fi AND k.side = p.side AND k.i IN (15, 16) AND k.c > 0.3 GROUP BY ALL)"""),
+    "frame_scale": _q(f"SELECT session, fi, side, round({_SCALE}, 6) AS scale FROM torso"),
+    "foot_points": _q("SELECT session, fi, side, n, round(fx, 6) AS mx, round(fy, 6) AS my FROM foot", _FEET),
     "verdict_tally": _q(f"""SELECT session, side, count(*) AS punches, count(*) FILTER (WHERE v = 'landed_head') AS landed_head, count(*) FILTER (WHERE v = 'landed_body') AS landed_body, count(*) FILTER (WHERE v = 'missed') AS missed, count(*) FILTER (WHERE v = 'unknown') AS unknown,
       CASE WHEN count(*) FILTER (WHERE v <> 'unknown') > 0 THEN CAST(round_even(100.0 * count(*) FILTER (WHERE v LIKE 'landed%') / count(*) FILTER (WHERE v <> 'unknown'), 0) AS INTEGER) END AS accuracy FROM (
       SELECT g.session, g.side, CASE WHEN ({_IOU}) >= 0.55::DOUBLE OR (h.top IS NULL AND z.top IS NULL) OR most < 0.5::DOUBLE THEN 'unknown' WHEN coalesce(gx BETWEEN h.zx1 - 0.015::DOUBLE AND h.zx2 + 0.015::DOUBLE AND gy BETWEEN h.top - 0.015::DOUBLE AND h.bot + 0.015::DOUBLE, false) THEN 'landed_head'
@@ -257,7 +243,7 @@ ORACLES = {
       JOIN pair USING (session, fi) LEFT JOIN hb h ON h.session = g.session AND h.fi = g.fi AND h.side <> g.side LEFT JOIN sz z ON z.session = g.session AND z.fi = g.fi AND z.side <> g.side WHERE os IS NOT NULL) GROUP BY ALL""", _MOVE, _PAIR, _HEADZ.replace("{aspect}", "1.0"), _STOMZ.replace("{aspect}", "1.0")),
     "closing_speed_split": _q("""SELECT session, fi, round(coalesce(cl * mp / greatest(mp + op, 1e-6), 0), 6) AS my_closing, round(coalesce(cl * op / greatest(mp + op, 1e-6), 0), 6) AS op_closing, round(mp, 6) AS my_path, round(op, 6) AS op_path FROM (
       SELECT session, fi, lag(ap) OVER w - ap AS cl, coalesce(sqrt((mx - lag(mx) OVER w) ** 2 + (my - lag(my) OVER w) ** 2) / 0.8::DOUBLE, 0) AS mp, coalesce(sqrt((ox - lag(ox) OVER w) ** 2 + (oy - lag(oy) OVER w) ** 2) / 0.8::DOUBLE, 0) AS op FROM (
-        SELECT m.session, m.fi, m.cx AS mx, m.y2 AS my, o.cx AS ox, o.y2 AS oy, sqrt((m.cx - o.cx) ** 2 + (m.y2 - o.y2) ** 2) / 0.8::DOUBLE AS ap FROM torso m LEFT JOIN torso o ON o.session = m.session AND o.fi = m.fi AND o.side = 'op' WHERE m.side = 'my') WINDOW w AS (PARTITION BY session ORDER BY fi))"""),
+        SELECT m.session, m.fi, m.fx AS mx, m.fy AS my, o.fx AS ox, o.fy AS oy, sqrt((m.fx - o.fx) ** 2 + (m.fy - o.fy) ** 2) / 0.8::DOUBLE AS ap FROM foot m LEFT JOIN foot o ON o.session = m.session AND o.fi = m.fi AND o.side = 'op' WHERE m.side = 'my') WINDOW w AS (PARTITION BY session ORDER BY fi))""", _FEET),
     "centroid_principal_axis": """SELECT session, round(cx, 5) AS cx, round(cy, 5) AS cy, round(sqrt(mid + half), 5) AS axis_len, round(sqrt(greatest(mid - half, 0)), 5) AS minor_len, round(atan2(2 * xy, xx - yy) / 2, 5) AS angle FROM (SELECT *, (xx + yy) / 2 AS mid, sqrt(((xx - yy) / 2) ** 2 + xy ** 2) AS half FROM (
       SELECT l_suppkey AS session, avg(l_quantity) AS cx, avg(l_extendedprice / 1000) AS cy, var_samp(l_quantity) AS xx, var_samp(l_extendedprice / 1000) AS yy, covar_samp(l_quantity, l_extendedprice / 1000) AS xy FROM lineitem GROUP BY l_suppkey))""",
     "density_grid": _q("""SELECT session, CAST(gx + k1.d AS BIGINT) AS gx, CAST(gy + k2.d AS BIGINT) AS gy, round(sum(n * k1.w * k2.w), 6) AS n FROM (SELECT session, floor(cx * 20) AS gx, floor(y2 * 20) AS gy, count(*)::DOUBLE AS n FROM torso GROUP BY ALL),
@@ -272,6 +258,9 @@ ORACLES = {
     "hist_bhattacharyya": _HIST + "SELECT vec_id, round(1 - sqrt(greatest(1 - b / sqrt(sp * sq), 0)), 6) AS similarity FROM (SELECT vec_id, list_sum([sqrt(p[i] * q[i]) FOR i IN range(1, 65)]) AS b, list_sum(p) AS sp, list_sum(q) AS sq FROM pq)",
     "hist_correlation": _HIST + "SELECT vec_id, round((spq - sp * sq / 64) / sqrt((spp - sp * sp / 64) * (sqq - sq * sq / 64)), 6) AS r FROM (SELECT vec_id, list_sum([p[i] * q[i] FOR i IN range(1, 65)]) AS spq, list_sum([x * x FOR x IN p]) AS spp, list_sum([x * x FOR x IN q]) AS sqq, list_sum(p) AS sp, list_sum(q) AS sq FROM pq)",
     "affine_roundtrip": "SELECT vec_id, 2.0::DOUBLE AS trace, 0.0::DOUBLE AS rest, round(sqrt(a * a + c * c), 6) AS scale, round(degrees(atan2(c, a)), 6) AS degrees, round(a * 2 + b * 3 + tx, 6) AS x, round(c * 2 + d * 3 + ty, 6) AS y FROM (SELECT vec_id, 1 + CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS tx, CAST(embedding[4] AS DOUBLE) AS c, 1 + CAST(embedding[5] AS DOUBLE) AS d, CAST(embedding[6] AS DOUBLE) AS ty FROM embeddings)",
-    "arena_geometry": _q("""SELECT session, CASE WHEN least(ms, os) >= 0.75 THEN 'high' WHEN least(ms, os) >= 0.40 THEN 'medium' WHEN least(ms, os) >= 0.15 THEN 'low' ELSE 'none' END AS tier, round(cx, 6) AS centre_x, round(cy, 6) AS centre_y, round(sqrt((xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy ** 2)), 6) AS axis_len, round(sc, 6) AS scale, round(ms, 6) AS my_seen, round(os, 6) AS op_seen FROM (
-      SELECT session, avg(cx) AS cx, avg(y2) AS cy, var_samp(cx) AS xx, var_samp(y2) AS yy, covar_samp(cx, y2) AS xy, count(*) FILTER (WHERE side = 'my') / count(DISTINCT fi)::DOUBLE AS ms, count(*) FILTER (WHERE side = 'op') / count(DISTINCT fi)::DOUBLE AS os FROM torso GROUP BY session) JOIN (SELECT session, avg(h) AS sc FROM (SELECT session, fi, avg(y2 - y1) AS h FROM torso GROUP BY ALL) GROUP BY session) USING (session)"""),
+    "arena_geometry": _q(f"""SELECT session, CASE WHEN fs >= 0.75 THEN 'high' WHEN fs >= 0.40 THEN 'medium' WHEN fs >= 0.15 THEN 'low' ELSE 'none' END AS tier, CASE WHEN np >= 3 THEN round(cx, 6) END AS centre_x, CASE WHEN np >= 3 THEN round(cy, 6) END AS centre_y,
+      CASE WHEN np >= 3 THEN round(sqrt((xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy ** 2)), 6) ELSE 0 END AS axis_len, round(coalesce(sc, 0), 6) AS scale, round(ms, 6) AS my_seen, round(os, 6) AS op_seen FROM (
+      SELECT session, count(DISTINCT fi) FILTER (WHERE n > 0) / count(DISTINCT fi)::DOUBLE AS fs, count(*) FILTER (WHERE side = 'my' AND n > 0) / count(DISTINCT fi)::DOUBLE AS ms, count(*) FILTER (WHERE side = 'op' AND n > 0) / count(DISTINCT fi)::DOUBLE AS os FROM foot GROUP BY session)
+      LEFT JOIN (SELECT session, count(*) AS np, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM (SELECT session, x, y FROM ok WHERE i IN (15, 16) AND c > 0.3 UNION ALL SELECT session, (x1 + x2) * 0.5::DOUBLE, y2 FROM ft WHERE up = 1) GROUP BY session) USING (session)
+      LEFT JOIN (SELECT session, median(s) AS sc FROM (SELECT session, {_SCALE} AS s FROM torso) WHERE s > 0 GROUP BY session) USING (session)""", _FEET),
 }
