@@ -213,6 +213,64 @@ _HEADZ = """hz AS (SELECT session, fi, side, y1 AS top, sh - greatest(0.01::DOUB
     coalesce(kx0, (kx1 + kx2) * 0.5::DOUBLE, (kx3 + kx4) * 0.5::DOUBLE, ((x1 + x2) * 0.5::DOUBLE + coalesce(kx3, kx4, kx1, kx2)) * 0.5::DOUBLE, (x1 + x2) * 0.5::DOUBLE) AS hcx FROM (SELECT *, coalesce((ky5 + ky6) * 0.5::DOUBLE, ky5, ky6) AS sh FROM torso)),
   hb AS (SELECT session, fi, side, top, bot, greatest(x1 + half, least(x2 - half, hcx)) - half AS zx1, greatest(x1 + half, least(x2 - half, hcx)) + half AS zx2 FROM (SELECT *, (bot - top) / {aspect}::DOUBLE / 2 AS half FROM hz) WHERE bh >= 0.04 AND sh IS NOT NULL AND bot - top >= 0.02)"""
 _STOMZ = """sz AS (SELECT session, fi, side, top, hcy AS bot, (scx + hcx) * 0.5::DOUBLE - (hcy - top) / {aspect}::DOUBLE / 2 AS zx1, (scx + hcx) * 0.5::DOUBLE + (hcy - top) / {aspect}::DOUBLE / 2 AS zx2 FROM (SELECT *, scy + 0.25::DOUBLE * (hcy - scy) AS top FROM torso) WHERE hcy > scy AND hcy - top >= 0.02)"""
+_VERDICT = f"""vd AS (SELECT g.session, g.fi, g.side, gx, gy, CASE WHEN ({_IOU}) >= 0.55::DOUBLE OR (h.top IS NULL AND z.top IS NULL) OR most < 0.5::DOUBLE THEN 'unknown' WHEN coalesce(gx BETWEEN h.zx1 - 0.015::DOUBLE AND h.zx2 + 0.015::DOUBLE AND gy BETWEEN h.top - 0.015::DOUBLE AND h.bot + 0.015::DOUBLE, false) THEN 'landed_head'
+        WHEN coalesce(gx BETWEEN z.zx1 - 0.015::DOUBLE AND z.zx2 + 0.015::DOUBLE AND gy BETWEEN z.top - 0.015::DOUBLE AND z.bot + 0.015::DOUBLE, false) THEN 'landed_body' ELSE 'missed' END AS v
+      FROM (SELECT *, greatest(coalesce(lext, -1), coalesce(rext, -1)) AS most, CASE WHEN coalesce(lext, -1) >= coalesce(rext, -1) THEN coalesce(kx9 + 0.35::DOUBLE * (kx9 - kx7), kx9) ELSE coalesce(kx10 + 0.35::DOUBLE * (kx10 - kx8), kx10) END AS gx,
+        CASE WHEN coalesce(lext, -1) >= coalesce(rext, -1) THEN coalesce(ky9 + 0.35::DOUBLE * (ky9 - ky7), ky9) ELSE coalesce(ky10 + 0.35::DOUBLE * (ky10 - ky8), ky10) END AS gy FROM mv) g
+      JOIN pair USING (session, fi) LEFT JOIN hb h ON h.session = g.session AND h.fi = g.fi AND h.side <> g.side LEFT JOIN sz z ON z.session = g.session AND z.fi = g.fi AND z.side <> g.side WHERE os IS NOT NULL)"""
+_ARENA = f"""arena AS (SELECT session, CASE WHEN fs >= 0.75 THEN 'high' WHEN fs >= 0.40 THEN 'medium' WHEN fs >= 0.15 THEN 'low' ELSE 'none' END AS tier, CASE WHEN np >= 3 THEN cx END AS centre_x, CASE WHEN np >= 3 THEN cy END AS centre_y,
+      CASE WHEN np >= 3 THEN sqrt((xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy ** 2)) ELSE 0 END AS axis_len, coalesce(sc, 0) AS scale, ms AS my_seen, os AS op_seen FROM (
+      SELECT session, count(DISTINCT fi) FILTER (WHERE n > 0) / count(DISTINCT fi)::DOUBLE AS fs, count(*) FILTER (WHERE side = 'my' AND n > 0) / count(DISTINCT fi)::DOUBLE AS ms, count(*) FILTER (WHERE side = 'op' AND n > 0) / count(DISTINCT fi)::DOUBLE AS os FROM foot GROUP BY session)
+      LEFT JOIN (SELECT session, count(*) AS np, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM (SELECT session, x, y FROM ok WHERE i IN (15, 16) AND c > 0.3 UNION ALL SELECT session, (x1 + x2) * 0.5::DOUBLE, y2 FROM ft WHERE up = 1) GROUP BY session) USING (session)
+      LEFT JOIN (SELECT session, median(s) AS sc FROM (SELECT session, {_SCALE} AS s FROM torso) WHERE s > 0 GROUP BY session) USING (session))"""
+#: Every signal of a side's frame; both sides have a row in every frame.
+_FRAMES = (
+    _MOVE, _PAIR, _HEADZ.replace("{aspect}", "1.0"), _STOMZ.replace("{aspect}", "1.0"), _VERDICT, _ARENA,
+    f"""sg AS (SELECT session, fi, side, coalesce(greatest({_SIDE('l')}, {_SIDE('r')}), 0) AS score, coalesce(greatest(lv, rv), 0) AS wrist, coalesce(hm, 0) AS hm, coalesce(bp, 0) AS bp, coalesce(greatest(lext, rext) >= 0.55 AND greatest(lv, rv) >= 0.075, false) AS punching,
+      (coalesce(ga, 0) + coalesce(gb, 0)) / nullif((ga IS NOT NULL)::INT + (gb IS NOT NULL)::INT, 0) AS guard
+      FROM (SELECT *, CASE WHEN th > 0 AND ly IS NOT NULL THEN least(greatest(1.0 - (ly / th + 0.1), 0), 1) END AS ga, CASE WHEN th > 0 AND ry IS NOT NULL THEN least(greatest(1.0 - (ry / th + 0.1), 0), 1) END AS gb FROM dir))""",
+    f"""f0 AS (SELECT p.session, p.fi, sides.side, floor(p.fi / 15.0::DOUBLE)::BIGINT AS sec, coalesce(score, 0) AS score, coalesce(wrist, 0) AS wrist, coalesce(hm, 0) AS hm, coalesce(bp, 0) AS bp, coalesce(punching, false) AS punching, guard,
+      CASE tier WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.7::DOUBLE WHEN 'low' THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS weight, fx, fy, s, sqrt((fx - centre_x) ** 2 + (fy - centre_y) ** 2) / s AS away, p.apart / s AS apart, coalesce(v, 'unknown') AS v, gx, gy,
+      CASE WHEN mvis < 0.4::DOUBLE OR coalesce(ovis, 0) < 0.4::DOUBLE THEN 'occlusion' WHEN {_IOU} >= 0.4::DOUBLE THEN 'clinch' WHEN p.apart / s < 0.5::DOUBLE THEN 'close' ELSE 'open' END AS state
+      FROM pair p CROSS JOIN (VALUES ('my'), ('op')) sides(side) JOIN (SELECT *, CASE WHEN scale = 0 THEN 100 ELSE scale END AS s FROM arena) a ON a.session = p.session LEFT JOIN sg g ON g.session = p.session AND g.fi = p.fi AND g.side = sides.side
+      LEFT JOIN foot t ON t.session = p.session AND t.fi = p.fi AND t.side = sides.side LEFT JOIN vd d ON d.session = p.session AND d.fi = p.fi AND d.side = sides.side)""",
+    """f1 AS (SELECT *, coalesce(sqrt((fx - lag(fx) OVER w) ** 2 + (fy - lag(fy) OVER w) ** 2) / s, 0) AS path, lag(apart) OVER w - apart AS nearer, score >= 0.07::DOUBLE AND score = max(score) OVER (PARTITION BY session, side ORDER BY fi ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS peak FROM f0 WINDOW w AS (PARTITION BY session, side ORDER BY fi))""",
+    """f2 AS (SELECT *, coalesce(nearer * path / greatest(sum(path) OVER (PARTITION BY session, fi), 1e-6), 0) AS closing FROM f1)""",
+    """fr AS (SELECT f.*, b.away AS other_away, max(b.peak::INT) OVER (PARTITION BY f.session, f.side ORDER BY f.fi ROWS BETWEEN 6 PRECEDING AND 2 FOLLOWING) = 1 AND f.state <> 'occlusion' AS attacked,
+      CASE f.state WHEN 'open' THEN 0.60::DOUBLE * least(f.score / 0.20::DOUBLE, 1) + 0.30::DOUBLE * (f.closing > 0.005::DOUBLE)::INT + 0.10::DOUBLE * (b.closing < -0.005::DOUBLE)::INT WHEN 'close' THEN 0.50::DOUBLE * least(f.wrist / 0.05::DOUBLE, 1) + 0.30::DOUBLE * least(f.score / 0.20::DOUBLE, 1) + 0.20::DOUBLE * least(f.bp / 0.02::DOUBLE, 1)
+        WHEN 'clinch' THEN 0.60::DOUBLE * least(f.wrist / 0.05::DOUBLE, 1) + 0.20::DOUBLE * least(f.hm / 0.015::DOUBLE, 1) + 0.20::DOUBLE * least(f.bp / 0.02::DOUBLE, 1) END AS aggression,
+      coalesce(CASE WHEN f.apart IS NOT NULL THEN least(greatest((f.apart - 1.3::DOUBLE) / (2.2::DOUBLE - 1.3::DOUBLE), 0), 1) END, 0) AS dist, least(f.hm / 0.02::DOUBLE, 1) AS head, coalesce(f.guard, 0) AS guarded, least(f.wrist / 0.04::DOUBLE, 1) AS counter
+      FROM f2 f JOIN f2 b ON b.session = f.session AND b.fi = f.fi AND b.side <> f.side)""",
+)
+_SHARE = lambda a, b, floor: f"CASE WHEN {a} + {b} > {floor} THEN round_even(100 * {a} / ({a} + {b}), 0)::INTEGER ELSE 50 END"
+_PCT = lambda x: f"round_even(round({x}, 9), 0)::INTEGER"
+#: Shares of each second with frames.
+_SECONDS = (
+    "s0 AS (SELECT session, sec, count(DISTINCT fi) AS n, max(fi) / 15.0::DOUBLE AS last, count(*) FILTER (WHERE state = 'occlusion' AND side = 'my') AS hidden, "
+    + ", ".join(
+        f"count(*) FILTER (WHERE side = '{p}' AND away {'<' if p == 'my' else '<='} other_away) AS {p}_near, round(coalesce(sum(aggression) FILTER (WHERE side = '{p}'), 0), 9) AS {p}_agg, round(sum(path * weight) FILTER (WHERE side = '{p}'), 9) AS {p}_path, count(*) FILTER (WHERE side = '{p}' AND punching) AS {p}_vol, round(sum(hm) FILTER (WHERE side = '{p}'), 9) AS {p}_hm, "
+        f"avg(guard) FILTER (WHERE side = '{p}') AS {p}_g, coalesce(round(avg(0.40::DOUBLE * dist + 0.25::DOUBLE * head + 0.25::DOUBLE * guarded + 0.10::DOUBLE * counter) FILTER (WHERE side = '{p}' AND attacked), 9), 0.5) AS {p}_def, "
+        + ", ".join(f"{_PCT(f'100 * avg({k}) FILTER (WHERE side = {chr(39)}{p}{chr(39)} AND attacked)')} AS {p}_{k}_pct" for k in ("dist", "head", "guarded"))
+        + ", " + ", ".join(f"count(*) FILTER (WHERE side = '{p}' AND peak AND v = '{v}') AS {p}_{v}" for v in arena_metrics.VERDICTS)
+        for p in ("my", "op")
+    )
+    + " FROM fr GROUP BY session, sec), md AS (SELECT session, sec, state FROM (SELECT session, sec, state, row_number() OVER (PARTITION BY session, sec ORDER BY count(*) DESC, min(fi)) AS r FROM fr GROUP BY session, sec, state) WHERE r = 1), "
+    + "s1 AS (SELECT s0.*, state, hidden / n >= 0.5 AS held, CASE WHEN my_agg + op_agg > 1e-6 AND NOT hidden / n >= 0.5 THEN round_even(100 * my_agg / (my_agg + op_agg), 0) END AS own FROM s0 JOIN md USING (session, sec)), "
+    + "s2 AS (SELECT *, last_value(own IGNORE NULLS) OVER w AS known, sec - last_value(CASE WHEN own IS NOT NULL THEN sec END IGNORE NULLS) OVER w AS since FROM s1 WINDOW w AS (PARTITION BY session ORDER BY sec ROWS UNBOUNDED PRECEDING)), "
+    + "s3 AS (SELECT *, " + ", ".join([
+        _SHARE("my_near", "op_near", 0) + " AS my_ring", _SHARE("my_path", "op_path", "1e-6") + " AS my_movement", _SHARE("my_vol", "op_vol", 0) + " AS my_volume", _SHARE("my_def", "op_def", "1e-6") + " AS my_defence", _SHARE("my_hm", "op_hm", "1e-6") + " AS my_head_movement",
+        "CASE WHEN own IS NOT NULL THEN own WHEN held AND known IS NOT NULL THEN round_even(round(50 + (known - 50) * exp(-since / 2.5::DOUBLE), 9), 0) ELSE 50 END::INTEGER AS my_aggression", *(f"coalesce({_PCT(f'100 * {p}_g')}, 50) AS {p}_guard" for p in ("my", "op")),
+    ]) + " FROM s2), sc AS (SELECT *, " + ", ".join(f"100 - my_{k} AS op_{k}" for k in arena_metrics.SCORES[:-1]) + " FROM s3)"
+)
+_COLUMNS = [f"{p}_{k}" for p in ("my", "op") for k in (*arena_metrics.SCORES, *(f"{x}_pct" for x in arena_metrics.PILLARS))]
+_SERIES = f"""SELECT e.session, e.sec, {", ".join(f"coalesce(sc.{k}, 50) AS {k}" for k in _COLUMNS)}, coalesce(sc.state, 'open') AS state
+  FROM (SELECT session, unnest(range(0, ends)) AS sec FROM (SELECT session, greatest(ceil(max(last)), max(sec))::BIGINT + 1 AS ends FROM sc GROUP BY session)) e LEFT JOIN sc ON sc.session = e.session AND sc.sec = e.sec"""
+_PULLED = lambda p, k: f"CASE WHEN {p}_seen >= 0.75::DOUBLE THEN {p}_{k} ELSE round_even(50 + ({p}_{k} - 50) * least(greatest({p}_seen / 0.75::DOUBLE, 0), 1), 0) END::INTEGER AS {p}_{k}"
+_SUMMARY = f"""SELECT session, tier, duration_s, open_share, close_share, clinch_share, occlusion_share, {", ".join(_PULLED(p, k) if k in ("ring", "aggression", "movement", "defence") else f"{p}_{k}" for p in ("my", "op") for k in arena_metrics.SCORES)},
+  {", ".join(f"{p}_{v}" for p in ("my", "op") for v in arena_metrics.VERDICTS)}, {", ".join(f"{p}_landed_head + {p}_landed_body + {p}_missed + {p}_unknown AS {p}_punches, CASE WHEN {p}_landed_head + {p}_landed_body + {p}_missed > 0 THEN round_even(100 * ({p}_landed_head + {p}_landed_body) / ({p}_landed_head + {p}_landed_body + {p}_missed), 0)::INTEGER END AS {p}_accuracy" for p in ("my", "op"))}
+  FROM (SELECT session, spine::INTEGER AS duration_s, {", ".join(f"{_PCT(f'(sum({p}_{k}) + 50 * (spine - count(*))) / spine')} AS {p}_{k}" for p in ("my", "op") for k in arena_metrics.SCORES)},
+    {", ".join(f"round_even(100 * (count(*) FILTER (WHERE state = '{s}') + {'spine - count(*)' if s == 'open' else '0'}) / spine, 0)::INTEGER AS {s}_share" for s in arena_metrics.STATES)}, {", ".join(f"sum({p}_{v})::BIGINT AS {p}_{v}" for p in ("my", "op") for v in arena_metrics.VERDICTS)}
+    FROM sc JOIN (SELECT session, greatest(1, ceil(max(last)) + 1) AS spine FROM sc GROUP BY session HAVING sum(n) >= 4) USING (session) GROUP BY session, spine) JOIN arena USING (session)"""
 _DET = """det AS (SELECT m.session, m.fi, [m.x1, m.y1, m.x2, m.y2] AS mb, [o.x1, o.y1, o.x2, o.y2] AS ob FROM pose m JOIN pose o ON o.session = m.session AND o.fi = m.fi AND o.side = 'op' WHERE m.side = 'my'),
   ds AS (SELECT session, fi, mb, ob, j, CASE j WHEN 0 THEN [x + 0.03::DOUBLE FOR x IN ob] WHEN 1 THEN [(mb[1] + ob[1]) / 2, (mb[2] + ob[2]) / 2, (mb[3] + ob[3]) / 2, (mb[4] + ob[4]) / 2] ELSE [x + -0.02::DOUBLE FOR x IN mb] END AS b FROM det, range(3) r(j))"""
 
@@ -234,13 +292,8 @@ ORACLES = {
     "stomach_zone": _q("SELECT session, fi, side, round(zx1, 6) AS zx1, round(top, 6) AS zy1, round(zx2, 6) AS zx2, round(bot, 6) AS zy2 FROM pose LEFT JOIN sz USING (session, fi, side)", _STOMZ.replace("{aspect}", "(16.0::DOUBLE / 9)")),
     "frame_scale": _q(f"SELECT session, fi, side, round({_SCALE}, 6) AS scale FROM torso"),
     "foot_points": _q("SELECT session, fi, side, n, round(fx, 6) AS mx, round(fy, 6) AS my FROM foot", _FEET),
-    "verdict_tally": _q(f"""SELECT session, side, count(*) AS punches, count(*) FILTER (WHERE v = 'landed_head') AS landed_head, count(*) FILTER (WHERE v = 'landed_body') AS landed_body, count(*) FILTER (WHERE v = 'missed') AS missed, count(*) FILTER (WHERE v = 'unknown') AS unknown,
-      CASE WHEN count(*) FILTER (WHERE v <> 'unknown') > 0 THEN CAST(round_even(100.0 * count(*) FILTER (WHERE v LIKE 'landed%') / count(*) FILTER (WHERE v <> 'unknown'), 0) AS INTEGER) END AS accuracy FROM (
-      SELECT g.session, g.side, CASE WHEN ({_IOU}) >= 0.55::DOUBLE OR (h.top IS NULL AND z.top IS NULL) OR most < 0.5::DOUBLE THEN 'unknown' WHEN coalesce(gx BETWEEN h.zx1 - 0.015::DOUBLE AND h.zx2 + 0.015::DOUBLE AND gy BETWEEN h.top - 0.015::DOUBLE AND h.bot + 0.015::DOUBLE, false) THEN 'landed_head'
-        WHEN coalesce(gx BETWEEN z.zx1 - 0.015::DOUBLE AND z.zx2 + 0.015::DOUBLE AND gy BETWEEN z.top - 0.015::DOUBLE AND z.bot + 0.015::DOUBLE, false) THEN 'landed_body' ELSE 'missed' END AS v
-      FROM (SELECT *, greatest(coalesce(lext, -1), coalesce(rext, -1)) AS most, CASE WHEN coalesce(lext, -1) >= coalesce(rext, -1) THEN coalesce(kx9 + 0.35::DOUBLE * (kx9 - kx7), kx9) ELSE coalesce(kx10 + 0.35::DOUBLE * (kx10 - kx8), kx10) END AS gx,
-        CASE WHEN coalesce(lext, -1) >= coalesce(rext, -1) THEN coalesce(ky9 + 0.35::DOUBLE * (ky9 - ky7), ky9) ELSE coalesce(ky10 + 0.35::DOUBLE * (ky10 - ky8), ky10) END AS gy FROM mv) g
-      JOIN pair USING (session, fi) LEFT JOIN hb h ON h.session = g.session AND h.fi = g.fi AND h.side <> g.side LEFT JOIN sz z ON z.session = g.session AND z.fi = g.fi AND z.side <> g.side WHERE os IS NOT NULL) GROUP BY ALL""", _MOVE, _PAIR, _HEADZ.replace("{aspect}", "1.0"), _STOMZ.replace("{aspect}", "1.0")),
+    "verdict_tally": _q("""SELECT session, side, count(*) AS punches, count(*) FILTER (WHERE v = 'landed_head') AS landed_head, count(*) FILTER (WHERE v = 'landed_body') AS landed_body, count(*) FILTER (WHERE v = 'missed') AS missed, count(*) FILTER (WHERE v = 'unknown') AS unknown,
+      CASE WHEN count(*) FILTER (WHERE v <> 'unknown') > 0 THEN CAST(round_even(100.0 * count(*) FILTER (WHERE v LIKE 'landed%') / count(*) FILTER (WHERE v <> 'unknown'), 0) AS INTEGER) END AS accuracy FROM vd GROUP BY ALL""", _MOVE, _PAIR, _HEADZ.replace("{aspect}", "1.0"), _STOMZ.replace("{aspect}", "1.0"), _VERDICT),
     "closing_speed_split": _q("""SELECT session, fi, round(coalesce(cl * mp / greatest(mp + op, 1e-6), 0), 6) AS my_closing, round(coalesce(cl * op / greatest(mp + op, 1e-6), 0), 6) AS op_closing, round(mp, 6) AS my_path, round(op, 6) AS op_path FROM (
       SELECT session, fi, lag(ap) OVER w - ap AS cl, coalesce(sqrt((mx - lag(mx) OVER w) ** 2 + (my - lag(my) OVER w) ** 2) / 0.8::DOUBLE, 0) AS mp, coalesce(sqrt((ox - lag(ox) OVER w) ** 2 + (oy - lag(oy) OVER w) ** 2) / 0.8::DOUBLE, 0) AS op FROM (
         SELECT m.session, m.fi, m.fx AS mx, m.fy AS my, o.fx AS ox, o.fy AS oy, sqrt((m.fx - o.fx) ** 2 + (m.fy - o.fy) ** 2) / 0.8::DOUBLE AS ap FROM foot m LEFT JOIN foot o ON o.session = m.session AND o.fi = m.fi AND o.side = 'op' WHERE m.side = 'my') WINDOW w AS (PARTITION BY session ORDER BY fi))""", _FEET),
@@ -258,9 +311,8 @@ ORACLES = {
     "hist_bhattacharyya": _HIST + "SELECT vec_id, round(1 - sqrt(greatest(1 - b / sqrt(sp * sq), 0)), 6) AS similarity FROM (SELECT vec_id, list_sum([sqrt(p[i] * q[i]) FOR i IN range(1, 65)]) AS b, list_sum(p) AS sp, list_sum(q) AS sq FROM pq)",
     "hist_correlation": _HIST + "SELECT vec_id, round((spq - sp * sq / 64) / sqrt((spp - sp * sp / 64) * (sqq - sq * sq / 64)), 6) AS r FROM (SELECT vec_id, list_sum([p[i] * q[i] FOR i IN range(1, 65)]) AS spq, list_sum([x * x FOR x IN p]) AS spp, list_sum([x * x FOR x IN q]) AS sqq, list_sum(p) AS sp, list_sum(q) AS sq FROM pq)",
     "affine_roundtrip": "SELECT vec_id, 2.0::DOUBLE AS trace, 0.0::DOUBLE AS rest, round(sqrt(a * a + c * c), 6) AS scale, round(degrees(atan2(c, a)), 6) AS degrees, round(a * 2 + b * 3 + tx, 6) AS x, round(c * 2 + d * 3 + ty, 6) AS y FROM (SELECT vec_id, 1 + CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS tx, CAST(embedding[4] AS DOUBLE) AS c, 1 + CAST(embedding[5] AS DOUBLE) AS d, CAST(embedding[6] AS DOUBLE) AS ty FROM embeddings)",
-    "arena_geometry": _q(f"""SELECT session, CASE WHEN fs >= 0.75 THEN 'high' WHEN fs >= 0.40 THEN 'medium' WHEN fs >= 0.15 THEN 'low' ELSE 'none' END AS tier, CASE WHEN np >= 3 THEN round(cx, 6) END AS centre_x, CASE WHEN np >= 3 THEN round(cy, 6) END AS centre_y,
-      CASE WHEN np >= 3 THEN round(sqrt((xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy ** 2)), 6) ELSE 0 END AS axis_len, round(coalesce(sc, 0), 6) AS scale, round(ms, 6) AS my_seen, round(os, 6) AS op_seen FROM (
-      SELECT session, count(DISTINCT fi) FILTER (WHERE n > 0) / count(DISTINCT fi)::DOUBLE AS fs, count(*) FILTER (WHERE side = 'my' AND n > 0) / count(DISTINCT fi)::DOUBLE AS ms, count(*) FILTER (WHERE side = 'op' AND n > 0) / count(DISTINCT fi)::DOUBLE AS os FROM foot GROUP BY session)
-      LEFT JOIN (SELECT session, count(*) AS np, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM (SELECT session, x, y FROM ok WHERE i IN (15, 16) AND c > 0.3 UNION ALL SELECT session, (x1 + x2) * 0.5::DOUBLE, y2 FROM ft WHERE up = 1) GROUP BY session) USING (session)
-      LEFT JOIN (SELECT session, median(s) AS sc FROM (SELECT session, {_SCALE} AS s FROM torso) WHERE s > 0 GROUP BY session) USING (session)""", _FEET),
+    "arena_geometry": _q("SELECT session, tier, round(centre_x, 6) AS centre_x, round(centre_y, 6) AS centre_y, round(axis_len, 6) AS axis_len, round(scale, 6) AS scale, round(my_seen, 6) AS my_seen, round(op_seen, 6) AS op_seen FROM arena", _FEET, _ARENA),
+    "landed_events": _q("SELECT session, side, fi, v AS verdict, CASE WHEN v <> 'unknown' THEN round(gx, 6) END AS glove_x, CASE WHEN v <> 'unknown' THEN round(gy, 6) END AS glove_y FROM fr WHERE peak", *_FRAMES),
+    "arena_series": _q(_SERIES, *_FRAMES, _SECONDS),
+    "flagship_arena_metrics": _q(_SUMMARY, *_FRAMES, _SECONDS),
 }
