@@ -3,7 +3,7 @@
 The others have none, and are tested against brute force, the public tokenizers, round trips or held-out accuracy
 instead: op1 (edit distance of windows), op2 and op10 (tokenizers), op4 (compressed sizes), op5 (random draws; its law
 is tested), op7 (places and decoding of matches), op8 (every 400-byte window of the corpus), op9 (patterns with
-look-ahead).
+look-ahead), op11 (all pairs of words, crc32), op12 (hashes of shingles), op13 (all periods of all texts).
 """
 
 from __future__ import annotations
@@ -12,10 +12,13 @@ from posewright.llm.bpe import op2_bpe
 from posewright.llm.decontaminate import op1_decontaminate
 from posewright.llm.jaccard_join import op3_jaccard_join
 from posewright.llm.licenses import op9_licenses
+from posewright.llm.periodic_runs import op13_periodic_runs
 from posewright.llm.quality_classifier import op4_quality_classifier
 from posewright.llm.quality_rules import op6_quality_rules
 from posewright.llm.secrets import op7_secrets
 from posewright.llm.sharding import op5_sharding
+from posewright.llm.simhash import op12_simhash
+from posewright.llm.spelling import op11_spelling_variants
 from posewright.llm.suffix_dedup import op8_suffix_dedup
 from posewright.llm.token_counts import op10_token_counts
 
@@ -30,6 +33,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_licenses": op9_licenses,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_simhash": op12_simhash,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 #: All pairs and their closure: for small tables only.
 OP3_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
