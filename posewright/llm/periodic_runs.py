@@ -245,7 +245,7 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     if len(found[0]):
                         keep[bounds[k] : bounds[k + 1]] = collapse_mask(int(counts[k]), found)
                 left = np.concatenate(([0], np.cumsum(np.bincount(owner[keep], minlength=len(texts)))))
-                joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(left, pa.int64()), words.take(pa.array(at[keep])).cast(pa.large_string())), " ")
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), words.take(pa.array(at[keep])).cast(pa.string())), " ")
                 columns = zip(*map(summary, runs))
                 kinds = [pa.int64()] * 5 + [pa.string()]
                 collapsed = pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in joined], pa.string())
