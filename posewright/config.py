@@ -21,6 +21,14 @@ class Config:
     euro_min_cutoff: float = 1.0
     euro_beta: float = 0.40
     euro_d_cutoff: float = 1.0
+    # fixed values: box tracking, in pixels (places, then speeds)
+    kalman_noise: tuple = (25.0, 25.0, 100.0, 100.0)
+    kalman_drift: tuple = (9.0, 9.0, 4.0, 4.0, 16.0, 16.0, 4.0, 4.0)
+    kalman_start: tuple = (100.0, 100.0, 100.0, 100.0, 500.0, 500.0, 100.0, 100.0)
+    least_box: float = 10.0
+    damp_after: int = 3
+    damping: float = 0.85
+    coast_fade: float = 0.20
     # fixed values: punches
     punch_extension: float = 0.55
     punch_accel: float = 0.075

@@ -1,23 +1,56 @@
 """Stateful folds over ordered frames: what no window expresses, since each step needs the last step's result.
 
-A session is the unit of state, as in the streaming twins; its series is sent to one task as arrays of numbers.
+A session, or a part of it that nothing links with the rest, is the unit of state, as in the streaming twins.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posewright.config import DEFAULT, Config
 
+BOX = ("cx", "cy", "w", "h")
 
-def per_session(df: DataFrame, key: str, order: str, step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.groupBy(key).applyInPandas(lambda rows: step(rows.sort_values(order, kind="stable")), schema)
+
+State = dict[str, np.ndarray]
+
+
+def lockstep(df: DataFrame, keys: list[str], order: str, columns: list[str], start: Callable[[int], State], step: Callable[[State, np.ndarray, State], State], schema: str) -> DataFrame:
+    """A fold of each key's rows in the order of `order`, which is unique within a key; all keys of a partition take a
+    step together, as arrays.
+
+    start(n) makes the state of n fresh keys, arrays with a row a key. step(state, at, values) changes the rows `at` and
+    returns the new columns of the step's rows. Rows come sorted by `order` first, so that a batch holds one step of
+    many keys; the state is carried across batches, so memory grows with the keys of a partition and not with their rows.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[tuple, int] = {}
+        state = start(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.array([slots.setdefault(k, len(slots)) for k in zip(*(batch[c].to_pylist() for c in keys))])
+            if len(slots) > len(next(iter(state.values()))):
+                fresh = start(len(slots))  # twice as many as there are at least
+                state = {c: np.concatenate([v, fresh[c]]) for c, v in state.items()}
+            when = batch[order].to_numpy()
+            values = {c: batch[c].to_numpy(zero_copy_only=False).astype(float) for c in columns}
+            cuts = np.concatenate(([0], np.flatnonzero(when[1:] != when[:-1]) + 1, [len(when)]))
+            steps = [step(state, at[a:z], {c: v[a:z] for c, v in values.items()}) for a, z in zip(cuts, cuts[1:])]
+            made = {c: np.concatenate([s[c] for s in steps]) for c in steps[0]}
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in [*keys, order]), *(pa.array(made[c], from_pandas=True) for c in names)], names=[*keys, order, *names])
+
+    kept = df.select(*keys, order, *columns)
+    kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in [*keys, order])
+    return kept.repartition(*keys).sortWithinPartitions(order, *keys).mapInArrow(run, f"{kinds}, {schema}")
 
 
 def ema(series: Column, alpha: float) -> Column:
@@ -25,26 +58,30 @@ def ema(series: Column, alpha: float) -> Column:
     return F.aggregate(series, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(acc * (1 - alpha) + x * alpha))
 
 
-def one_euro(t: np.ndarray, x: np.ndarray, config: Config = DEFAULT) -> np.ndarray:
-    """Adaptive low-pass: the faster the signal, the less it is smoothed. NaN holds the state and repeats the last value."""
+def one_euro(df: DataFrame, keys: list[str], order: str, config: Config = DEFAULT) -> DataFrame:
+    """Adaptive low-pass of x over the time t, as y: the faster the signal, the less it is smoothed. Where `known` is
+    false the last smoothed value is held, and x stays as it is before there is one."""
+
+    def weight(cutoff: np.ndarray, dt: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + 1.0 / (2.0 * math.pi * np.maximum(cutoff, 1e-6)) / dt)
 
-    def weight(cutoff: float, dt: float) -> float:
-        return 1.0 / (1.0 + 1.0 / (2.0 * math.pi * max(cutoff, 1e-6)) / max(dt, 1e-6))
+    def start(n: int) -> State:
+        return {"value": np.full(n, np.nan), "speed": np.zeros(n), "last": np.zeros(n)}
 
-    out, value, speed, last = np.empty(len(x)), math.nan, 0.0, math.nan
-    for k, (now, raw) in enumerate(zip(t.tolist(), x.tolist())):
-        if not math.isnan(raw):
-            if math.isnan(value):
-                value = raw
-            else:
-                dt = max(now - last, 1e-6)
-                a = weight(config.euro_d_cutoff, dt)
-                speed = a * (raw - value) / dt + (1.0 - a) * speed
-                a = weight(config.euro_min_cutoff + config.euro_beta * abs(speed), dt)
-                value = a * raw + (1.0 - a) * value
-            last = now
-        out[k] = value
-    return out
+    def step(state: State, at: np.ndarray, row: State) -> State:
+        value, speed, x, known = state["value"][at], state["speed"][at], row["x"], row["known"] > 0
+        begun = ~np.isnan(value)
+        dt = np.maximum(row["t"] - state["last"][at], 1e-6)
+        a = weight(np.float64(config.euro_d_cutoff), dt)
+        faster = a * (x - value) / dt + (1.0 - a) * speed
+        a = weight(config.euro_min_cutoff + config.euro_beta * np.abs(faster), dt)
+        moved = known & begun
+        state["speed"][at] = np.where(moved, faster, speed)
+        state["value"][at] = np.where(moved, a * x + (1.0 - a) * value, np.where(known, x, value))
+        state["last"][at] = np.where(known, row["t"], state["last"][at])
+        return {"y": np.where(known | begun, state["value"][at], x)}
+
+    return lockstep(df, keys, order, ["t", "x", "known"], start, step, "y double")
 
 
 def hysteresis(votes: Column, commit: int = 3) -> Column:
@@ -71,45 +108,47 @@ def dedup_replace(events: Column, gap: int) -> Column:
     return F.aggregate(events, empty, step)
 
 
-def kalman_track(rows: pd.DataFrame, coast: int = 60, gate: float = 0.5) -> pd.DataFrame:
-    """Constant-velocity tracking of boxes (session, fi, cx, cy, w, h; NaN where nothing was detected).
+def kalman_predict(x: np.ndarray, v: np.ndarray, cov: np.ndarray, config: Config = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
+    """Centre, size and their covariance one frame on. The noises are diagonal, so each of the four numbers has a two by
+    two covariance of its own: cov[..., 0] of the place, [..., 1] with the speed, [..., 2] of the speed."""
+    drift = np.array(config.kalman_drift)
+    return x + v, np.stack([cov[..., 0] + 2 * cov[..., 1] + cov[..., 2] + drift[:4], cov[..., 1] + cov[..., 2], cov[..., 2] + drift[4:]], -1)
 
-    State: centre, size and their speeds. A detection farther from the prediction than `gate` counts as missing; a
-    track without detections coasts on its speed for `coast` frames and is then held.
-    """
-    n = 4
-    move = np.eye(2 * n)
-    move[:n, n:] = np.eye(n)
-    see = np.eye(n, 2 * n)
-    drift, noise = np.diag([1e-4] * n + [1e-3] * n), np.eye(n) * 1e-2
-    state, cov, missed, out = None, np.eye(2 * n), 0, []
-    for row in rows[["fi", "cx", "cy", "w", "h"]].to_numpy(float):
-        seen = row[1:]
-        if state is None:
-            if np.isnan(seen).any():
-                continue
-            state = np.concatenate([seen, np.zeros(n)])
-        else:
-            if missed < coast:
-                state, cov = move @ state, move @ cov @ move.T + drift
-            ok = not np.isnan(seen).any() and math.hypot(seen[0] - state[0], seen[1] - state[1]) <= gate
-            missed = 0 if ok else missed + 1
-            if ok:
-                gain = cov @ see.T @ np.linalg.inv(see @ cov @ see.T + noise)
-                state, cov = state + gain @ (seen - see @ state), (np.eye(2 * n) - gain @ see) @ cov
-        out.append((rows["session"].iloc[0], int(row[0]), *state[:n], missed, max(0.0, 1 - 0.2 * missed)))
-    return pd.DataFrame(out, columns=["session", "fi", "cx", "cy", "w", "h", "coast", "conf"])
-
-
-def identity_toggle(rows: pd.DataFrame, margin: float = 0.15) -> pd.DataFrame:
-    """Swaps of two identities at the end of clinches. rows: (session, fi, clinch, same, swap): the correlations of
-    the fighters now with those before the clinch. A swap exchanges the two correlations of all later rows."""
-    swapped, inside, out = False, False, []
-    for fi, clinch, same, swap in zip(rows["fi"], rows["clinch"], rows["same"], rows["swap"]):
-        if inside and not clinch:
-            a, b = (swap, same) if swapped else (same, swap)
-            if b > a + margin:
-                swapped = not swapped
-        inside = bool(clinch)
-        out.append((rows["session"].iloc[0], int(fi), swapped))
-    return pd.DataFrame(out, columns=["session", "fi", "swapped"])
+
+def kalman_update(x: np.ndarray, v: np.ndarray, cov: np.ndarray, seen: np.ndarray, config: Config = DEFAULT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    gain, other = (cov[..., k] / (cov[..., 0] + np.array(config.kalman_noise)) for k in (0, 1))
+    return x + gain * (seen - x), v + other * (seen - x), np.stack([(1 - gain) * cov[..., 0], (1 - gain) * cov[..., 1], cov[..., 2] - other * cov[..., 1]], -1)
+
+
+def kalman_start(n: int, config: Config = DEFAULT) -> np.ndarray:
+    place, speed = np.array(config.kalman_start[:4]), np.array(config.kalman_start[4:])
+    return np.tile(np.stack([place, np.zeros(4), speed], -1), (n, 1, 1))
+
+
+def kalman_track(df: DataFrame, keys: list[str], order: str, config: Config = DEFAULT) -> DataFrame:
+    """Constant-velocity tracking of boxes (cx, cy, w, h; null where nothing was detected), with the frames since the
+    last detection as `coast` and a confidence. From the third frame without one the speed is damped. Null before the
+    first detection."""
+
+    def start(n: int) -> State:
+        return {"x": np.full((n, 4), np.nan), "v": np.zeros((n, 4)), "cov": kalman_start(n, config), "coast": np.zeros(n)}
+
+    def step(state: State, at: np.ndarray, row: State) -> State:
+        seen = np.stack([row[c] for c in BOX], -1)
+        found = ~np.isnan(seen).any(1)
+        seen[:, 2:] = np.maximum(seen[:, 2:], config.least_box)
+        x, v, cov, coast = (state[c][at] for c in ("x", "v", "cov", "coast"))
+        begun = ~np.isnan(x[:, 0])
+        x, cov = np.where(begun[:, None], kalman_predict(x, v, cov, config)[0], x), np.where(begun[:, None, None], kalman_predict(x, v, cov, config)[1], cov)
+        fused = kalman_update(x, v, cov, seen, config)
+        coast = np.where(found | ~begun, 0, coast + 1)
+        damped = np.where((coast >= config.damp_after)[:, None], v * config.damping, v)
+        both, first = (begun & found)[:, None], (found & ~begun)[:, None]
+        state["x"][at] = np.where(both, fused[0], np.where(first, seen, x))
+        state["v"][at] = np.where(both, fused[1], damped)
+        state["cov"][at] = np.where(both[..., None], fused[2], cov)
+        state["coast"][at] = coast
+        conf = np.where(np.isnan(state["x"][at][:, 0]), np.nan, np.maximum(0.0, 1 - config.coast_fade * coast))
+        return {**{c: state["x"][at][:, k] for k, c in enumerate(BOX)}, "coast": coast.astype(np.int64), "conf": conf}
+
+    return lockstep(df, keys, order, list(BOX), start, step, "cx double, cy double, w double, h double, coast long, conf double")

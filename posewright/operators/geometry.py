@@ -59,27 +59,33 @@ def kabsch(df: DataFrame, keys: list[str], x: str, y: str, u: str, v: str) -> Da
     return sums.select(*keys, "n", theta.alias("theta"), (mean["u"] - (F.cos(theta) * mean["x"] - F.sin(theta) * mean["y"])).alias("tx"), (mean["v"] - (F.sin(theta) * mean["x"] + F.cos(theta) * mean["y"])).alias("ty"))
 
 
-def ransac_rigid(rows: pd.DataFrame, iterations: int = 200, threshold: float = 3.0, least: int = 8, seed: int = 0xB0D1) -> pd.DataFrame:
-    """Rigid map of (x, y) onto (u, v) that most points agree with, refitted to those; null with fewer than `least`."""
-    p, q = rows[["x", "y"]].to_numpy(float), rows[["u", "v"]].to_numpy(float)
-
-    def fit(k: np.ndarray) -> tuple[float, np.ndarray]:
-        a, b = p[k] - p[k].mean(0), q[k] - q[k].mean(0)
-        theta = np.arctan2((a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]).sum(), (a * b).sum())
-        turn = np.array([[np.cos(theta), -np.sin(theta)], [np.sin(theta), np.cos(theta)]])
-        return theta, q[k].mean(0) - turn @ p[k].mean(0)
-
-    def agrees(theta: float, shift: np.ndarray) -> np.ndarray:
-        turn = np.array([[np.cos(theta), -np.sin(theta)], [np.sin(theta), np.cos(theta)]])
-        return np.hypot(*(p @ turn.T + shift - q).T) <= threshold
-
-    rng, best = np.random.default_rng(seed), np.zeros(len(p), bool)
-    for _ in range(iterations if len(p) >= 2 else 0):
-        inside = agrees(*fit(rng.choice(len(p), 2, replace=False)))
-        if inside.sum() > best.sum():
-            best = inside
-    theta, shift = fit(np.flatnonzero(best)) if best.sum() >= least else (np.nan, np.array([np.nan, np.nan]))
-    return pd.DataFrame({"session": [rows["session"].iloc[0]], "inliers": [int(best.sum())], "theta": [theta], "tx": [shift[0]], "ty": [shift[1]]})
+#: Seed of the drawn pairs, pairs drawn, pixels within which a point agrees, and the least points to agree.
+RANSAC_SEED, RANSAC_PAIRS, RANSAC_WITHIN, RANSAC_LEAST = 0xB0D1, 200, 3.0, 8
+
+
+def ransac_rigid(rows: pd.DataFrame, pairs: int = RANSAC_PAIRS, within: float = RANSAC_WITHIN, least: int = RANSAC_LEAST, seed: int = RANSAC_SEED) -> pd.DataFrame:
+    """Rigid map of (x, y) onto (u, v) that most points agree with, closer than `within`, refitted to those; null where
+    fewer than `least` points are given or agree. Pairs of equal points tell no angle and are passed over. A group is
+    the matched points of one pair of frames, some hundreds, and is tried with all drawn pairs at once."""
+    z, w = (rows[a].to_numpy(float) + 1j * rows[b].to_numpy(float) for a, b in (("x", "y"), ("u", "v")))
+    out = {"session": [rows["session"].iloc[0]], "inliers": [0], "theta": [np.nan], "tx": [np.nan], "ty": [np.nan]}
+    if len(z) < least:
+        return pd.DataFrame(out)
+    rng = np.random.default_rng(seed)
+    first, second = np.array([rng.choice(len(z), 2, replace=False) for _ in range(pairs)]).T
+    turn = np.conj(z[second] - z[first]) * (w[second] - w[first])
+    usable = (np.abs(z[second] - z[first]) > 1e-6) & (np.abs(w[second] - w[first]) > 1e-6)
+    turn = np.where(usable, turn / np.where(usable, np.abs(turn), 1), np.nan)
+    shift = (w[first] + w[second]) / 2 - turn * (z[first] + z[second]) / 2
+    agree = np.abs(turn[:, None] * z + shift[:, None] - w) < within
+    best = agree[int(agree.sum(1).argmax())]
+    out["inliers"] = [int(best.sum())]
+    if best.sum() >= least:
+        a, b = z[best], w[best]
+        theta = np.angle((np.conj(a - a.mean()) * (b - b.mean())).sum())
+        move = b.mean() - np.exp(1j * theta) * a.mean()
+        out |= {"theta": [theta], "tx": [move.real], "ty": [move.imag]}
+    return pd.DataFrame(out)
 
 
 def principal_axis(df: DataFrame, keys: list[str], x: str, y: str, more: dict[str, Column] | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -272,11 +271,9 @@ def dedup_replace(spark, d) -> DataFrame:
 
 
 def one_euro_smooth(spark, d) -> DataFrame:
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"session": rows["session"], "fi": rows["fi"], "y": folds.one_euro(rows["t"].to_numpy() / 3600.0, rows["x"].to_numpy(float)).round(6)})
-
-    sig = signals(spark, d).select("session", "fi", "t", F.when(F.col("kind") != "error", F.col("v")).alias("x"))
-    return folds.per_session(sig, "session", "fi", smooth, "session long, fi int, y double")
+    known = F.col("kind") != "error"
+    sig = signals(spark, d).select("session", "fi", (F.col("t") / 3600).alias("t"), F.when(known, F.col("v")).alias("x"), known.cast("double").alias("known"))
+    return folds.one_euro(sig, KEY, "fi").select("session", "fi", F.round("y", 6).alias("y"))
 
 
 def cooldown_counters(spark, d) -> DataFrame:
@@ -286,13 +283,9 @@ def cooldown_counters(spark, d) -> DataFrame:
 
 
 def kalman_track(spark, d) -> DataFrame:
-    sig = signals(spark, d).select("session", "fi", *(F.when(F.col("kind") != "error", F.col("v") / s).alias(c) for c, s in (("cx", 100), ("cy", 120), ("w", 400), ("h", 200))))
-    return folds.per_session(sig, "session", "fi", lambda r: folds.kalman_track(r).round(9), "session long, fi int, cx double, cy double, w double, h double, coast int, conf double")
-
-
-def identity_toggle(spark, d) -> DataFrame:
-    sig = signals(spark, d).select("session", "fi", (F.col("kind") == "error").alias("clinch"), (F.col("v") / 100).alias("same"), (1 - F.col("v") / 100).alias("swap"))
-    return folds.per_session(sig, "session", "fi", folds.identity_toggle, "session long, fi int, swapped boolean")
+    sizes = (("cx", 9.0), ("cy", 5.0), ("w", 1.5), ("h", 3.0))
+    sig = signals(spark, d).select("session", "fi", *(F.when(F.col("kind") != "error", F.col("v") * s).alias(c) for c, s in sizes))
+    return folds.kalman_track(sig, KEY, "fi").where("cx is not null").select("session", "fi", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")), "coast", F.round("conf", 6).alias("conf"))
 
 
 def rigid_fit_kabsch(spark, d) -> DataFrame:
@@ -303,7 +296,7 @@ def rigid_fit_kabsch(spark, d) -> DataFrame:
 def ransac_rigid_fit(spark, d) -> DataFrame:
     pts = signals(spark, d).select("session", "fi", F.col("v").alias("x"), (F.col("fi") * 1.0).alias("y"))
     pts = pts.select("session", "fi", "x", "y", (F.col("x") + 3 + F.when(F.col("fi") % 5 == 0, 40.0).otherwise(0.0)).alias("u"), (F.col("y") - 2).alias("v"))
-    return folds.per_session(pts, "session", "fi", lambda r: ransac_rigid(r).round(6), "session long, inliers int, theta double, tx double, ty double")
+    return pts.groupBy("session").applyInPandas(lambda r: ransac_rigid(r.sort_values("fi")).round(6), "session long, inliers int, theta double, tx double, ty double")
 
 
 def json_props_scan(spark, d) -> DataFrame:
@@ -325,7 +318,7 @@ QUERIES = {f.__name__: f for f in (
     true_median_scale, joint_peak_normalise, period_weighted_score, stamina_ratio, any_flag_buckets, lag_displacement, path_length, local_peaks, centred_window_p80_carry,
     direction_weighted_pace, best_burst, best_contiguous_window, gap_event_count, occlusion_decay, first_vote_run, half_split_pressing, recent5_asof, warp_prefix_rigid,
     asof_bracket_lerp, asof_nearest, locf_expand, event_window_mark, flash_mark, interval_argmax, snapshot_full_outer_diff, splice_union, set_difference_topk, ema_fold,
-    swap_vote_hysteresis, dedup_replace, one_euro_smooth, cooldown_counters, kalman_track, identity_toggle, rigid_fit_kabsch, ransac_rigid_fit, json_props_scan, content_hash_dedup, stage_dependency_closure,
+    swap_vote_hysteresis, dedup_replace, one_euro_smooth, cooldown_counters, kalman_track, rigid_fit_kabsch, ransac_rigid_fit, json_props_scan, content_hash_dedup, stage_dependency_closure,
 )}
 
 _SHARES = """sh AS (SELECT session, bucket, CASE WHEN a + b > 1e-6 THEN CAST(round_even(100 * a / (a + b), 0) AS INTEGER) ELSE 50 END AS my_share FROM (
@@ -338,6 +331,23 @@ _BRACKET = """smp AS (SELECT session, fi AS sfi, CASE WHEN kind <> 'error' THEN
   bx AS (SELECT br.*, a.x AS p, b.x AS n FROM br LEFT JOIN smp a ON a.session = br.session AND a.sfi = br.pi LEFT JOIN smp b ON b.session = br.session AND b.sfi = br.ni)"""
 
 
+def _kalman(dims: tuple) -> str:
+    """Columns of one walk's step for dims that share a covariance: predicted, then fused where a box was seen."""
+    p, k = f"p{dims[0]}", f"k{dims[0]}"
+    return ", ".join([*(f"CASE WHEN seen THEN x{d} + {k} * (z{d} - x{d}) ELSE x{d} END AS x{d}, CASE WHEN seen THEN v{d} + {k}v * (z{d} - x{d}) WHEN coast >= 2 THEN v{d} * 0.85::DOUBLE ELSE v{d} END AS v{d}" for d in dims),
+                      f"CASE WHEN seen THEN (1 - {k}) * {p}a ELSE {p}a END AS {p}a, CASE WHEN seen THEN (1 - {k}) * {p}b ELSE {p}b END AS {p}b, CASE WHEN seen THEN {p}c - {k}v * {p}b ELSE {p}c END AS {p}c"])
+
+
+#: Each of the four numbers of a box is a filter of its own; the two of the centre share a covariance, and those of the size.
+_KALMAN = """box AS (SELECT session, fi, kind <> 'error' AS seen, v * 9 AS z0, v * 5 AS z1, greatest(v * 1.5::DOUBLE, 10) AS z2, greatest(v * 3, 10) AS z3 FROM sig),
+  walk AS (SELECT b.session, b.fi, 0::BIGINT AS coast, z0 AS x0, 0.0::DOUBLE AS v0, z1 AS x1, 0.0::DOUBLE AS v1, 100.0::DOUBLE AS p0a, 0.0::DOUBLE AS p0b, 500.0::DOUBLE AS p0c, z2 AS x2, 0.0::DOUBLE AS v2, z3 AS x3, 0.0::DOUBLE AS v3, 100.0::DOUBLE AS p2a, 0.0::DOUBLE AS p2b, 100.0::DOUBLE AS p2c
+      FROM box b JOIN (SELECT session, min(fi) AS fi FROM box WHERE seen GROUP BY session) USING (session, fi) UNION ALL
+    SELECT session, fi, CASE WHEN seen THEN 0 ELSE coast + 1 END, """ + _kalman((0, 1)) + ", " + _kalman((2, 3)) + """ FROM (
+      SELECT *, p0a / (p0a + 25) AS k0, p0b / (p0a + 25) AS k0v, p2a / (p2a + 100) AS k2, p2b / (p2a + 100) AS k2v FROM (
+        SELECT b.*, w.coast, x0 + v0 AS x0, v0, x1 + v1 AS x1, v1, x2 + v2 AS x2, v2, x3 + v3 AS x3, v3, p0a + 2 * p0b + p0c + 9 AS p0a, p0b + p0c AS p0b, p0c + 16 AS p0c, p2a + 2 * p2b + p2c + 4 AS p2a, p2b + p2c AS p2b, p2c + 4 AS p2c
+        FROM walk w JOIN box b ON b.session = w.session AND b.fi = w.fi + 1)))"""
+
+
 def _q(body: str, *parts: str) -> str:
     return "WITH RECURSIVE " + ", ".join([SIGNALS_SQL, *parts]) + " " + body
 
@@ -413,6 +423,12 @@ ORACLES = {
       walk AS (SELECT session, r, fi AS anchor, v AS conf, true AS fresh FROM ev WHERE r = 1 UNION ALL
         SELECT e.session, e.r, CASE WHEN e.fi - w.anchor >= 6 OR e.v > w.conf THEN e.fi ELSE w.anchor END, CASE WHEN e.fi - w.anchor >= 6 OR e.v > w.conf THEN e.v ELSE w.conf END, e.fi - w.anchor >= 6 FROM walk w JOIN ev e ON e.session = w.session AND e.r = w.r + 1)"""),
     "cooldown_counters": _q("SELECT session, fi, CAST(greatest(0, 15 - coalesce(fi - last_value(CASE WHEN v > 40 THEN fi END IGNORE NULLS) OVER (PARTITION BY session ORDER BY fi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 15)) AS INTEGER) AS cooldown FROM sig"),
+    "one_euro_smooth": _q("SELECT session, fi, round(y, 6) AS y FROM walk", """raw AS (SELECT session, fi, t / 3600 AS t, CASE WHEN kind <> 'error' THEN v END AS x FROM sig),
+      walk AS (SELECT session, fi, x AS y, 0.0::DOUBLE AS s, CASE WHEN x IS NOT NULL THEN t END AS tl FROM raw WHERE fi = 0 UNION ALL
+        SELECT session, fi, CASE WHEN x IS NULL THEN y WHEN y IS NULL THEN x ELSE a * x + (1 - a) * y END, CASE WHEN x IS NULL OR y IS NULL THEN s ELSE ds END, CASE WHEN x IS NULL THEN tl ELSE t END FROM (
+          SELECT *, 1 / (1 + 1 / (2 * pi() * (1.0::DOUBLE + 0.4::DOUBLE * abs(ds))) / dt) AS a FROM (SELECT *, ad * (x - y) / dt + (1 - ad) * s AS ds FROM (SELECT *, 1 / (1 + 1 / (2 * pi()) / dt) AS ad FROM (
+            SELECT r.session, r.fi, r.t, r.x, w.y, w.s, w.tl, greatest(r.t - w.tl, 1e-6::DOUBLE) AS dt FROM walk w JOIN raw r ON r.session = w.session AND r.fi = w.fi + 1)))))"""),
+    "kalman_track": _q("SELECT session, fi, round(x0, 6) AS cx, round(x1, 6) AS cy, round(x2, 6) AS w, round(x3, 6) AS h, coast, round(greatest(0, 1 - 0.2::DOUBLE * coast), 6) AS conf FROM walk", _KALMAN),
     "rigid_fit_kabsch": _q("""SELECT session, n, round(th, 6) AS theta, round(mu - (cos(th) * mx - sin(th) * my), 6) AS tx, round(mv - (sin(th) * mx + cos(th) * my), 6) AS ty FROM (SELECT *, atan2(cr - n * (mx * mv - my * mu), dt - n * (mx * mu + my * mv)) AS th FROM (
       SELECT session, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(w) AS mv, sum(x * w - y * u) AS cr, sum(x * u + y * w) AS dt FROM (SELECT session, x, y, 0.8::DOUBLE * x - 0.6::DOUBLE * y + 3 AS u, 0.6::DOUBLE * x + 0.8::DOUBLE * y - 2 + x / 100 AS w FROM (SELECT session, v AS x, fi * 0.5::DOUBLE AS y FROM sig)) GROUP BY session))"""),
     "json_props_scan": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS sum_k, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) > 50) AS n_big FROM events GROUP BY event_type",
