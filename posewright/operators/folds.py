@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posewright.config import DEFAULT, Config
@@ -53,9 +53,53 @@ def lockstep(df: DataFrame, keys: list[str], order: str, columns: list[str], sta
     return kept.repartition(*keys).sortWithinPartitions(order, *keys).mapInArrow(run, f"{kinds}, {schema}")
 
 
-def ema(series: Column, alpha: float) -> Column:
-    """Exponential average of an ordered array, the first value as it is."""
-    return F.aggregate(series, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(acc * (1 - alpha) + x * alpha))
+def ema(df: DataFrame, keys: list[str], order: str, x: str, alpha: float) -> DataFrame:
+    """Exponential average of x up to each row, the first value as it is."""
+
+    def step(state: State, at: np.ndarray, row: State) -> State:
+        old = state["y"][at]
+        state["y"][at] = np.where(np.isnan(old), row[x], old * (1 - alpha) + row[x] * alpha)
+        return {"y": state["y"][at]}
+
+    return lockstep(df, keys, order, [x], lambda n: {"y": np.full(n, np.nan)}, step, "y double")
+
+
+def hysteresis(df: DataFrame, keys: list[str], order: str, vote: str, commit: int = 3) -> DataFrame:
+    """Number of commits up to each row: a vote adds one, a missing vote takes one back (not below 0), `commit` votes
+    commit and reset."""
+
+    def step(state: State, at: np.ndarray, row: State) -> State:
+        n = np.where(row[vote] > 0, state["n"][at] + 1, np.maximum(state["n"][at] - 1, 0))
+        state["n"][at] = np.where(n >= commit, 0, n)
+        state["swaps"][at] += n >= commit
+        return {"swaps": state["swaps"][at]}
+
+    return lockstep(df, keys, order, [vote], lambda n: {"n": np.zeros(n), "swaps": np.zeros(n, np.int64)}, step, "swaps long")
+
+
+def keep_best(df: DataFrame, keys: list[str], at: str, then: list[str], conf: str, gap: int) -> DataFrame:
+    """Events in the order of `at` and `then`: one less than `gap` after the last kept is dropped, or takes its place if
+    its confidence is higher; the anchor moves with it.
+
+    An event at least `gap` behind its neighbour starts anew whatever came before, so sessions are cut there, and a run
+    between two cuts is a key of its own. Only numbers go through the fold; the last that took a place is looked up."""
+    w = Window.partitionBy(*keys).orderBy(at, *then)
+    cut = F.coalesce(F.col(at) - F.lag(at).over(w) >= gap, F.lit(True))
+    df = df.withColumns({"_n": F.row_number().over(w), "_cut": cut.cast("int")}).withColumn("_run", F.sum("_cut").over(w)).drop("_cut")
+
+    def step(state: State, slot: np.ndarray, row: State) -> State:
+        fresh = row["_at"] - state["anchor"][slot] >= gap
+        taken = fresh | (row["_conf"] > state["conf"][slot])
+        state["anchor"][slot] = np.where(taken, row["_at"], state["anchor"][slot])
+        state["conf"][slot] = np.where(taken, row["_conf"], state["conf"][slot])
+        state["cluster"][slot] += fresh
+        return {"_cluster": state["cluster"][slot], "_taken": taken.astype(np.int64)}
+
+    start = lambda n: {"anchor": np.full(n, -np.inf), "conf": np.zeros(n), "cluster": np.zeros(n, np.int64)}
+    runs = df.select(*keys, "_run", "_n", F.col(at).alias("_at"), F.col(conf).alias("_conf"))
+    told = lockstep(runs, [*keys, "_run"], "_n", ["_at", "_conf"], start, step, "_cluster long, _taken long")
+    last = told.where("_taken = 1").groupBy(*keys, "_run", "_cluster").agg(F.max("_n").alias("_n")).select(*keys, "_n")
+    return df.join(last, [*keys, "_n"], "left_semi").drop("_n", "_run")
 
 
 def one_euro(df: DataFrame, keys: list[str], order: str, config: Config = DEFAULT) -> DataFrame:
@@ -84,30 +128,6 @@ def one_euro(df: DataFrame, keys: list[str], order: str, config: Config = DEFAUL
     return lockstep(df, keys, order, ["t", "x", "known"], start, step, "y double")
 
 
-def hysteresis(votes: Column, commit: int = 3) -> Column:
-    """Number of commits: a vote adds one, a missing vote takes one back (not below 0), `commit` votes commit and reset."""
-    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("swaps"))
-
-    def step(acc: Column, vote: Column) -> Column:
-        n = F.when(vote, acc["n"] + 1).otherwise(F.greatest(acc["n"] - 1, F.lit(0)))
-        return F.struct(F.when(n >= commit, 0).otherwise(n).alias("n"), F.when(n >= commit, acc["swaps"] + 1).otherwise(acc["swaps"]).alias("swaps"))
-
-    return F.aggregate(votes, state, step)["swaps"]
-
-
-def dedup_replace(events: Column, gap: int) -> Column:
-    """Events (fi, conf, …) in order: one less than `gap` after the last kept is dropped, or takes its place if its
-    confidence is higher; the anchor moves with it."""
-    empty = F.slice(events, 1, 0)
-
-    def step(acc: Column, e: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        near = (F.size(acc) > 0) & (e["fi"] - last["fi"] < gap)
-        return F.when(~near, F.concat(acc, F.array(e))).when(e["conf"] > last["conf"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(e))).otherwise(acc)
-
-    return F.aggregate(events, empty, step)
-
-
 def kalman_predict(x: np.ndarray, v: np.ndarray, cov: np.ndarray, config: Config = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
     """Centre, size and their covariance one frame on. The noises are diagonal, so each of the four numbers has a two by
     two covariance of its own: cov[..., 0] of the place, [..., 1] with the speed, [..., 2] of the speed."""

@@ -255,19 +255,18 @@ def set_difference_topk(spark, d) -> DataFrame:
 
 
 def ema_fold(spark, d) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("fi", "v"))), lambda x: x["v"])
-    return signals(spark, d).groupBy("session").agg(F.round(folds.ema(ordered, 0.08), 6).alias("ema"))
+    out = folds.ema(signals(spark, d), KEY, "fi", "v", 0.08)
+    return out.groupBy("session").agg(F.round(F.max_by("y", "fi"), 6).alias("ema"))
 
 
 def swap_vote_hysteresis(spark, d) -> DataFrame:
-    votes = F.transform(F.array_sort(F.collect_list(F.struct("fi", "v"))), lambda x: x["v"] > 15)
-    return signals(spark, d).groupBy("session").agg(folds.hysteresis(votes).alias("swaps"))
+    votes = signals(spark, d).select("session", "fi", (F.col("v") > 15).cast("double").alias("vote"))
+    return folds.hysteresis(votes, KEY, "fi", "vote").groupBy("session").agg(F.max("swaps").cast("int").alias("swaps"))
 
 
 def dedup_replace(spark, d) -> DataFrame:
-    events = F.array_sort(F.collect_list(F.struct("fi", F.col("v").alias("conf"))))
-    kept = signals(spark, d).where("v > 10").groupBy("session").agg(F.explode(folds.dedup_replace(events, 6)).alias("e"))
-    return kept.select("session", F.col("e.fi").alias("fi"), F.col("e.conf").alias("conf"))
+    events = signals(spark, d).where("v > 10").select("session", "fi", F.col("v").alias("conf"))
+    return folds.keep_best(events, KEY, "fi", [], "conf", 6)
 
 
 def one_euro_smooth(spark, d) -> DataFrame:

@@ -3,10 +3,7 @@
 import pytest
 from oracle import expected, found
 
-from posewright.plans import classic_queries, event_queries, perception_queries, pose_queries, pressure_queries
-
-QUERIES = event_queries.QUERIES | pose_queries.QUERIES | perception_queries.QUERIES | pressure_queries.QUERIES | classic_queries.QUERIES
-ORACLES = event_queries.ORACLES | pose_queries.ORACLES | perception_queries.ORACLES | pressure_queries.ORACLES | classic_queries.ORACLES
+from posewright.plans import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
