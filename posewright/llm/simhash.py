@@ -9,7 +9,7 @@
    one of the others in less. So each fingerprint is entered under its segments, looked up under the small Hamming ball
    around each of them, and a match is verified by the complete distance. A pair inside one component is no longer
    asked for.
-4. Large tables entries. Where over FULL fingerprints share a segment, what is left of their bits is split and indexed
+4. Full entries. Where over FULL fingerprints share a segment, what is left of their bits is split and indexed
    in the same way, so that no key is long and none needs a list in memory.
 5. Components of all links.
 
@@ -47,6 +47,8 @@ RADIUS = 4
 FULL = 1000
 #: Beyond so many fingerprints two segments cost less than three.
 MANY = 1 << 26
+#: Fingerprints that one task spreads over its keys.
+TASK_ROWS = 10_000
 #: Shingles that are hashed at a time.
 BLOCK = 200_000
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -144,11 +146,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: id, fingerprint (16 lowercase hex digits), component_id (smallest id reachable)."""
     placed = cut_lineage(fingerprints(docs, id_col, text_col, n))
     distinct = cut_lineage(placed.select("f").distinct())
+    total = distinct.count()
     if count is None:
-        count = 2 if distinct.count() > MANY else 3
+        count = 2 if total > MANY else 3
+    # a few megabytes become some hundred rows each, so their tasks go by rows and not by bytes
+    tasks = 1 + total // TASK_ROWS
+    distinct = distinct.repartition(tasks)
     close = cut_lineage(close_links(distinct))
     named = cut_lineage(distinct.join(components(close).withColumnRenamed("node", "f"), "f", "left").select("f", F.coalesce("component", "f").alias("c")))
-    far = far_links(named, count, full)
+    far = far_links(named.repartition(tasks), count, full)
     # components of the contracted ones: links between the names of components
     ends = far.join(named.select(F.col("f").alias("a"), F.col("c").alias("ca")), "a").join(named.select(F.col("f").alias("b"), F.col("c").alias("cb")), "b")
     joined = components(cut_lineage(ends.select("ca", "cb").distinct()), "ca", "cb").withColumnRenamed("node", "c")
