@@ -2,7 +2,8 @@
 
 Base patterns find assignments, access keys and long hex runs. Beyond them, candidates that only look random are
 decoded (base64, base64url, hex) and reported only if their structure holds: DER sequences whose nested lengths
-add up, PEM and OpenSSH private keys, signed tokens whose header names an algorithm. Base64 may be broken by white
+add up, PEM and OpenSSH private keys (also encrypted as a whole, by their header lines), signed tokens whose header
+names an algorithm and whose payload decodes. Base64 may be broken by white
 space and by literal \\n, \\r and \\t escapes, as in JSON and .env files; a key ends where its own lengths say.
 
 Edge cases: null and empty texts have no spans; texts of any length are scanned whole; spans count code points,
@@ -17,6 +18,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +40,10 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 BREAK = re.compile(r"(?:\s|\\+[nrt])+")
 PADDING = re.compile(r"={0,2}")
 LEAST_CHARS = 40
+#: Values of one level of a key; real ones have 10 at most.
+MOST_PARTS = 16
+#: The lines ahead of a key that is encrypted as a whole: its cipher and initial block.
+LOCKED = re.compile(r"(?:\s|\\+[nrt])*Proc-Type: *4,ENCRYPTED(?:\s|\\+[nrt])+DEK-Info: *[A-Z0-9-]+,[0-9A-Fa-f]{16,32}(?:\s|\\+[nrt])+")
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{32,}")
 OPENSSH = b"openssh-key-v1\0"
@@ -52,50 +58,22 @@ def decoded(text: str) -> bytes:
         return b""
 
 
-def der_children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the values between start and end; None unless their lengths fill it exactly."""
-    out, at = [], start
-    while at < end:
-        if at + 2 > end:
-            return None
-        tag, length, at = data[at], data[at + 1], at + 2
-        if length >= 0x80:
-            n = length & 0x7F
-            if not 1 <= n <= 4 or at + n > end:
-                return None
-            length, at = int.from_bytes(data[at : at + n], "big"), at + n
-        if at + length > end:
-            return None
-        out.append((tag, at, at + length))
-        at += length
-    return out
-
-
-def is_private_der(data: bytes) -> bool:
+def is_private_der(size: int, read: Window) -> bool:
     """One sequence that fills the data, begins with a small version number and holds key material."""
-    top = der_children(data, 0, len(data))
+    top = read.der(0, size)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
-    parts = der_children(data, top[0][1], top[0][2])
+    parts = read.der(top[0][1], top[0][2])
     if not parts or len(parts) < 2:
         return False
     tag, a, b = parts[0]
-    if tag == 0x02 and b - a == 1 and data[a] <= 3:
+    if tag == 0x02 and b - a == 1 and read(a, b)[0] <= 3:
         return any(t in (0x04, 0x02) and z - y >= 8 for t, y, z in parts[1:])
-    return tag == 0x30 and len(parts) == 2 and parts[1][0] == 0x04 and der_children(data, a, b) is not None  # encrypted key
+    return tag == 0x30 and len(parts) == 2 and parts[1][0] == 0x04 and read.der(a, b) is not None  # encrypted key
 
 
-def is_openssh(data: bytes) -> bool:
-    """Cipher, key derivation and options follow the magic as length-prefixed strings, then the number of keys."""
-    if not data.startswith(OPENSSH):
-        return False
-    at = len(OPENSSH)
-    for _ in range(3):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return False
-        at += 4 + n
-    return 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
+def in_bytes(data: bytes) -> Window:
+    return Window(base64.b64encode(data).decode().rstrip("="), 0, -(-8 * len(data) // 6))
 
 
 def key_bytes(head: bytes) -> int:
@@ -111,59 +89,121 @@ def key_bytes(head: bytes) -> int:
     return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
 
 
-def openssh_bytes(data: bytes) -> int:
-    """Length of an OpenSSH key by its own lengths; 0 if the data ends before it or is none."""
-    if not is_openssh(data):
-        return 0
-    at, strings = len(OPENSSH), 3
-    while strings:
-        at, strings = at + 4 + int.from_bytes(data[at : at + 4], "big"), strings - 1
-    strings = int.from_bytes(data[at : at + 4], "big") + 1
-    at += 4
-    for _ in range(strings):
-        if at + 4 > len(data):
-            return 0
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at if at <= len(data) else 0
-
-
-def taken(text: str, at: int, n: int | None) -> tuple[str, int]:
-    """The next n base64 characters from `at` over breaks (all that follow if n is None) and where they end."""
-    parts, have, end = [], 0, at
-    while n is None or have < n:
-        run = RUN.match(text, at)
-        if run is None:
-            break
-        end = run.end() if n is None else min(run.end(), at + n - have)
-        parts.append(text[at:end])
-        have += end - at
-        gap = BREAK.match(text, end)
+class Chain:
+    """Base64 from one place on over breaks, joined once, so that each key that may begin in it is told from a few bytes.
+
+    Of a key only the lengths that it nests are decoded, wherever they lie; texts full of beginnings cost no more."""
+
+    def __init__(self, text: str, at: int) -> None:
+        self.begins, self.offsets, parts, have = [], [], [], 0
+        while run := RUN.match(text, at):
+            self.begins.append(at)
+            self.offsets.append(have)
+            parts.append(run[0])
+            have, self.end = have + len(run[0]), run.end()
+            gap = BREAK.match(text, self.end)
+            if gap is None:
+                break
+            at = gap.end()
+        self.chars = "".join(parts).replace("-", "+").replace("_", "/")
+
+    def offset(self, at: int) -> int:
+        """Number of base64 characters before a place of the text."""
+        k = bisect_right(self.begins, at) - 1
+        return self.offsets[k] + at - self.begins[k]
+
+    def place(self, offset: int) -> int:
+        """Where the text has had so many characters."""
+        k = bisect_left(self.offsets, offset) - 1
+        return self.begins[k] + offset - self.offsets[k]
+
+
+class Window:
+    """Bytes of base64 characters from `first` up to `last`, decoded where they are asked for."""
+
+    def __init__(self, chars: str, first: int, last: int) -> None:
+        self.chars, self.first, self.size = chars, first, (last - first) * 6 // 8
+
+    def __call__(self, a: int, z: int) -> bytes:
+        low, high = self.first + a // 3 * 4, self.first + -(-z // 3) * 4
+        part = self.chars[low:high]
+        return base64.b64decode(part + "A" * (-len(part) % 4))[a % 3 : a % 3 + z - a]
+
+    def number(self, at: int) -> int:
+        return int.from_bytes(self(at, at + 4), "big")
+
+    def openssh(self) -> tuple[bool, int]:
+        """Whether the data begins as an OpenSSH key, and the key's length by its own lengths, 0 if the data ends before."""
+        at = len(OPENSSH)
+        if self(0, at) != OPENSSH:
+            return False, 0
+        for _ in range(3):  # cipher, key derivation, options
+            if at + 4 > self.size or at + 4 + self.number(at) > self.size:
+                return False, 0
+            at += 4 + self.number(at)
+        if at + 4 > self.size or not 1 <= (keys := self.number(at)) <= 16:
+            return False, 0
+        at += 4
+        for _ in range(keys + 1):
+            if at + 4 > self.size:
+                return True, 0
+            at += 4 + self.number(at)
+        return True, at if at <= self.size else 0
+
+    def der(self, at: int, end: int) -> list[tuple[int, int, int]] | None:
+        """(tag, start, end) of the values between two places; None unless their lengths fill it exactly, and where there are
+        over MOST_PARTS of them."""
+        out = []
+        while at < end:
+            if at + 2 > end or len(out) == MOST_PARTS:
+                return None
+            tag, length = self(at, at + 2)
+            at += 2
+            if length >= 0x80:
+                n = length & 0x7F
+                if not 1 <= n <= 4 or at + n > end:
+                    return None
+                length, at = int.from_bytes(self(at, at + n), "big"), at + n
+            if at + length > end:
+                return None
+            out.append((tag, at, at + length))
+            at += length
+        return out
+
+
+def taken(text: str, at: int, n: int) -> str:
+    """The next n base64 characters from `at` over breaks."""
+    parts, have = [], 0
+    while have < n and (run := RUN.match(text, at, at + n - have)):
+        parts.append(run[0])
+        have += len(run[0])
+        gap = BREAK.match(text, run.end())
         if gap is None:
             break
         at = gap.end()
-    return "".join(parts), end
-
-
-def key_at(text: str, at: int) -> tuple[int, int] | None:
-    """(kind number, end) of the private key in base64 that begins there."""
-    if text[at] == "b":
-        whole, own = decoded(taken(text, at, None)[0].rstrip("-_")), RUN.match(text, at)
-        n = openssh_bytes(whole)
-        if n:
-            end = taken(text, at, -(-8 * n // 6))[1]
-        elif is_openssh(decoded(own[0])):
-            end = own.end()
-        else:
-            return None
-        return 4, PADDING.match(text, end).end()
-    n = key_bytes(decoded(taken(text, at, 12)[0]))
-    chars = -(-8 * n // 6)
-    if chars < LEAST_CHARS or chars > len(text) - at:
-        return None
-    found, end = taken(text, at, chars)
-    if len(found) < chars or not is_private_der(decoded(found)):
-        return None
-    return 5, PADDING.match(text, end).end()
+    return "".join(parts)
+
+
+def key_at(text: str, at: int, chain: Chain | None) -> tuple[Chain | None, tuple[int, int] | None]:
+    """(kind number, end) of the private key in base64 that begins there. chain: that of an earlier beginning."""
+    ssh = text[at] == "b"
+    n = 0 if ssh else key_bytes(decoded(taken(text, at, 12)))
+    if not ssh and not LEAST_CHARS <= -(-8 * n // 6) <= len(text) - at:
+        return chain, None
+    if chain is None or at >= chain.end:
+        chain = Chain(text, at)
+    first = chain.offset(at)
+    if ssh:
+        n = Window(chain.chars, first, len(chain.chars)).openssh()[1]
+        if not n:
+            own = RUN.match(text, at).end()
+            if not Window(chain.chars, first, first + own - at).openssh()[0]:
+                return chain, None
+            return chain, (4, PADDING.match(text, own).end())
+    last = first + -(-8 * n // 6)
+    if last > len(chain.chars) or not ssh and not is_private_der(n, Window(chain.chars, first, last)):
+        return chain, None
+    return chain, (4 if ssh else 5, PADDING.match(text, chain.place(last)).end())
 
 
 def pem_blocks(text: str) -> Iterator[tuple[int, str, int]]:
@@ -174,12 +214,25 @@ def pem_blocks(text: str) -> Iterator[tuple[int, str, int]]:
             yield m.start(), text[m.end() : stop], stop + len(tail)
 
 
-def is_token_header(text: str) -> bool:
+def part_of_token(text: str) -> bytes | None:
     try:
-        head = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
-    except (binascii.Error, ValueError, RecursionError):  # a header of thousands of open brackets is none
+        return base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
+    except (binascii.Error, ValueError):
+        return None
+
+
+def is_token(header: str, payload: str) -> bool:
+    """A header that names an algorithm, and a payload that decodes, to an object of claims where the type says so."""
+    head, body = part_of_token(header), part_of_token(payload)
+    if not head or body is None:
+        return False
+    try:
+        head = json.loads(head)
+        if not isinstance(head, dict) or not isinstance(head.get("alg"), str):
+            return False
+        return str(head.get("typ")).lower() != "jwt" or isinstance(json.loads(body), dict)
+    except (ValueError, RecursionError):  # a header of thousands of open brackets is none
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -198,29 +251,35 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if "-----BEGIN " in text:
         for start, body, end in pem_blocks(text):
-            data = decoded(body)
-            if is_openssh(data):
+            locked = LOCKED.match(body)
+            data = decoded(body[locked.end() :] if locked else body)
+            if locked:
+                if len(data) >= 16 and len(data) % 8 == 0:  # whole blocks of the cipher
+                    out.append((start, 3, end))
+            elif data and in_bytes(data).openssh()[0]:
                 out.append((start, 4, end))
-            elif is_private_der(data):
+            elif data and is_private_der(len(data), in_bytes(data)):
                 out.append((start, 3, end))
-    inside = [(a, z) for a, _, z in out]
-    past = 0
+    begins, ends = [a for a, _, _ in out], [z for _, _, z in out]  # in order, without overlaps
+    inside = lambda at: (k := bisect_right(begins, at)) > 0 and at < ends[k - 1]
+    past, chain = 0, None
     for m in KEY_START.finditer(text):
         start = m.start()
-        if start < past or any(a <= start < z for a, z in inside):
+        if start < past or inside(start):
             continue
-        found = key_at(text, start)
+        chain, found = key_at(text, start, chain)
         if found:
             kind, past = found
             out.append((start, kind, past))
     for run in LONG_RUN.finditer(text):
-        if any(a <= run.start() < z for a, z in inside):
+        if inside(run.start()):
             continue
         part, at = run[0], run.start()
         if part.count(".") >= 2:
-            out += [(at + m.start(), 6, at + m.end()) for m in TOKEN.finditer(part) if is_token_header(m[1])]
+            out += [(at + m.start(), 6, at + m.end()) for m in TOKEN.finditer(part) if is_token(m[1], m[2])]
         for m in ANY_HEX.finditer(part):
-            if is_private_der(bytes.fromhex(m[0])):
+            data = bytes.fromhex(m[0])
+            if is_private_der(len(data), in_bytes(data)):
                 out.append((at + m.start(), 5, at + m.end()))
     return sorted(set(out))
 
