@@ -100,7 +100,7 @@ QUERIES = {f.__name__: f for f in (harness_snapshot, harness_diff)}
 _FLAGSHIP = pose_queries.ORACLES["flagship_arena_metrics"]
 _EARLIER = _FLAGSHIP.replace("score >= 0.07::DOUBLE", f"score >= {EARLIER.punch_score}::DOUBLE")
 _OURS = lambda m: m.replace("defense", "defence")
-_CELLS = lambda name, metrics: f"(UNPIVOT INCLUDE NULLS (SELECT session, {', '.join(f'{_OURS(m)}::DOUBLE AS {m}' if m in metrics else f'NULL::DOUBLE AS {m}' for m in METRICS)} FROM {name}) ON {', '.join(METRICS)} INTO NAME metric VALUE v)"
+_CELLS = lambda name, metrics: f"(SELECT * FROM (SELECT session, {', '.join(f'{_OURS(m)}::DOUBLE AS {m}' if m in metrics else f'NULL::DOUBLE AS {m}' for m in METRICS)} FROM {name}) UNPIVOT INCLUDE NULLS (v FOR metric IN ({', '.join(METRICS)})))"
 ORACLES = {
     "harness_snapshot": f"SELECT n.session, 'clip ' || n.session || '.mp4' AS filename, duration_s, tier, CASE tier WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.7::DOUBLE WHEN 'low' THEN 0.4::DOUBLE WHEN 'none' THEN 0.0::DOUBLE END AS tier_weight, {', '.join(f'{_OURS(m)} AS {m}' for m in METRICS)}, CASE WHEN f.session IS NULL THEN 'too few frames' END AS error FROM (SELECT DISTINCT label AS session FROM embeddings) n LEFT JOIN ({_FLAGSHIP}) f ON f.session = n.session",
     "harness_diff": f"""SELECT coalesce(o.session, n.session) AS session, coalesce(o.metric, n.metric) AS metric, CASE WHEN o.session IS NULL THEN 'new' WHEN n.session IS NULL THEN 'removed' ELSE 'changed' END AS status, o.v AS baseline, n.v AS current, round(n.v - o.v, 6) AS delta

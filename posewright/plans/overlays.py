@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posewright.fixtures import poses
+from posewright.fixtures import POSES_SQL, poses
 from posewright.functions import columns as c
 from posewright.operators import geometry, series
-from posewright.plans import arena_motion, enrichment
+from posewright.plans import arena_motion, enrichment, pose_queries
 
 # fixed values: colours, labels and places of the items
 COLOURS = {"my": "#ff8c00", "op": "#3c8ddc"}
@@ -107,4 +107,25 @@ def overlay_items(spark, d) -> DataFrame:
 
 
 QUERIES = {"overlay_items": overlay_items}
-ORACLES: dict[str, str] = {}
+
+_ITEM = "SELECT session, '{layer}' AS layer, fi, {place} AS place, '{type}' AS type, {color} AS color, {text} AS text, {x} AS x, {y} AS y FROM {rows}"
+_NONE = "CAST(NULL AS VARCHAR)"
+_INVERSE = "(a * d - b * c)"
+_ON_FRAME = lambda x, y: (f"(d * (({x}) - tx) - b * (({y}) - ty)) / {_INVERSE}", f"(a * (({y}) - ty) - c * (({x}) - tx)) / {_INVERSE}")
+_ENRICHED, _SWAPS = f"({enrichment.ORACLES['enriched_frames']})", f"({enrichment.ORACLES['swap_events']})"
+_PLACED = "CAST(row_number() OVER (PARTITION BY session, fi ORDER BY ord) - 1 AS INTEGER)"
+_ON_ARENA = arena_motion._POSES + f""", {pose_queries._FEET}, fl AS (SELECT w.*, cx, cy, axis_len FROM warp w LEFT JOIN axis USING (session)),
+  ar AS (SELECT session, fi, 0 AS ord, 'point' AS type, '{CENTRE}' AS color, {_ON_FRAME("cx", "cy")[0]} AS x, {_ON_FRAME("cx", "cy")[1]} AS y FROM fl WHERE cx IS NOT NULL UNION ALL SELECT session, fi, 1, 'line', '{ARENA}', {_ON_FRAME("cx - axis_len", "cy")[0]}, {_ON_FRAME("cx - axis_len", "cy")[1]} FROM fl WHERE cx IS NOT NULL
+    UNION ALL SELECT session, fi, CASE WHEN side = 'my' THEN 2 ELSE 3 END, 'point', CASE WHEN side = 'my' THEN '{COLOURS["my"]}' ELSE '{COLOURS["op"]}' END, fx, fy FROM foot WHERE n > 0)
+  SELECT session, 'arena' AS layer, fi, {_PLACED} AS place, type, color, {_NONE} AS text, round(x, 6) AS x, round(y, 6) AS y FROM ar"""
+_ZONES = "WITH " + ", ".join([POSES_SQL, pose_queries._HEADZ.replace("{aspect}", "1.0"), pose_queries._STOMZ.replace("{aspect}", "1.0")]) + f""",
+  lit AS (SELECT session, fi, max(CASE WHEN vis < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY fi ROWS BETWEEN {FLASH} PRECEDING AND {FLASH} FOLLOWING) = 1 AS hit FROM torso WHERE side = 'my'),
+  zn AS (SELECT session, fi, 0 AS ord, 'box' AS type, zx1 AS x, top AS y FROM hb WHERE side = 'op' UNION ALL SELECT session, fi, 1, 'box', zx1, top FROM sz WHERE side = 'op' UNION ALL SELECT session, fi, 2, 'skeleton', x, y FROM kp WHERE side = 'op' AND i = 0)
+  SELECT session, 'target_zones' AS layer, fi, {_PLACED} AS place, type, CASE WHEN type = 'skeleton' THEN '{COLOURS["op"]}' WHEN hit THEN '{ZONE_HIT}' ELSE '{ZONE_OPEN}' END AS color, {_NONE} AS text, round(x, 6) AS x, round(y, 6) AS y FROM zn JOIN lit USING (session, fi)"""
+ORACLES = {"overlay_items": " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (
+    _ITEM.format(layer="boxes", place="0", type="box", color=f"'{COLOURS['my']}'", text="'ME'", x="my0", y="my1", rows=_ENRICHED) + " WHERE my0 IS NOT NULL",
+    _ITEM.format(layer="boxes", place="CASE WHEN my0 IS NULL THEN 0 ELSE 1 END", type="box", color=f"'{COLOURS['op']}'", text="'OP'", x="op0", y="op1", rows=_ENRICHED) + " WHERE op0 IS NOT NULL",
+    _ITEM.format(layer="clinch", place="0", type="text", color=f"'{CLINCH[0]}'", text="'CLINCH'", x=f"{CLINCH[1][0]}::DOUBLE", y=f"{CLINCH[1][1]}::DOUBLE", rows=_ENRICHED) + " WHERE clinch",
+    _ITEM.format(layer="reid_swaps", place="CAST(row_number() OVER (PARTITION BY session, fi ORDER BY reason) - 1 AS INTEGER)", type="text", color=f"'{SWAP[0]}'", text="'RE-ID SWAP (' || reason || ')'", x=f"{SWAP[1][0]}::DOUBLE", y=f"{SWAP[1][1]}::DOUBLE", rows=_SWAPS),
+    _ON_ARENA, _ZONES,
+))}
