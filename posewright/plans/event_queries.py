@@ -10,7 +10,7 @@ from posewright.functions.columns import share
 from posewright.operators import asof, folds, series
 from posewright.operators.geometry import kabsch, ransac_rigid, rigid_prefix
 from posewright.operators.relations import snapshot_diff, splice, zone_highlights
-from posewright.sources.stages import EDGES, closure
+from posewright.sources.stages import EDGES, staleness
 
 KEY = ["session"]
 
@@ -82,11 +82,15 @@ def joint_peak_normalise(spark, d) -> DataFrame:
     return sums.select("session", "bucket", pct("a").alias("my_pace"), pct("b").alias("op_pace"))
 
 
-def period_weighted_score(spark, d) -> DataFrame:
-    """Buckets in max(2, n div 8) periods; later periods weigh (k + 1) ** 1.3; the tail that fills no period is left out."""
+#: Seconds of a period of the weighted score, and of the best window that highlights leave out.
+PERIOD, PEAK = 15, 12
+
+
+def period_weighted_score(spark, d, period: int = PERIOD) -> DataFrame:
+    """Buckets in max(2, n div 15) periods; later periods weigh (k + 1) ** 1.3; the tail that fills no period is left out."""
     spine = dense_shares(spark, d)
     n = F.count(F.lit(1)).over(Window.partitionBy("session"))
-    placed = spine.withColumn("_n", n).withColumn("_k", F.greatest(F.lit(2), F.floor(F.col("_n") / 8))).withColumn("_size", F.greatest(F.lit(1), F.floor(F.col("_n") / F.col("_k")))).withColumn("period", F.floor(F.col("bucket") / F.col("_size"))).where("period < _k")
+    placed = spine.withColumn("_n", n).withColumn("_k", F.greatest(F.lit(2), F.floor(F.col("_n") / period))).withColumn("_size", F.greatest(F.lit(1), F.floor(F.col("_n") / F.col("_k")))).withColumn("period", F.floor(F.col("bucket") / F.col("_size"))).where("period < _k")
     means = placed.groupBy("session", "period").agg(F.avg("my_share").alias("_m"))
     weight = F.pow(F.col("period") + 1.0, F.lit(1.3))
     return means.groupBy("session").agg(F.round(F.sum(weight * F.col("_m")) / F.sum(weight), 6).alias("my_round"))
@@ -153,8 +157,8 @@ def best_burst(spark, d) -> DataFrame:
 
 def best_contiguous_window(spark, d) -> DataFrame:
     sums = dense_shares(spark, d)
-    w = Window.partitionBy("session").orderBy("bucket").rowsBetween(0, 6)
-    full = sums.withColumn("_s", F.sum("my_share").over(w)).withColumn("_n", F.count(F.lit(1)).over(w)).where("_n = 7")
+    w = Window.partitionBy("session").orderBy("bucket").rowsBetween(0, PEAK - 1)
+    full = sums.withColumn("_s", F.sum("my_share").over(w)).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") == PEAK)
     return full.groupBy("session").agg(F.min_by("bucket", F.struct(-F.col("_s"), F.col("bucket"))).cast("long").alias("start"), F.max("_s").cast("long").alias("total"))
 
 
@@ -251,7 +255,7 @@ def splice_union(spark, d) -> DataFrame:
 
 
 def set_difference_topk(spark, d) -> DataFrame:
-    return zone_highlights(dense_shares(spark, d), "session", "bucket", "my_share", 7, 4)
+    return zone_highlights(dense_shares(spark, d), "session", "bucket", "my_share", PEAK, 4)
 
 
 def ema_fold(spark, d) -> DataFrame:
@@ -308,8 +312,15 @@ def content_hash_dedup(spark, d) -> DataFrame:
     return read(spark, d, "documents").groupBy(F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
+#: Stages that the kinds of the signals view stand for.
+STAGE_OF = {"click": "compressed", "view": "stabilization", "signup": "pose", "purchase": "arena", "error": "metrics"}
+
+
 def stage_dependency_closure(spark, d) -> DataFrame:
-    return closure(spark)
+    """Each session's stored stages that depend on each other; an event stores the stage that its kind stands for."""
+    stages = F.create_map(*(F.lit(x) for pair in STAGE_OF.items() for x in pair))
+    built = signals(spark, d).select("session", stages[F.col("kind")].alias("stage"), "us").where("stage is not null").groupBy("session", "stage").agg(F.max("us").alias("at"))
+    return staleness(built, "session")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -352,7 +363,9 @@ def _q(body: str, *parts: str) -> str:
 
 
 ORACLES = {
-    "stage_dependency_closure": "WITH RECURSIVE e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + ") t(stage, dependent)), reach AS (SELECT * FROM e UNION SELECT r.stage, e.dependent FROM reach r JOIN e ON e.stage = r.dependent) SELECT DISTINCT stage, dependent FROM reach",
+    "stage_dependency_closure": _q("SELECT u.session, u.stage, l.stage AS dependent, u.at > l.at AS stale FROM built u JOIN (SELECT DISTINCT stage, dependent FROM reach) r ON r.stage = u.stage JOIN built l ON l.session = u.session AND l.stage = r.dependent",
+      "e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + ") t(stage, dependent)), reach AS (SELECT * FROM e UNION SELECT r.stage, e.dependent FROM reach r JOIN e ON e.stage = r.dependent)",
+      "built AS (SELECT session, CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STAGE_OF.items()) + " END AS stage, max(us) AS at FROM sig GROUP BY ALL HAVING stage IS NOT NULL)"),
     "side_share_per_bucket": _q("SELECT session, bucket, my_share, 100 - my_share AS op_share FROM sh", _SHARES),
     "dense_spine_default": _q("""SELECT session, count(*) AS n_buckets, CAST(round_even(avg(coalesce(my_share, 50)), 0) AS INTEGER) AS my_score, CAST(round_even(avg(coalesce(100 - my_share, 50)), 0) AS INTEGER) AS op_score
       FROM (SELECT session, unnest(range(0, e + 2)) AS bucket FROM ends) LEFT JOIN sh USING (session, bucket) GROUP BY session""", _SHARES),
@@ -369,7 +382,7 @@ ORACLES = {
     "joint_peak_normalise": _q("""SELECT session, bucket, greatest(1, CAST(round_even(a / p * 100, 0) AS INTEGER)) AS my_pace, greatest(1, CAST(round_even(b / p * 100, 0) AS INTEGER)) AS op_pace FROM (
       SELECT *, greatest(max(greatest(a, b)) OVER (PARTITION BY session), 0.001) AS p FROM (SELECT session, bucket, round(sum(CASE WHEN side = 'my' THEN v ELSE 0 END), 6) AS a, round(sum(CASE WHEN side = 'op' THEN v ELSE 0 END), 6) AS b FROM sig GROUP BY ALL))"""),
     "period_weighted_score": _q("""SELECT session, round(sum(pow(period + 1.0, 1.3) * m) / sum(pow(period + 1.0, 1.3)), 6) AS my_round FROM (
-      SELECT session, bucket // size AS period, avg(my_share) AS m FROM (SELECT *, greatest(1, n // k) AS size FROM (SELECT *, greatest(2, n // 8) AS k FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM dense))) WHERE bucket // size < k GROUP BY ALL) GROUP BY session""", _SHARES),
+      SELECT session, bucket // size AS period, avg(my_share) AS m FROM (SELECT *, greatest(1, n // k) AS size FROM (SELECT *, greatest(2, n // 15) AS k FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM dense))) WHERE bucket // size < k GROUP BY ALL) GROUP BY session""", _SHARES),
     "stamina_ratio": _q("""SELECT session, CASE WHEN n < 6 THEN NULL WHEN a <= 0 THEN 100 ELSE least(100, CAST(round_even(round(100 * b / a, 9), 0) AS INTEGER)) END AS stamina FROM (
       SELECT session, max(n) AS n, avg(my_share) FILTER (WHERE bucket < n // 3) AS a, avg(my_share) FILTER (WHERE bucket >= n - n // 3) AS b FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM dense) GROUP BY session)""", _SHARES),
     "any_flag_buckets": _q("SELECT session, count(*) FILTER (WHERE f) AS n_flagged FROM (SELECT session, bucket, bool_or(kind = 'error' AND v > 60) AS f FROM sig GROUP BY ALL) GROUP BY session"),
@@ -386,7 +399,7 @@ ORACLES = {
       SELECT d.session, d.bucket, CASE WHEN count(v) >= 3 THEN (list_sort(list(v * CASE WHEN my_share > 60 THEN 1.0::DOUBLE WHEN my_share < 40 THEN 0.3::DOUBLE WHEN side = 'my' THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END) FILTER (WHERE v IS NOT NULL)))[CAST(floor(count(v) * 0.8::DOUBLE) AS BIGINT) + 1] END AS p
       FROM dense d LEFT JOIN (SELECT session, bucket AS b, v, side FROM sig WHERE v > 0) s ON s.session = d.session AND s.b BETWEEN d.bucket - 2 AND d.bucket + 2 GROUP BY ALL)""", _SHARES),
     "best_burst": _q("SELECT session, max(s) AS best_burst FROM (SELECT session, fi, round(sum(v) OVER (PARTITION BY session ORDER BY fi ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), 6) AS s, count(*) OVER (PARTITION BY session) AS n FROM sig) WHERE fi <= greatest(0, n - 5) GROUP BY session"),
-    "best_contiguous_window": _q("""SELECT session, arg_min(bucket, (-s) * 100000 + bucket) AS start, CAST(max(s) AS BIGINT) AS total FROM (SELECT session, bucket, sum(my_share) OVER w AS s, count(*) OVER w AS n FROM dense WINDOW w AS (PARTITION BY session ORDER BY bucket ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)) WHERE n = 7 GROUP BY session""", _SHARES),
+    "best_contiguous_window": _q("""SELECT session, arg_min(bucket, (-s) * 100000 + bucket) AS start, CAST(max(s) AS BIGINT) AS total FROM (SELECT session, bucket, sum(my_share) OVER w AS s, count(*) OVER w AS n FROM dense WINDOW w AS (PARTITION BY session ORDER BY bucket ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)) WHERE n = 12 GROUP BY session""", _SHARES),
     "gap_event_count": _q("""SELECT session, coalesce(n, 0) AS n_events FROM (SELECT DISTINCT session FROM sig) LEFT JOIN (SELECT session, count(*) FILTER (WHERE p IS NULL OR fi - p > 5) AS n FROM (SELECT session, fi, lag(fi) OVER (PARTITION BY session ORDER BY fi) AS p FROM sig WHERE side = 'my' AND v > 20) GROUP BY session) USING (session)"""),
     "occlusion_decay": _q("""SELECT session, bucket, CASE WHEN normal THEN pct WHEN held AND lp IS NOT NULL THEN CAST(round_even(round(50 + (lp - 50) * exp(-(bucket - lb) / 2.5::DOUBLE), 9), 0) AS INTEGER) ELSE 50 END AS aggression FROM (
       SELECT *, last_value(CASE WHEN normal THEN pct END IGNORE NULLS) OVER w AS lp, last_value(CASE WHEN normal THEN bucket END IGNORE NULLS) OVER w AS lb FROM (
@@ -414,7 +427,7 @@ ORACLES = {
         CROSS JOIN (VALUES ('volume'), ('label'), ('n')) m(metric)) WHERE (b IS NULL OR c IS NULL OR abs(cn - bn) >= 0.01) AND (bn IS NOT NULL OR cn IS NOT NULL)"""),
     "splice_union": _q("""SELECT session, fi, v AS my, CASE WHEN side = 'op' THEN v END AS op FROM sig WHERE fi < 20 UNION ALL SELECT session, fi, my, op FROM (SELECT session, fi, CASE WHEN v > 30 THEN v + 1 END AS my, CASE WHEN side = 'op' AND v > 30 THEN v + 1 END AS op FROM sig) WHERE fi >= 20 AND (my IS NOT NULL OR op IS NOT NULL)"""),
     "set_difference_topk": _q("""SELECT session, bucket, my_share, zone FROM (SELECT *, row_number() OVER (PARTITION BY session, zone ORDER BY my_share DESC, bucket) AS r FROM (
-      SELECT d.session, d.bucket, d.my_share, CASE WHEN d.bucket < 0.4::DOUBLE * n THEN 'first' WHEN d.bucket >= 0.6::DOUBLE * n THEN 'last' END AS zone FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM dense) d LEFT JOIN best USING (session) WHERE start IS NULL OR d.bucket < start OR d.bucket >= start + 7) WHERE zone IS NOT NULL) WHERE r <= 4""", _SHARES, """best AS (SELECT session, arg_min(bucket, (-s) * 100000 + bucket) AS start FROM (SELECT session, bucket, sum(my_share) OVER w AS s, count(*) OVER w AS n FROM dense WINDOW w AS (PARTITION BY session ORDER BY bucket ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)) WHERE n = 7 GROUP BY session)"""),
+      SELECT d.session, d.bucket, d.my_share, CASE WHEN d.bucket < 0.4::DOUBLE * n THEN 'first' WHEN d.bucket >= 0.6::DOUBLE * n THEN 'last' END AS zone FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM dense) d LEFT JOIN best USING (session) WHERE start IS NULL OR d.bucket < start OR d.bucket >= start + 12) WHERE zone IS NOT NULL) WHERE r <= 4""", _SHARES, """best AS (SELECT session, arg_min(bucket, (-s) * 100000 + bucket) AS start FROM (SELECT session, bucket, sum(my_share) OVER w AS s, count(*) OVER w AS n FROM dense WINDOW w AS (PARTITION BY session ORDER BY bucket ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)) WHERE n = 12 GROUP BY session)"""),
     "ema_fold": _q("SELECT session, round(arg_max(e, fi), 6) AS ema FROM walk GROUP BY session", "walk AS (SELECT session, fi, v AS e FROM sig WHERE fi = 0 UNION ALL SELECT s.session, s.fi, w.e * (1 - 0.08::DOUBLE) + s.v * 0.08::DOUBLE FROM walk w JOIN sig s ON s.session = w.session AND s.fi = w.fi + 1)"),
     "swap_vote_hysteresis": _q("SELECT session, arg_max(k, fi) AS swaps FROM walk GROUP BY session", """walk AS (SELECT session, -1 AS fi, 0 AS n, 0 AS k FROM (SELECT DISTINCT session FROM sig) UNION ALL
       SELECT s.session, s.fi, CASE WHEN s.v > 15 THEN CASE WHEN w.n + 1 >= 3 THEN 0 ELSE w.n + 1 END ELSE greatest(w.n - 1, 0) END, CASE WHEN s.v > 15 AND w.n + 1 >= 3 THEN w.k + 1 ELSE w.k END FROM walk w JOIN sig s ON s.session = w.session AND s.fi = w.fi + 1)"""),

@@ -81,12 +81,21 @@ def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     df.select(*fields).write.mode("overwrite").option("header", True).csv(path)
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Use the cluster's shared spark.checkpoint.dir; only in local mode may it be unset."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="posewright-"))
+
+
 def upsert(spark: SparkSession, path: str, changes: DataFrame, key: str = "session") -> None:
     """Replaces the partitions of the changed keys and leaves the others; a field that is null in the change keeps its
     old value. Needs a table that was written with partitionBy(key)."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="posewright-"))
+    checkpoint_folder(spark)
     old = spark.read.parquet(path).withColumn(key, F.col(key).cast(changes.schema[key].dataType))
     fields = [c for c in old.columns if c != key]
     prior = old.join(changes.select(key), key, "left_semi").select(key, *(F.col(c).alias(f"_{c}") for c in fields))
