@@ -41,6 +41,42 @@ def nearest_rank(df: DataFrame, keys: list[str], value: Column, q: float, name:
     return ranked.where(F.col("_i") == F.floor(F.col("_n") * F.lit(q))).select(*keys, F.col("_v").alias(name))
 
 
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str, bins: int = 4096) -> DataFrame:
+    """Median of each group, the mean of the middle two, without a group's values in one task.
+
+    Values fall into bins between the group's least and greatest; counts tell which bin, or two, hold the middle ranks,
+    and only the distinct values of these are ranked. Both passes count on the map side first."""
+    known = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    ends = known.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    placed = known.join(ends, keys).withColumn("_bin", F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)).otherwise(0))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    middle = lambda first, count: (first < F.floor(F.col("_n") / 2) + 1) & (first + count > F.floor((F.col("_n") - 1) / 2))
+    held = placed.groupBy(*keys, "_bin", "_n").agg(F.count(F.lit(1)).alias("_c")).withColumn("_first", before).where(middle(F.col("_first"), F.col("_c"))).select(*keys, "_bin", "_first")
+    counts = placed.join(held, [*keys, "_bin"]).groupBy(*keys, "_bin", "_first", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    inside = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counts.withColumn("_at", F.col("_first") + inside).where(middle(F.col("_at"), F.col("_c")))
+    return ranked.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(name))
+
+
+#: Rows of a session that one task takes at a time where windows are bounded.
+BLOCK = 4096
+
+
+def in_blocks(df: DataFrame, keys: list[str], order: str, before: int, after: int, block: int = BLOCK) -> DataFrame:
+    """df with `_block` and `_own`: rows cut into blocks of the order, each with copies of the `before` rows ahead of it
+    and the `after` rows behind it. A window of that reach over the block gives own rows what the whole session gives.
+
+    The order is whole numbers without gaps; a row is copied before + after times in `block` on average, and a session
+    of any length is many tasks."""
+    at = F.col(order)
+    low, high = F.greatest(F.floor((at - after) / block), F.lit(0)), F.floor((at + before) / block)
+    return df.withColumn("_block", F.explode(F.sequence(low, high))).withColumn("_own", F.col("_block") == F.floor(at / block))
+
+
+def over_blocks(keys: list[str], order: str):
+    return Window.partitionBy(*keys, "_block").orderBy(order)
+
+
 def local_peaks(df: DataFrame, keys: list[str], score: str, least: float, half: int, order: str = "fi") -> DataFrame:
     """Rows of local maxima of at least `least`; of equal ones less than half + 1 apart the first stays.
 

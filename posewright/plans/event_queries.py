@@ -71,7 +71,21 @@ def upper_median(spark, d) -> DataFrame:
 
 
 def true_median_scale(spark, d) -> DataFrame:
-    return read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.median("l_extendedprice"), 4).alias("median_scale"), F.max("l_quantity").alias("max_quantity"))
+    items = read(spark, d, "lineitem")
+    keys = ["l_returnflag", "l_linestatus"]
+    medians = series.exact_median(items, keys, "l_extendedprice", "_m")
+    return items.groupBy(*keys).agg(F.max("l_quantity").alias("max_quantity")).join(medians, keys).select(*keys, F.round("_m", 4).alias("median_scale"), "max_quantity")
+
+
+def long_sessions(spark, d, block: int = series.BLOCK) -> DataFrame:
+    """Bounded windows (maxima, centred and trailing means, marks around events, displacement) over blocks of a session
+    with copied borders, so that no session is one task."""
+    f = series.in_blocks(signals(spark, d), KEY, "fi", 9, 9, block)
+    w = series.over_blocks(KEY, "fi")
+    top = F.max("v").over(w.rowsBetween(-3, 3))
+    event = F.max(F.when(F.col("v") > 40, 1).otherwise(0)).over(w.rowsBetween(-6, 2)) == 1
+    out = f.withColumns({"is_top": F.col("v") == top, "near_event": event, "centred": F.round(F.avg("v").over(w.rowsBetween(-9, 9)), 6), "trailing": F.round(F.avg("v").over(w.rowsBetween(-4, 0)), 6), "step": F.round(F.coalesce(F.abs(F.col("v") - F.lag("v").over(w)), F.lit(0.0)), 6)})
+    return out.where("_own").select("session", "fi", "is_top", "near_event", "centred", "trailing", "step")
 
 
 def joint_peak_normalise(spark, d) -> DataFrame:
@@ -325,7 +339,7 @@ def stage_dependency_closure(spark, d) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     side_share_per_bucket, dense_spine_default, closer_side_share, guard_bucket_mean, bucket_mode_first_seen, pct_linear_p80, onset_percentile_filter, nearest_rank_p90, upper_median,
-    true_median_scale, joint_peak_normalise, period_weighted_score, stamina_ratio, any_flag_buckets, lag_displacement, path_length, local_peaks, centred_window_p80_carry,
+    true_median_scale, long_sessions, joint_peak_normalise, period_weighted_score, stamina_ratio, any_flag_buckets, lag_displacement, path_length, local_peaks, centred_window_p80_carry,
     direction_weighted_pace, best_burst, best_contiguous_window, gap_event_count, occlusion_decay, first_vote_run, half_split_pressing, recent5_asof, warp_prefix_rigid,
     asof_bracket_lerp, asof_nearest, locf_expand, event_window_mark, flash_mark, interval_argmax, snapshot_full_outer_diff, splice_union, set_difference_topk, ema_fold,
     swap_vote_hysteresis, dedup_replace, one_euro_smooth, cooldown_counters, kalman_track, rigid_fit_kabsch, ransac_rigid_fit, json_props_scan, content_hash_dedup, stage_dependency_closure,
@@ -379,6 +393,8 @@ ORACLES = {
     "nearest_rank_p90": _q("SELECT session, list_sort(list(v))[CAST(floor(count(*) * 0.9::DOUBLE) AS BIGINT) + 1] AS p90, list_sort(list(v))[CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) + 1] AS p80 FROM sig GROUP BY session"),
     "upper_median": _q("SELECT session, side, list_sort(list(v))[count(*) // 2 + 1] AS median_hi FROM sig GROUP BY session, side"),
     "true_median_scale": "SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 4) AS median_scale, max(l_quantity) AS max_quantity FROM lineitem GROUP BY ALL",
+    "long_sessions": _q("""SELECT session, fi, v = max(v) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS is_top, max(CASE WHEN v > 40 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN 6 PRECEDING AND 2 FOLLOWING) = 1 AS near_event,
+      round(avg(v) OVER (w ROWS BETWEEN 9 PRECEDING AND 9 FOLLOWING), 6) AS centred, round(avg(v) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS trailing, round(coalesce(abs(v - lag(v) OVER w), 0), 6) AS step FROM sig WINDOW w AS (PARTITION BY session ORDER BY fi)"""),
     "joint_peak_normalise": _q("""SELECT session, bucket, greatest(1, CAST(round_even(a / p * 100, 0) AS INTEGER)) AS my_pace, greatest(1, CAST(round_even(b / p * 100, 0) AS INTEGER)) AS op_pace FROM (
       SELECT *, greatest(max(greatest(a, b)) OVER (PARTITION BY session), 0.001) AS p FROM (SELECT session, bucket, round(sum(CASE WHEN side = 'my' THEN v ELSE 0 END), 6) AS a, round(sum(CASE WHEN side = 'op' THEN v ELSE 0 END), 6) AS b FROM sig GROUP BY ALL))"""),
     "period_weighted_score": _q("""SELECT session, round(sum(pow(period + 1.0, 1.3) * m) / sum(pow(period + 1.0, 1.3)), 6) AS my_round FROM (

@@ -184,3 +184,26 @@ def test_half_split_stream_equals_batch(spark, tmp_path):
     assert got == found(windows.half_split(a, b)) and sum(got[1].values()) == 12
 
 
+
+
+@pytest.mark.parametrize("block", [10, 16, 1000])
+def test_blocks_bound_the_largest_task(spark, sf, block):
+    """One session of all frames: the same rows as one window over it, and no block of more than its rows and borders."""
+    from posewright.operators import series
+    from posewright.plans import event_queries
+
+    whole = found(event_queries.long_sessions(spark, sf, 10**6))
+    assert found(event_queries.long_sessions(spark, sf, block)) == whole
+    hot = spark.range(1000).select(F.lit(1).alias("session"), F.col("id").cast("int").alias("fi"), (F.col("id") * 7 % 31).cast("double").alias("v"))
+    cut = series.in_blocks(hot, ["session"], "fi", 3, 5, block)
+    assert cut.groupBy("_block").count().agg(F.max("count")).first()[0] <= min(block + 8, 1000) and cut.where("_own").count() == 1000
+
+
+@pytest.mark.parametrize("bins", [1, 7, 4096])
+def test_exact_median(spark, bins):
+    from posewright.operators import series
+
+    rng = np.random.default_rng(bins)
+    rows = [("a", float(x)) for x in rng.normal(size=101)] + [("b", float(x)) for x in rng.integers(0, 3, 64)] + [("c", 5.0), ("d", 1e12), ("d", -1e-12), ("e", None)]
+    got = {r["k"]: r["m"] for r in series.exact_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", "m", bins).collect()}
+    assert got == {k: float(np.median([v for q, v in rows if q == k])) for k in "abcd"}
