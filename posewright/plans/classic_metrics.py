@@ -36,6 +36,7 @@ class Classic:
     period: tuple = (0.45, 0.35, 0.20)
     period_s: int = 15
     period_power: float = 1.3
+    unknown_height: float = 0.40
 
 
 def detected(kps: Column, i: int, axis: int, config: Classic) -> Column:
@@ -46,7 +47,7 @@ def detected(kps: Column, i: int, axis: int, config: Classic) -> Column:
 
 def signals(frames: DataFrame, width: float, tall: float, fps: float, landed: DataFrame | None = None, config: Classic = Classic()) -> DataFrame:
     """One row per frame with activity, wrist speeds and events of both sides. frames: session, fi, kps and bbox of both
-    sides in pixels, both boxes known. landed: (session, side, fi) of punches that are known to have landed."""
+    sides in pixels, both boxes known; my_reliable and op_reliable, where given, tell which heights count. landed: (session, side, fi) of punches that are known to have landed."""
     portrait, w = tall > 1.2 * width, window()
     dim, axis = (tall, "y") if portrait else (width, "x")
     first = {}
@@ -63,8 +64,9 @@ def signals(frames: DataFrame, width: float, tall: float, fps: float, landed: Da
         speeds |= {f"{p}_{h}_speed": F.coalesce(length(d(h, "x") - sway["x"], d(h, "y") - sway["y"]), F.lit(0.0)) for h in "lr"}  # noqa: B023
         speeds[f"{p}_move"] = length(d("c", "x"), d("c", "y"))
     f = f.withColumns(speeds).withColumns({f"{p}_speed": F.greatest(f"{p}_l_speed", f"{p}_r_speed") for p in ("my", "op")})
-    heights = f.select("session", F.explode(F.array(*(F.get(f"{p}_bbox", 3) - F.get(f"{p}_bbox", 1) for p in ("my", "op")))).alias("h"))
-    f = f.join(series.nearest_rank(heights, ["session"], F.col("h"), 0.5, "ref_h"), "session")
+    trusted = lambda p: F.coalesce(f"{p}_reliable", F.lit(True)) if f"{p}_reliable" in frames.columns else F.lit(True)
+    heights = f.select("session", F.explode(F.array(*(F.when(trusted(p), F.get(f"{p}_bbox", 3) - F.get(f"{p}_bbox", 1)) for p in ("my", "op")))).alias("h"))
+    f = f.join(series.nearest_rank(heights, ["session"], F.col("h"), 0.5, "ref_h"), "session", "left").withColumn("ref_h", F.coalesce("ref_h", F.lit(tall * config.unknown_height)))
     place = {p: F.col(f"{p}_c{axis}") for p in ("my", "op")}
     step = dim * config.advance / max(fps, 1)
     toward = {"my": F.when(place["op"] > place["my"], 1.0).otherwise(-1.0)}
@@ -125,17 +127,18 @@ def per_second(f: DataFrame, fps: float, audio: bool = False, config: Classic =
 
 
 def periods(seconds: DataFrame, config: Classic = Classic()) -> DataFrame:
-    """(session, period, share, weight): the own share of each scoring period and its weight; the last seconds that fill
-    no period are left out, as the family has it."""
+    """(session, period, share, weight, start, end): the own share of each scoring period, its weight and its seconds; the
+    last seconds that fill no period are left out, as the family has it."""
     n = F.greatest(F.lit(2), F.floor(F.col("n_secs") / config.period_s)).cast("int")
     k = seconds.withColumn("k", n).withColumn("size", F.greatest(F.lit(1), F.floor(F.col("n_secs") / F.col("k"))).cast("int"))
-    spine = k.select("session", "k").distinct().select("session", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("period"))
+    spine = k.select("session", "k", "size", "n_secs").distinct().select("session", "size", "n_secs", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("period"))
     own = k.withColumn("period", F.floor(F.col("sec") / F.col("size")).cast("int")).groupBy("session", "period").agg(*(F.avg(f"{p}_{s}").alias(f"{p}_{s}") for p in ("my", "op") for s in ("control", "aggression", "pace")))
     own = spine.join(own, ["session", "period"], "left").fillna(0.0)
+    bounds = F.col("period") * F.col("size"), F.least("n_secs", (F.col("period") + 1) * F.col("size"))
     part = lambda s: F.col(f"my_{s}") / F.greatest(F.col(f"my_{s}") + F.col(f"op_{s}"), F.lit(1.0))
     a, b, d = config.period
     weight = F.pow(F.col("period") + 1.0, F.lit(config.period_power))
-    return own.select("session", "period", (a * F.col("my_control") / 100 + b * part("aggression") + d * part("pace")).alias("share"), (weight / F.sum(weight).over(Window.partitionBy("session"))).alias("weight"))
+    return own.select("session", "period", (a * F.col("my_control") / 100 + b * part("aggression") + d * part("pace")).alias("share"), (weight / F.sum(weight).over(Window.partitionBy("session"))).alias("weight"), bounds[0].alias("start"), bounds[1].alias("end"))
 
 
 def summary(frames: DataFrame, width: float, tall: float, fps: float = 15.0, landed: DataFrame | None = None, config: Classic = Classic()) -> DataFrame:

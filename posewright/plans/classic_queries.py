@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posewright.fixtures import poses
+from posewright.functions import columns as c
 from posewright.functions import perception
 from posewright.plans import classic_metrics as m
 from posewright.plans.pose_queries import _q
@@ -40,7 +41,16 @@ def classic_summary(spark, d) -> DataFrame:
     return m.summary(frames(spark, d), W, H, 15.0, heard(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (classic_frames, classic_series, classic_summary)}
+def classic_periods(spark, d) -> DataFrame:
+    """The table of scoring periods; my punches that are held for landed count as such. Frames in which my pose is half
+    seen count for the height, all others do not."""
+    f = frames(spark, d).withColumn("my_reliable", c.visibility(F.col("my_kps")) >= 0.5)
+    seconds = m.per_second(m.signals(f, W, H, 15.0, heard(spark, d)), 15.0, True)
+    whole = lambda x: F.bround(x * 100).cast("int")
+    return m.periods(seconds).select("session", "period", whole(F.round("share", 9)).alias("my"), whole(F.round(1 - F.col("share"), 9)).alias("op"), whole(F.round("weight", 9)).alias("weight"), "start", "end")
+
+
+QUERIES = {f.__name__: f for f in (classic_frames, classic_series, classic_periods, classic_summary)}
 
 _PCT = lambda x: f"CAST(round_even(round({x}, 9), 0) AS INTEGER)"
 _K = lambda i, a: f"max(CASE WHEN c >= 0.4::DOUBLE AND NOT (x <= 0 AND y <= 0) THEN {a} * {1280 if a == 'x' else 720} END) FILTER (WHERE i = {i})"
@@ -78,5 +88,6 @@ _SUMMARY = [
 ORACLES = {
     "classic_frames": _q("SELECT session, fi, side, round(act, 6) AS act, round(ls, 5) AS l_speed, round(rs, 5) AS r_speed, punch, up, adv, ret, ring, aggressing FROM e3", *_PARTS[:9]),
     "classic_series": _q("SELECT *, 100 - my_control AS op_control FROM sr", *_PARTS),
+    "classic_periods": _q("SELECT s.session, CAST(j AS INTEGER) AS period, CAST(round_even(round(share, 9) * 100, 0) AS INTEGER) AS my, CAST(round_even(round(1 - share, 9) * 100, 0) AS INTEGER) AS op, CAST(round_even(round((j + 1) ** 1.3::DOUBLE / list_sum([(q + 1) ** 1.3::DOUBLE FOR q IN range(k)]), 9) * 100, 0) AS INTEGER) AS weight, CAST(j * size AS INTEGER) AS start, CAST(least(n_secs, (j + 1) * size) AS INTEGER) AS \"end\" FROM (SELECT k.session, k.k, n_secs, greatest(1, n_secs // k.k) AS size, j, coalesce(0.45::DOUBLE * c / 100 + 0.35::DOUBLE * ma / greatest(ma + oa, 1) + 0.2::DOUBLE * mp / greatest(mp + op, 1), 0) AS share FROM (SELECT session, k, n_secs, unnest(range(k)) AS j FROM (SELECT DISTINCT session, k, n_secs FROM kp2)) k LEFT JOIN pe ON pe.session = k.session AND pe.period = k.j) s", *[p.replace("FROM sp) WHERE k = floor", "FROM sp JOIN (SELECT session, fi, vis AS mv FROM pose WHERE side = 'my') USING (session, fi) WHERE side = 'op' OR mv >= 0.5) WHERE k = floor") for p in _PARTS], *_SUMMARY[:2]),
     "classic_summary": _q("SELECT a.session, " + ", ".join(f"{t}.{s} AS {p}_{s}" for p, t in (("my", "a"), ("op", "b")) for s in ("burst", "aggression", "guard", "ring", "stamina")) + ", my_round, 100 - my_round AS op_round FROM al_ a JOIN al_ b ON a.session = b.session AND a.side = 'my' AND b.side = 'op' JOIN ro ON ro.session = a.session", *_PARTS, *_SUMMARY),
 }
