@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,6 +65,25 @@ def test_recall_under_edits(spark):
     assert n > 100 and hit >= 0.9 * n
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.15])
+@pytest.mark.parametrize(("least", "most"), [(5, 7), (8, 11), (12, 15), (16, 30), (31, 59), (60, 120), (300, 600)])
+def test_recall_at_every_size(rate, least, most):
+    rng = random.Random(least)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    items = [" ".join(rng.choices(vocabulary, k=rng.randint(least, most))) for _ in range(40)]
+    index = d.Index([d.Item(k, d.normal(t)) for k, t in enumerate(items)])
+    n = hit = 0
+    for k, text in enumerate(items * (1 if least > 100 else 2)):
+        k %= len(items)
+        copy = " ".join(rng.choices(vocabulary, k=rng.randint(10, 50)) + edited(rng, text.split(), rate, vocabulary) + rng.choices(vocabulary, k=30))
+        true = d.least_distance(d.normal(text), d.normal(copy), int(0.2 * len(d.normal(text))))
+        if true is not None:
+            found = [x for _, i, x in index.matches([copy]) if i == k]
+            n, hit = n + 1, hit + bool(found)
+            assert not found or true <= found[0] <= 0.2 * len(d.normal(text))
+    assert n >= 20 and hit >= 0.9 * n
+
+
 def test_blocks_and_odd_rows(spark, sf, odd, empty, monkeypatch):
     benchmark = spark.createDataFrame([(1, "a b c d e f a b c d e f"), (2, None), (3, ""), (4, "too short"), (5, "zz yy xx ww vv uu tt ss rr")], "item_id long, text string")
     whole = {(r[0], r[1], r[2]) for r in d.find_leaks(odd, benchmark).collect()}
