@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 #: Fields of the documents.
 FRAMES_SCHEMA = "fps_pose double, fps_orig double, stride_pose int, stride_sam2 int, frame_w int, frame_h int, identity_swapped boolean, frames array<struct<fi:int,raw_fi:int,time_s:double,my_bbox:array<double>,op_bbox:array<double>,my_kps:array<array<double>>,op_kps:array<array<double>>,clinch:boolean>>"
 ARENA_SCHEMA = "ok boolean, frame_w int, frame_h int, centroid array<double>, axis_len double, minor_len double, median_scale_px double, median_fighter_height_px double, my_visibility_score double, op_visibility_score double, confidence_tier string, warps_to_ref array<array<array<double>>>, my_traj_ref array<array<double>>, op_traj_ref array<array<double>>"
+#: Fields of a session's status in their order; those without a default are null where missing.
+STATUS = (
+    "status", "progress", "metrics", "annotated_ready", "error", "punch_events_count", "audio_diag", "audio_error", "overlay_error",
+    "sam2_status", "sam2_model", "sam2_fps_eff", "sam2_my_tracked", "sam2_op_tracked", "sam2_frames",
+    "sam2_test_status", "sam2_test_error", "sam2_test_model", "sam2_test_fps", "sam2_test_my_tracked", "sam2_test_op_tracked", "sam2_test_frames", "sam2_test_progress", "analysis_status",
+)
+STATUS_TYPES = {"progress": "double", "annotated_ready": "boolean", "punch_events_count": "long", "metrics": "variant", "audio_diag": "variant"} | {f: "long" for f in STATUS if f.endswith(("_tracked", "_frames"))} | {f: "double" for f in STATUS if f.endswith(("_eff", "_fps", "_progress"))}
 #: Fractions of a video at which picker frames are sampled.
 FRACTIONS = (0.10, 0.22, 0.35, 0.48, 0.61, 0.75)
 
@@ -44,6 +51,16 @@ def arena_frames(spark: SparkSession, glob: str) -> DataFrame:
     return documents(spark, glob, ARENA_SCHEMA).select("session", F.posexplode(zipped).alias("fi", "r")).select("session", "fi", "r.warp", "r.my_ref", "r.op_ref")
 
 
+def status(spark: SparkSession, glob: str, progress: DataFrame | None = None) -> DataFrame:
+    """(session, body): each session's status as a JSON document with all fields of STATUS. progress: (session,
+    sam2_test_progress) where a test run tells it elsewhere. Nested documents stay what they are, as VARIANT."""
+    meta = documents(spark, glob, ", ".join(f"{f} {STATUS_TYPES.get(f, 'string')}" for f in STATUS))
+    if progress is not None:
+        meta = meta.drop("sam2_test_progress").join(progress, "session", "left")
+    known = {"progress": F.coalesce("progress", F.lit(0.0)), "annotated_ready": F.coalesce("annotated_ready", F.lit(False))}
+    return meta.select("session", F.to_json(F.struct(*(known.get(f, F.col(f)).alias(f) for f in STATUS)), {"ignoreNullFields": "false"}).alias("body"))
+
+
 def with_both(left: DataFrame, right: DataFrame) -> DataFrame:
     """Sessions of `left` of which `right` has a document too."""
     return left.join(right.select("session").distinct(), "session", "left_semi")

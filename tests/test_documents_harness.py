@@ -66,6 +66,17 @@ def test_sinks(spark, tmp_path):
     assert found(spark.read.option("header", True).csv(str(tmp_path / "csv")))[1] == {("1", "a"): 1, (None, "b"): 1}
 
 
+def test_status(spark, tmp_path):
+    write(tmp_path / "a/meta.json", {"status": "done", "progress": 80, "metrics": {"my_ring": 51, "deep": [1, None]}, "annotated_ready": True, "sam2_my_tracked": 12, "other": 1})
+    write(tmp_path / "b/meta.json", {"status": "queued"})
+    write(tmp_path / "c/meta.json", "{ broken")
+    told = spark.createDataFrame([("b", 0.25)], "session string, sam2_test_progress double")
+    rows = {r["session"]: json.loads(r["body"]) for r in docs.status(spark, f"{tmp_path}/*/meta.json", told).collect()}
+    assert set(rows) == {"a", "b"} and all(tuple(r) == docs.STATUS for r in rows.values())
+    assert rows["a"]["metrics"] == {"my_ring": 51, "deep": [1, None]} and rows["a"]["progress"] == 80 and rows["a"]["sam2_my_tracked"] == 12 and rows["a"]["sam2_test_progress"] is None
+    assert rows["b"]["progress"] == 0 and rows["b"]["annotated_ready"] is False and rows["b"]["metrics"] is None and rows["b"]["sam2_test_progress"] == 0.25
+
+
 def test_bundle_is_json(spark, sf):
     frames = poses(spark, sf).where("session = 0")
     rows = overlays.bundle(overlays.zone_layer(frames, F.col("fi") == 0)).orderBy("fi").collect()
