@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from posewright.fixtures import POSES_SQL, poses, read
 from posewright.functions import columns as c
-from posewright.operators import geometry
+from posewright.operators import folds, geometry
 from posewright.operators.relations import seed_frame, top_then_sideways
 from posewright.plans import arena_metrics, pose_frames
 
@@ -178,6 +178,20 @@ def landed_events(spark, d) -> DataFrame:
     return events.select("session", "side", "fi", "verdict", r6(F.col("glove_x"), "glove_x"), r6(F.col("glove_y"), "glove_y"))
 
 
+def smoothed_keypoints(spark, d) -> DataFrame:
+    """Each axis of each keypoint of each side smoothed on its own; where it is not confident the last value is held."""
+    p = poses(spark, d)
+
+    def points(side: str):
+        return F.transform(f"{side}_kps", lambda k, i: F.struct(F.lit(side).alias("side"), i.alias("i"), k[0].alias("x"), k[1].alias("y"), (k[2] >= 0.35).cast("double").alias("known")))
+
+    both = F.flatten(F.filter(F.array(points("my"), points("op")), lambda x: x.isNotNull()))
+    rows = p.select("session", "fi", (F.col("fi") / 15.0).alias("t"), F.inline(both)).select("session", "fi", "t", "side", "i", "known", F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("x").alias("v")), F.struct(F.lit("y").alias("axis"), F.col("y").alias("v")))).alias("a"))
+    rows = rows.select("session", "side", "i", F.col("a.axis").alias("axis"), "fi", "t", F.col("a.v").alias("x"), "known")
+    out = folds.one_euro(rows, ["session", "side", "i", "axis"], "fi")
+    return out.select("session", "side", "i", "axis", "fi", F.round("y", 6).alias("v"))
+
+
 def arena_geometry(spark, d) -> DataFrame:
     a = arena_metrics.arena_of(poses(spark, d))
     return a.select("session", "tier", *(r6(F.col(n), n) for n in ("centre_x", "centre_y", "axis_len", "scale", "my_seen", "op_seen")))
@@ -186,7 +200,7 @@ def arena_geometry(spark, d) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     kp_visibility, visibility_tier, state_classify, punch_score, wrist_activity, guard_frame, head_zone, stomach_zone, frame_scale, foot_points, verdict_tally, closing_speed_split,
     centroid_principal_axis, density_grid, depth_cell_grid, greedy_iou_assign, nearest_box, topk_sideways, seed_frame_two_pass, hist_bhattacharyya, hist_correlation, affine_roundtrip,
-    flagship_arena_metrics, arena_series, landed_events, arena_geometry,
+    flagship_arena_metrics, arena_series, landed_events, arena_geometry, smoothed_keypoints,
 )}
 
 
@@ -311,6 +325,12 @@ ORACLES = {
     "hist_bhattacharyya": _HIST + "SELECT vec_id, round(1 - sqrt(greatest(1 - b / sqrt(sp * sq), 0)), 6) AS similarity FROM (SELECT vec_id, list_sum([sqrt(p[i] * q[i]) FOR i IN range(1, 65)]) AS b, list_sum(p) AS sp, list_sum(q) AS sq FROM pq)",
     "hist_correlation": _HIST + "SELECT vec_id, round((spq - sp * sq / 64) / sqrt((spp - sp * sp / 64) * (sqq - sq * sq / 64)), 6) AS r FROM (SELECT vec_id, list_sum([p[i] * q[i] FOR i IN range(1, 65)]) AS spq, list_sum([x * x FOR x IN p]) AS spp, list_sum([x * x FOR x IN q]) AS sqq, list_sum(p) AS sp, list_sum(q) AS sq FROM pq)",
     "affine_roundtrip": "SELECT vec_id, 2.0::DOUBLE AS trace, 0.0::DOUBLE AS rest, round(sqrt(a * a + c * c), 6) AS scale, round(degrees(atan2(c, a)), 6) AS degrees, round(a * 2 + b * 3 + tx, 6) AS x, round(c * 2 + d * 3 + ty, 6) AS y FROM (SELECT vec_id, 1 + CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS tx, CAST(embedding[4] AS DOUBLE) AS c, 1 + CAST(embedding[5] AS DOUBLE) AS d, CAST(embedding[6] AS DOUBLE) AS ty FROM embeddings)",
+    "smoothed_keypoints": "WITH RECURSIVE " + POSES_SQL + """, raw AS (SELECT session, side, i, axis, fi, fi / 15.0::DOUBLE AS t, CASE axis WHEN 'x' THEN x ELSE y END AS v, c >= 0.35::DOUBLE AS known, row_number() OVER (PARTITION BY session, side, i, axis ORDER BY fi) AS r FROM kp, (VALUES ('x'), ('y')) a(axis)),
+      walk AS (SELECT session, side, i, axis, fi, r, v AS o, CASE WHEN known THEN v END AS y, 0.0::DOUBLE AS s, CASE WHEN known THEN t END AS tl FROM raw WHERE r = 1 UNION ALL
+        SELECT session, side, i, axis, fi, r, CASE WHEN y IS NULL THEN v WHEN known THEN a * v + (1 - a) * y ELSE y END, CASE WHEN NOT known THEN y WHEN y IS NULL THEN v ELSE a * v + (1 - a) * y END, CASE WHEN NOT known OR y IS NULL THEN s ELSE ds END, CASE WHEN known THEN t ELSE tl END FROM (
+          SELECT *, 1 / (1 + 1 / (2 * pi() * (1.0::DOUBLE + 0.4::DOUBLE * abs(ds))) / dt) AS a FROM (SELECT *, ad * (v - y) / dt + (1 - ad) * s AS ds FROM (SELECT *, 1 / (1 + 1 / (2 * pi()) / dt) AS ad FROM (
+            SELECT n.*, w.y, w.s, w.tl, greatest(n.t - w.tl, 1e-6::DOUBLE) AS dt FROM walk w JOIN raw n ON n.session = w.session AND n.side = w.side AND n.i = w.i AND n.axis = w.axis AND n.r = w.r + 1)))))
+      SELECT session, side, i, axis, fi, round(o, 6) AS v FROM walk""",
     "arena_geometry": _q("SELECT session, tier, round(centre_x, 6) AS centre_x, round(centre_y, 6) AS centre_y, round(axis_len, 6) AS axis_len, round(scale, 6) AS scale, round(my_seen, 6) AS my_seen, round(op_seen, 6) AS op_seen FROM arena", _FEET, _ARENA),
     "landed_events": _q("SELECT session, side, fi, v AS verdict, CASE WHEN v <> 'unknown' THEN round(gx, 6) END AS glove_x, CASE WHEN v <> 'unknown' THEN round(gy, 6) END AS glove_y FROM fr WHERE peak", *_FRAMES),
     "arena_series": _q(_SERIES, *_FRAMES, _SECONDS),
