@@ -21,14 +21,16 @@ BOX = ("cx", "cy", "w", "h")
 State = dict[str, np.ndarray]
 
 
-def lockstep(df: DataFrame, keys: list[str], order: str, columns: list[str], start: Callable[[int], State], step: Callable[[State, np.ndarray, State], State], schema: str) -> DataFrame:
+def lockstep(df: DataFrame, keys: list[str], order: str, columns: list[str], start: Callable[[int], State], step: Callable[[State, np.ndarray, State], State], schema: str, keep: list[str] | None = None) -> DataFrame:
     """A fold of each key's rows in the order of `order`, which is unique within a key; all keys of a partition take a
     step together, as arrays.
 
     start(n) makes the state of n fresh keys, arrays with a row a key. step(state, at, values) changes the rows `at` and
     returns the new columns of the step's rows. Rows come sorted by `order` first, so that a batch holds one step of
     many keys; the state is carried across batches, so memory grows with the keys of a partition and not with their rows.
+    keep: further columns that go through as they are, so that nothing has to be joined back.
     """
+    keep = keep or []
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,10 +48,10 @@ def lockstep(df: DataFrame, keys: list[str], order: str, columns: list[str], sta
             cuts = np.concatenate(([0], np.flatnonzero(when[1:] != when[:-1]) + 1, [len(when)]))
             steps = [step(state, at[a:z], {c: v[a:z] for c, v in values.items()}) for a, z in zip(cuts, cuts[1:])]
             made = {c: np.concatenate([s[c] for s in steps]) for c in steps[0]}
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in [*keys, order]), *(pa.array(made[c], from_pandas=True) for c in names)], names=[*keys, order, *names])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in [*keys, order, *keep]), *(pa.array(made[c], from_pandas=True) for c in names)], names=[*keys, order, *keep, *names])
 
-    kept = df.select(*keys, order, *columns)
-    kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in [*keys, order])
+    kept = df.select(*keys, order, *columns, *keep)
+    kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in [*keys, order, *keep])
     return kept.repartition(*keys).sortWithinPartitions(order, *keys).mapInArrow(run, f"{kinds}, {schema}")
 
 

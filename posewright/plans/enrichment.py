@@ -93,7 +93,8 @@ def checks(f: DataFrame) -> DataFrame:
 
 
 def identities(told: DataFrame, period: float = REID_PERIOD_S) -> DataFrame:
-    """(session, fi, began, exit_turn, checked, reid_turn): the state that a frame began in and what turned it."""
+    """Adds began, exit_turn, checked, reid_turn: the state that a frame began in and what turned it. All other columns go
+    through the fold, so that what was told for both states is not told again to be joined."""
 
     def start(n: int) -> folds.State:
         return {"swapped": np.zeros(n, bool), "last": np.full(n, -np.inf)}
@@ -101,16 +102,18 @@ def identities(told: DataFrame, period: float = REID_PERIOD_S) -> DataFrame:
     def step(state: folds.State, at: np.ndarray, row: folds.State) -> folds.State:
         began = state["swapped"][at]
         of = lambda name: np.where(began, row[f"{name}1"], row[f"{name}0"]) > 0
-        left = of("exit")
-        checked = of("ready") & (row["time_s"] - state["last"][at] >= period)
-        turned = checked & of("reid")
-        state["last"][at] = np.where(checked, row["time_s"], state["last"][at])
+        left = of("_exit")
+        checked = of("_ready") & (row["_t"] - state["last"][at] >= period)
+        turned = checked & of("_reid")
+        state["last"][at] = np.where(checked, row["_t"], state["last"][at])
         state["swapped"][at] = began ^ left ^ turned
         return {"began": began, "exit_turn": left, "checked": checked, "reid_turn": turned}
 
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
-    rows = told.select("session", "fi", "time_s", *(flag(F.col(f"{n}{s}")["turn"]).alias(f"{n}{s}") for n in ("exit", "reid") for s in "01"), *(flag(F.col(f"ready{s}")).alias(f"ready{s}") for s in "01"))
-    return folds.lockstep(rows, ["session"], "fi", ["time_s", "exit0", "exit1", "reid0", "reid1", "ready0", "ready1"], start, step, "began boolean, exit_turn boolean, checked boolean, reid_turn boolean")
+    rows = told.withColumns({"_t": F.col("time_s")} | {f"_{n}{s}": flag(F.col(f"{n}{s}")["turn"]) for n in ("exit", "reid") for s in "01"} | {f"_ready{s}": flag(F.col(f"ready{s}")) for s in "01"})
+    asked = ["_t", *(f"_{n}{s}" for n in ("exit", "reid", "ready") for s in "01")]
+    kept = [c for c in told.columns if c not in ("session", "fi")]
+    return folds.lockstep(rows, ["session"], "fi", asked, start, step, "began boolean, exit_turn boolean, checked boolean, reid_turn boolean", kept)
 
 
 def enrich(frames: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -119,8 +122,7 @@ def enrich(frames: DataFrame, tracks: DataFrame) -> DataFrame:
     frames: (session, fi, time_s, dets array of (box, look)); tracks: (session, fi, my, op). exit and reid hold the
     likenesses (same, swap) of the checks that turned the identities, else null."""
     looks = frames.withColumn("dets", F.transform("dets", lambda x: F.struct(x["box"].alias("box"), centred(x["look"]).alias("look"))))
-    told = checks(dealt_both_ways(on_frames(looks, tracks)))
-    f = told.join(identities(told), ["session", "fi"])
+    f = identities(checks(dealt_both_ways(on_frames(looks, tracks))).drop("dets"))
     of = lambda name: F.when(F.col("began"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
     turned = F.col("exit_turn") != F.col("reid_turn")
     swapped = F.col("began") != turned
