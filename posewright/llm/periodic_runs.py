@@ -38,7 +38,7 @@ LEAST_EXPONENT = 4
 LEAST_LENGTH = 6
 #: Texts of up to so many words read their grid off a kept one; longer ones walk POINTS points at a time.
 KEPT_WORDS = 1 << 14
-POINTS = 4_000_000
+POINTS = 1_000_000
 BLOCK = 16
 SCHEMA = "n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string"
 
@@ -73,16 +73,14 @@ def grids(n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         low = high
 
 
-def agreeing_points(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(at, period): the points whose word is that of their next LEAST_EXPONENT - 1 points."""
-    out_at, out_period = [], []
+def agreeing_points(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(at, period): the points whose word is that of their next LEAST_EXPONENT - 1 points, a grid or a part of one at a time."""
     for at, period in grids(len(words)):
         for k in range(1, LEAST_EXPONENT):
             same = words[at] == words[at + k * period]
             at, period = at[same], period[same]
-        out_at.append(at)
-        out_period.append(period)
-    return np.concatenate([*out_at, np.zeros(0, np.int64)]), np.concatenate([*out_period, np.zeros(0, np.int64)])
+        if len(at):
+            yield at, period
 
 
 class RangeMinima:
@@ -133,31 +131,51 @@ class Extensions:
         return self.minima.least(np.minimum(x, y) + 1, np.maximum(x, y))
 
 
-def runs_at(symbols: np.ndarray, at: np.ndarray, period: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, period) of the runs through the points, in order, each once with its smallest period."""
-    n = len(symbols)
-    forward = Extensions(symbols).common(at, at + period)
-    back = Extensions(np.ascontiguousarray(symbols[::-1])).common(n - 1 - at, n - 1 - at - period) - 1
-    start, end = at - back, at + period + forward
-    long = end - start >= np.maximum(LEAST_LENGTH, LEAST_EXPONENT * period)
-    start, end, period = start[long], end[long], period[long]
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+class Text:
+    """A string of numbers with its extensions forward and backward, which are built when they are first asked for."""
+
+    def __init__(self, symbols: np.ndarray) -> None:
+        self.symbols, self.ways = symbols, None
+
+    def runs(self, at: np.ndarray, period: np.ndarray) -> Runs:
+        """(start, end, period) of the long enough runs through the points, each once."""
+        n = len(self.symbols)
+        if self.ways is None:
+            self.ways = Extensions(self.symbols), Extensions(np.ascontiguousarray(self.symbols[::-1]))
+        forward = self.ways[0].common(at, at + period)
+        start = at - self.ways[1].common(n - 1 - at, n - 1 - at - period) + 1
+        end = at + period + forward
+        long = end - start >= np.maximum(LEAST_LENGTH, LEAST_EXPONENT * period)
+        return distinct(start[long], end[long], period[long])
+
+
+def distinct(start: np.ndarray, end: np.ndarray, period: np.ndarray) -> Runs:
+    """Each pair of bounds once with its smallest period, in the order of start and period."""
     order = np.lexsort((period, end, start))
     start, end, period = start[order], end[order], period[order]
     fresh = np.ones(len(start), bool)
     fresh[1:] = (start[1:] != start[:-1]) | (end[1:] != end[:-1])
-    order = np.flatnonzero(fresh)
-    order = order[np.lexsort((period[order], start[order]))]
+    start, end, period = start[fresh], end[fresh], period[fresh]
+    order = np.lexsort((period, start))
     return start[order], end[order], period[order]
 
 
-def periodic_runs(words: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def joined_runs(parts: list[Runs]) -> Runs:
+    return distinct(*(np.concatenate([*(p[k] for p in parts), np.zeros(0, np.int64)]) for k in range(3)))
+
+
+def periodic_runs(words: list[np.ndarray]) -> list[Runs]:
     """(start, end, period) of the runs of each text of numbered words, in the order of start and period."""
-    none = (np.zeros(0, np.int64),) * 3
-    out, asked = [none] * len(words), []
+    out, asked = [joined_runs([])] * len(words), []
     for k, own in enumerate(words):
-        at, period = agreeing_points(own)
-        if len(at):
-            asked.append((k, at, period))
+        if len(own) > KEPT_WORDS:  # on its own, its points some at a time
+            text = Text(np.unique(own, return_inverse=True)[1])
+            out[k] = joined_runs([text.runs(at, period) for at, period in agreeing_points(own)])
+        else:
+            asked += [(k, at, period) for at, period in agreeing_points(own)]
     if not asked:
         return out
     # behind each text a symbol of its own, larger than all words
@@ -167,8 +185,8 @@ def periodic_runs(words: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray,
         parts += [words[k], [top + j]]
         begins.append(offset)
         offset += len(words[k]) + 1
-    symbols = np.unique(np.concatenate(parts), return_inverse=True)[1]
-    start, end, period = runs_at(symbols, np.concatenate([at + b for (_, at, _), b in zip(asked, begins)]), np.concatenate([p for _, _, p in asked]))
+    text = Text(np.unique(np.concatenate(parts), return_inverse=True)[1])
+    start, end, period = text.runs(np.concatenate([at + b for (_, at, _), b in zip(asked, begins)]), np.concatenate([p for _, _, p in asked]))
     cuts = np.searchsorted(start, [*begins, offset])
     for (k, _, _), b, a, z in zip(asked, begins, cuts, cuts[1:]):
         out[k] = (start[a:z] - b, end[a:z] - b, period[a:z])
@@ -187,14 +205,14 @@ def dealt(n: int, h: int) -> np.ndarray | None:
     return at
 
 
-def collapse_mask(n: int, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+def collapse_mask(n: int, runs: Runs) -> np.ndarray:
     """False for each word that a run holds after its first period."""
     start, end, period = runs
     cover = np.bincount(start + period, minlength=n + 1) - np.bincount(end, minlength=n + 1)
     return np.cumsum(cover)[:n] == 0
 
 
-def summary(runs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple:
+def summary(runs: Runs) -> tuple:
     """(n_runs, start, length, period, exponent_milli, runs_sha256) of the runs of one text."""
     rows = [(s, e - s, p) for s, e, p in zip(*(x.tolist() for x in runs))]
     digest = hashlib.sha256("".join(f"{s},{n},{p}\n" for s, n, p in rows).encode()).hexdigest()
