@@ -7,7 +7,7 @@ no result.
 
 Edge cases: null and empty texts have no tokens; texts of any length are encoded whole; special-token strings in a
 text become their ids, as the tokenizer's file says; repeated rows give equal results; an empty corpus has an
-empty lexicon.
+empty lexicon and an empty result; only the id and text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ its title and without its appendix, and the notices below; other texts and chang
 
 Edge cases: null and empty texts have the digest of the empty text and match nothing; a licence listed twice
 under equal canonical texts reports its smallest name; repeated rows give equal results; an empty table gives an
-empty result.
+empty result; only the id and text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ of the id; half of them make the dictionaries, the other half calibrates. Everyt
 
 Edge cases: null and empty texts get the score of difference 0; labels with nulls are not used; without labelled
 rows of both classes every score is 0.5; texts of any length are compressed whole, block by block; repeated rows
-give equal results.
+give equal results; an empty table gives an empty result. All columns stay, and one of the score's name is replaced.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ merge ranks, as if the ranks were unigram scores: n_tokens is the count of that
 file it is.
 
 Edge cases: null and empty texts have 0 tokens and score 0; texts of any length are counted whole; repeated rows
-give equal results.
+give equal results; an empty table gives an empty result; only the id and text columns are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
