@@ -3,6 +3,8 @@
 Each stage gets the documents that the one before it kept, and all but the last return the columns of documents.
 Rows that share a doc_id are one document: they stay or go together. Rows without an id link with nothing by id
 and are judged by their own text. Null and empty texts pass the stages unless the classifier rejects them.
+Texts may have any length and are handled whole in each stage; further columns stay as they are up to the last stage,
+whatever their names; an empty table passes every stage as an empty one.
 """
 
 from __future__ import annotations
