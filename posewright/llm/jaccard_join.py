@@ -5,7 +5,9 @@ The Jaccard distance d is a metric, and two texts link when d <= R = 1/4. Equal
 1. The mass at distance 1. Most sets share nothing, and no pivot tells them apart. Linked sets share one of their
    first n - ceil(3n/4) + 1 shingles in any global order (here rare shingles first, by counts of all sets in a table
    of fixed size, then by hash), so only the sets that meet under such a shingle are compared: its region. The
-   region's first pivot is its least member; a set is in the region of each pivot that it meets so.
+   region's first pivot is its least member; a set is in the region of each pivot that it meets so. Chance meetings
+   grow faster than the input, so members of regions of at most REGION_BLOCK first show signatures of a bit a shingle:
+   the bits in which two differ are no more than their shingles that differ, so who is too far from all others leaves.
 2. Balls. The exact distance of every member to its first pivots is found; members within R link to the pivot. What
    these links connect needs no further look: a region of one component is done.
 3. Voronoi regions. In an open region of more than REGION_BLOCK members, PIVOTS further pivots are drawn from its
@@ -34,6 +36,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +91,31 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """For each slot of the shingles' lowest bits, of which there are as many as shingles or up to twice as many, whether
+    the number of shingles in it is odd. Two signatures differ in no more bits than the sets have shingles apart."""
+    slots = 1 << max(6, (len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
+    """Which sets of a region the sizes and signatures let link to another: sets that link have sizes within 3/4 of each
+    other, so as many slots or half of them, and at most a seventh of both sizes apart."""
+    out = np.zeros(len(sizes), bool)
+    slots = np.array([len(x) for x in signatures])
+    for own in np.unique(slots):
+        here = np.flatnonzero((slots == own) | (slots == 2 * own))
+        table = np.stack([(x := np.frombuffer(signatures[k], np.uint64))[: own // 8] ^ (x[own // 8 :] if slots[k] > own else np.uint64(0)) for k in here])
+        for i in np.flatnonzero(slots[here] == own):
+            apart = np.bitwise_count(table ^ table[i]).sum(1, dtype=np.int64)
+            n, m = sizes[here], sizes[here[i]]
+            found = (7 * apart <= n + m) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
+            found[i] = False
+            if found.any():
+                out[here[found]] = out[here[i]] = True
+    return out
+
+
 def frequency_levels(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     """For each of 2**LEVEL_BITS slots of shingle hashes the greatest level of a shingle in it: 0 where only one set
     has it, else 1 and more by the logarithm of the number of sets. All sets are counted; the table has a fixed size.
@@ -123,14 +151,14 @@ def frequency_levels(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
     counted = docs.select(text_col).mapInArrow(send, "part int, hashes binary").groupBy("part").applyInArrow(count, "part int, levels binary")
     out = np.zeros((1 << part_bits, 1 << (LEVEL_BITS - part_bits)), np.uint8)
-    for row in counted.toLocalIterator():
+    for row in cut_lineage(counted).toLocalIterator():
         out[row["part"]] = np.frombuffer(row["levels"], np.uint8)
     return out.ravel()
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, levels: np.ndarray, n: int) -> DataFrame:
-    """(id, k, n_shingles, prefix): set key and size of each text, and the shingles by which its set can meet others:
-    of its first in the order of level and hash those that more than one set has; equal sets of a batch once."""
+    """(id, k, n_shingles, prefix, signature): set key and size of each text, and the shingles by which its set can meet
+    others, of its first in the order of level and hash those that more than one set has; equal sets of a batch once."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # 2**LEVEL_BITS bytes
 
@@ -139,7 +167,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, levels: np.ndarray, n: i
             seen = set()
             for begin, texts in text_groups(batch.column(1)):
                 grams, bounds = shingle_sets(texts, n)
-                keys, sizes, out = [], [], []
+                keys, sizes, out, signs = [], [], [], []
                 level = shared.value[(grams >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
                 for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     keys.append(key := set_key(grams[a:z]))
@@ -148,13 +176,95 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, levels: np.ndarray, n: i
                     left = prefix_length(z - a) - int((level[a:z] == 0).sum())
                     if z == a or left <= 0 or key in seen:
                         out.append(None)
+                        signs.append(None)
                         continue
                     seen.add(key)
+                    signs.append(signature(grams[a:z]))
                     own, rank = grams[a:z][level[a:z] > 0], level[a:z][level[a:z] > 0]
                     out.append(own[np.argsort(rank, kind="stable")][:left].astype(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=[id_col, "k", "n_shingles", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=[id_col, "k", "n_shingles", "prefix", "signature"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, k long, n_shingles long, prefix array<long>, signature binary")
+
+
+def least_keys(shingles: np.ndarray, keys: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles in order, the least key of each, and whether it has two keys or is marked so."""
+    order = np.lexsort((keys, shingles))
+    shingles, keys = shingles[order], keys[order]
+    first = np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1]))
+    last = np.append(first[1:], len(shingles)) - 1
+    return shingles[first], keys[first], (keys[first] != keys[last]) | np.logical_or.reduceat(many[order], first)
+
+
+def prefix_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, shingles) of a batch of (k, prefix)."""
+    counts = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(batch.column(0).to_numpy(), counts), batch.column(1).flatten().to_numpy()
+
+
+def shared_shingles(sketched: DataFrame) -> DataFrame:
+    """(shingle, pivot): the shingles that the prefixes of two sets or more have, and the least key of these sets.
+
+    The table of levels has a fixed size and fills up, so that in the end whole prefixes come here. Tasks therefore send
+    each shingle of a batch once, sorted and packed, with its least key, to the part that holds its range."""
+    total = sketched.agg(F.sum(F.array_size("prefix"))).first()[0] or 0
+    part_bits = min(20, max(4, (16 * total // PART_BYTES).bit_length()))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, shingles = prefix_entries(batch)
+            if not len(keys):
+                continue
+            values, keys, many = least_keys(shingles.view(np.uint64), keys, np.zeros(len(keys), bool))
+            bounds = np.append(np.searchsorted(values, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits)), len(values))
+            parts = np.flatnonzero(np.diff(bounds))
+            ranges = [slice(bounds[p], bounds[p + 1]) for p in parts]
+            columns = ([packed(values[r]) for r in ranges], [keys[r].tobytes() for r in ranges], [many[r].tobytes() for r in ranges])
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "shingles", "keys", "many"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        shingles = np.concatenate([unpacked(x.as_py()) for x in table["shingles"]]).view(np.uint64)
+        keys, many = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]]) for name, kind in (("keys", np.int64), ("many", bool)))
+        shingles, keys, many = least_keys(shingles, keys, many)
+        return pa.table({"shingle": pa.array(shingles[many].view(np.int64)), "pivot": pa.array(keys[many])})
+
+    sent = sketched.select("k", "prefix").mapInArrow(send, "part int, shingles binary, keys binary, many binary")
+    return sent.groupBy("part").applyInArrow(meet, "shingle long, pivot long")
+
+
+def prefix_rows(sketched: DataFrame, shared: DataFrame) -> DataFrame:
+    """(k, shingle): the entries of the prefixes that a bit table of the shared shingles lets pass."""
+    table = sketched.sparkSession.sparkContext.broadcast(bit_table(shared, "shingle"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, shingles = prefix_entries(batch)
+            kept = in_bit_table(table.value, shingles)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[kept], pa.int64()), pa.array(shingles[kept], pa.int64())], names=["k", "shingle"])
+
+    return sketched.select("k", "prefix").mapInArrow(run, "k long, shingle long")
+
+
+def promising(met: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The rows (k, pivot) of met whose set the signatures let link to another one of its region, and all rows of regions
+    of more than REGION_BLOCK members. Regions are dealt to groups of some thousand rows."""
+    counts = met.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
+    sized = cut_lineage(met.join(counts, "pivot"))
+    small = sized.where(F.col("n") < REGION_BLOCK)
+    deal = F.pmod(F.xxhash64("pivot"), F.lit(1 + small.count() // 5000)).alias("deal")
+    wanted = small.select("k", "pivot").unionByName(small.select(F.col("pivot").alias("k"), "pivot").distinct())
+    signed = sketched.where("signature is not null").groupBy("k").agg(F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pivot")
+        pivot, k, n = (table[c].to_numpy() for c in ("pivot", "k", "n"))
+        signatures = table["signature"].to_pylist()
+        bounds = np.append(np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1])), len(pivot)).tolist()
+        kept = np.concatenate([may_link(n[a:z], signatures[a:z]) for a, z in zip(bounds[:-1], bounds[1:])]) & (k != pivot)
+        return pa.table({"k": pa.array(k[kept]), "pivot": pa.array(pivot[kept])})
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, k long, n_shingles long, prefix array<long>")
+    near = wanted.join(signed, "k").select(deal, "pivot", "k", "n", "signature").groupBy("deal").applyInArrow(run, "k long, pivot long")
+    return cut_lineage(near.unionByName(sized.where(F.col("n") >= REGION_BLOCK).select("k", "pivot")))
 
 
 def members_with_sets(docs: DataFrame, text_col: str, wanted: DataFrame, n: int) -> DataFrame:
@@ -285,9 +395,9 @@ def recurse(rows: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, text_col: str, sketched: DataFrame, n: int = N) -> DataFrame:
     """(a, b): links between set keys whose components are those of all links."""
-    rows = sketched.select("k", F.explode("prefix").alias("shingle"))
-    pivots = rows.groupBy("shingle").agg(F.min("k").alias("pivot"), F.max("k").alias("most")).where("pivot <> most").select("shingle", "pivot")
-    met = cut_lineage(rows.join(pivots, "shingle").where("k <> pivot").select("k", "pivot").distinct())
+    shared = cut_lineage(shared_shingles(sketched))
+    met = cut_lineage(prefix_rows(sketched, shared).join(shared, "shingle").where("k <> pivot").select("k", "pivot").distinct())
+    met = promising(met, sketched)
     wanted = met.select("k").unionByName(met.select(F.col("pivot").alias("k"))).distinct()
     sets = cut_lineage(members_with_sets(docs, text_col, wanted, n))
     pairs = (
@@ -309,7 +419,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(id_col, text_col)
     sketched = cut_lineage(sketch(docs, id_col, text_col, frequency_levels(docs, text_col, n), n))
     labels = components(near_links(docs, text_col, sketched, n)).select(F.col("node").alias("k"), "component")
-    placed = sketched.drop("prefix").join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    placed = sketched.drop("prefix", "signature").join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
     placed = cut_lineage(placed)
     least = cut_lineage(placed.where("n_shingles > 0").groupBy("component").agg(F.min(id_col).alias("component_id")))
     joined = placed.join(least, "component", "left")

@@ -1,11 +1,15 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from posewright.llm import jaccard_join as j
+from posewright.llm.common import cut_lineage
 from posewright.llm.components import components
+from posewright.llm.hashing import packed, unpacked
 from posewright.llm.queries import QUERIES
 
 
@@ -104,3 +108,62 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 300)] + [(1000, k) for k in range(1001, 1200)] + [(5000, 5000)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 1 for k in range(1, 301)} | {k: 1000 for k in range(1000, 1200)}
+
+
+def test_signatures_lose_no_link():
+    """Sets around the limit of a link, their signatures of the same or twice the slots."""
+    rng = random.Random(5)
+    for size in (1, 2, 7, 60, 64, 70, 128, 130, 900):
+        base = [rng.getrandbits(64) for _ in range(size)]
+        sets = [set(base)]
+        for _ in range(20):
+            kept = rng.sample(base, size - rng.randrange(size // 4 + 1))
+            sets.append({*kept, *(rng.getrandbits(64) for _ in range(rng.randrange(size // 3 + 1)))})
+        arrays = [np.array(sorted(s), np.uint64) for s in sets]
+        for a in range(len(sets)):
+            for b in range(a):
+                if j.linked(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])):
+                    assert j.may_link(np.array([len(sets[a]), len(sets[b])]), [j.signature(arrays[a]), j.signature(arrays[b])]).all()
+    strangers = [np.sort(np.array([rng.getrandbits(64) for _ in range(300)], np.uint64)) for _ in range(40)]
+    assert not j.may_link(np.full(40, 300), [j.signature(s) for s in strangers]).any()
+
+
+def test_chance_meetings_reach_no_set(spark, monkeypatch):
+    """With every slot of the level table taken, as on large inputs, texts meet under passages of a few words. Only sets
+    that may link are fetched, and a hot shingle stays one entry a batch."""
+    monkeypatch.setattr(j, "LEVEL_BITS", 6)
+    fetched, members = [], j.members_with_sets
+    monkeypatch.setattr(j, "members_with_sets", lambda docs, text_col, wanted, n: fetched.append(wanted.count()) or members(docs, text_col, wanted, n))
+    rng, rows = random.Random(6), []
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(14)) for _ in range(60)]
+    for i in range(240):
+        rows.append((i, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(30)), passages[i % 60], *(f"v{rng.randrange(10**6)}" for _ in range(30))])))
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(10)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+    assert len(fetched) == 1 and 20 <= fetched[0] <= 30  # the copies, and pivots under which they meet
+
+
+def test_packed_numbers_take_the_bytes_of_their_steps():
+    values = np.sort(np.array([(1 << 62) + k * 200 for k in range(1000)], np.uint64))
+    data = packed(values)
+    assert np.array_equal(unpacked(data).view(np.uint64), values) and len(data) < 1100
+    assert unpacked(packed(values[:1])).tolist() == [1 << 62]
+
+
+def test_shuffle_files_go_with_their_plan(spark):
+    """A checkpoint's own shuffle files are no longer there after the next ones."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {n for k in range(files.size()) if (n := files.apply(k).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    kept = cut_lineage(spark.range(1000).withColumn("x", F.xxhash64("id")).groupBy("x").agg(F.min("id").alias("id")))
+    new = shuffles() - before
+    for _ in range(20):
+        cut_lineage(spark.range(3))
+        if not new & shuffles():
+            break
+        time.sleep(0.2)
+    assert new and not new & shuffles() and kept.count() == 1000
