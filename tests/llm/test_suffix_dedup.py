@@ -80,6 +80,19 @@ def test_overlaps_and_edges(spark, hot, monkeypatch):
     assert run(df, 60) == want
 
 
+def test_periodic_texts_send_a_piece_once(spark, monkeypatch):
+    """A text of n periods has n equal pieces around one anchor string, of which one is held against other texts."""
+    sent = []
+    runs_of_windows = s.runs_of_windows
+    monkeypatch.setattr(s, "HOT", 2)
+    monkeypatch.setattr(s, "SLICE", 2000)
+    monkeypatch.setattr(s, "runs_of_windows", lambda pieces, length: sent.append(pieces.count()) or runs_of_windows(pieces, length))
+    texts = [f"{k} " + "Is onhe. " * 300 + f" {k * k}" for k in range(6)] + ["x" * 5000, "Is onhe. " * 6, "Is onhe. " * 7, "é" * 80]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert run(df, 60) == sorted(((k, *w) for k, w in enumerate(brute(texts, 60))), key=str)
+    assert 0 < sent[0] < 100
+
+
 def test_long_text_in_slices(spark, monkeypatch):
     monkeypatch.setattr(s, "SLICE", 1000)
     rng = random.Random(3)
